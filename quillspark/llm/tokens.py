@@ -12,28 +12,67 @@ library whole, as does every text for a tokenizer of another kind.  Repeated row
 from __future__ import annotations
 
 import json
+import math
 import os
+import re
 import struct
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The byte-level BPE pre-token pattern, as public_tokenizers.PATTERN has it.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Code points outside of these go to the library with their text.
-_RARE = regex.compile("[^\t\n\v\f\r\x20-\x84\x86-Ƞɐ-ʯ̀-ͯ‐-‧‰-⁞€™]")
+# The code points that texts are split here for, and the byte-level BPE contractions.  A text with any other goes to
+# the library whole: 0x00-0x1B, 0x20-0x84, 0x86-0x24F, 0x2010-0x2027, 0x20AC, 0x2122.
+_SPLIT_HERE = [*range(0x1C), *range(0x20, 0x85), *range(0x86, 0x250), *range(0x2010, 0x2028), 0x20AC, 0x2122]
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+
+
+def _class(points: list[int]) -> str:
+    return "".join(f"\\u{c:04x}" for c in points)
+
+
+def _splitter() -> re.Pattern:
+    """The byte-level BPE pre-token pattern, its classes of letters and numbers written out for the standard library."""
+    kinds: dict[str, list[int]] = {}
+    for c in _SPLIT_HERE:
+        kinds.setdefault(unicodedata.category(chr(c))[0], []).append(c)
+    letter, number = _class(kinds["L"]), _class(kinds["N"])
+    return re.compile(rf"{CONTRACTIONS}| ?[{letter}]+| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+")
+
+
+_RARE = re.compile(f"[^{_class(_SPLIT_HERE)}]")
 
 #: Documents and characters of each that the table of frequent pre-tokens is chosen from.  Only speed depends on it.
 SAMPLE_DOCS, SAMPLE_CHARS = 2048, 4096
 #: Entries of the broadcast table, and the code points of a key at most: about 4 MB.
 FREQUENT, KEY_CHARS = 1 << 15, 32
 #: Entries of a worker's cache at most; it then starts again from the frequent ones.
-CACHE = 400_000
+CACHE = 600_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, the others from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Cache(dict):
+    """Pre-token to value; a missing one is encoded and kept while there is room."""
+
+    def __init__(self, encode, start: dict) -> None:
+        super().__init__(start)
+        self.encode = encode
+
+    def __missing__(self, word: str):
+        value = self.encode(word)
+        if len(self) < 2 * CACHE:
+            self[word] = value
+        return value
 
 
 class Encoder:
@@ -50,45 +89,36 @@ class Encoder:
             return
         import tokenizers
 
-        self.model = tokenizers.Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.whole = lambda text: self.model.encode(text, add_special_tokens=False).ids
+        library = tokenizers.Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        self.whole = lambda text: library.encode(text, add_special_tokens=False).ids
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         pre = made.get("pre_tokenizer") or {}
         if made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.split = regex.compile(PRE_TOKEN).findall
+            self.split = _splitter().findall
             names = [x["content"] for x in made.get("added_tokens", [])]
-            self.special = regex.compile("|".join(map(regex.escape, names))).search if names else None
-        self.frequent = self._encoded(list(frequent)) if self.split else {}
-        self.cache = dict(self.frequent)
+            self.special = re.compile("|".join(map(re.escape, names))).search if names else None
+            self.model, self.letters = library.model, _byte_letters()
+            self.frequent = {w: self._one(w) for w in frequent}
+            self.cache = _Cache(self._one, self.frequent)
 
     def _value(self, ids: list[int]) -> int | bytes:
         return struct.pack(f"<{len(ids)}I", *ids) if self.ids else len(ids)
 
-    def _encoded(self, words: list[str]) -> dict[str, int | bytes]:
-        return {w: self._value(x.ids) for w, x in zip(words, self.model.encode_batch(words, add_special_tokens=False), strict=True)}
+    def _one(self, word: str) -> int | bytes:
+        """One pre-token by the library's model: its bytes' letters, merged."""
+        return self._value([x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
 
     def __call__(self, text: str | None) -> int | bytes:
         if not text:
             return b"" if self.ids else 0
         if self.split is None or _RARE.search(text) or self.special and self.special(text):
             return self._value(self.whole(text))
-        words, cache = self.split(text), self.cache
-        try:
-            found = [*map(cache.__getitem__, words)]
-        except KeyError:
-            missing = [w for w in set(words) if w not in cache]
-            if len(cache) + len(missing) > CACHE:
-                self.cache = cache = dict(self.frequent)
-                missing = [w for w in set(words) if w not in cache]
-            new = self._encoded(missing)
-            if len(new) > CACHE:  # a single text with more kinds of pre-tokens than the cache holds
-                cache = cache | new
-            else:
-                cache.update(new)
-            found = [*map(cache.__getitem__, words)]
+        if len(self.cache) > CACHE:
+            self.cache = _Cache(self._one, self.frequent)
+        found = map(self.cache.__getitem__, self.split(text))
         return b"".join(found) if self.ids else sum(found)
 
 
@@ -107,9 +137,11 @@ def frequent_pre_tokens(docs: DataFrame, path: str, text: str = "text") -> list[
     made = Encoder(path, False)
     if made.split is None:
         return []
-    part = docs.select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.xxhash64(F.substring(text, 1, 256)).alias("h"))
+    total = docs.count()
+    head = docs.select(F.substring(text, 1, SAMPLE_CHARS).alias("t"))
+    draw = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < math.ceil((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, total)))
     counts: Counter[str] = Counter()
-    for (t,) in part.orderBy("h", "t").limit(SAMPLE_DOCS).select("t").collect():
+    for (t,) in head.where(draw).limit(2 * SAMPLE_DOCS).collect():  # about SAMPLE_DOCS in all, a few of each task
         counts.update(made.split(t or ""))
     return [w for w, _ in counts.most_common(FREQUENT) if len(w) <= KEY_CHARS]
 
