@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import mixing, packing, quality, sharding, tokens
+from quillspark.llm import mixing, packing, quality, setjoin, sharding, tokens
 from quillspark.llm.common import table
 
 
@@ -36,12 +36,17 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op6_sharding": op6_sharding,
     "op8_packing": op8_packing,
     "op9_source_mix": op9_source_mix,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
