@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import mixing, packing, paragraphs, quality, setjoin, sharding, tokens
+from quillspark.llm import mixing, packing, paragraphs, quality, setjoin, sharding, tokens, warc
 from quillspark.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op8_packing": op8_packing,
     "op9_source_mix": op9_source_mix,
@@ -55,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
     "op9_source_mix": mixing.ORACLE,
 }
