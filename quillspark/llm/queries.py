@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import mixing, packing, paragraphs, quality, setjoin, sharding, tokens, warc
+from quillspark.llm import mixing, packing, paragraphs, quality, setjoin, sharding, tokens, topk, warc
 from quillspark.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(table(spark, sf_dir, "embeddings"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
     "op8_packing": op8_packing,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_exact_top_k": topk.ORACLE,
     "op5_warc": warc.ORACLE,
     "op9_source_mix": mixing.ORACLE,
 }
