@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import mixing, packing, paragraphs, quality, setjoin, sharding, tokens, topk, warc
+from quillspark.llm import langid, mixing, packing, paragraphs, quality, setjoin, sharding, tokens, topk, warc
 from quillspark.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
+    "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op9_source_mix": op9_source_mix,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
