@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from quillspark.plans import images, labels, models, selection, streams, texts
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+for module in (labels, texts, models, images, selection, streams):
+    QUERIES.update(module.QUERIES)
+    ORACLES.update(module.ORACLES)
