@@ -3,8 +3,8 @@
 Writing.  A page is an HTTP response with chunked transfer framing in a ``response`` record; a page whose payload has been kept
 elsewhere is a ``revisit`` record that names it.  A block larger than SEGMENT bytes is cut: the first record has
 WARC-Segment-Number 1, the others are ``continuation`` records with the first one's id, their number and, on the last, the
-total length.  Records are dealt to archives of about ARCHIVE_BYTES by a hash of record and segment, so that no page, however
-long, makes an archive large; Spark's text writer puts them into the files, its line separator being the end of a record.
+total length.  Spark's text writer puts the records into compressed archives where they are made, its line separator being the
+end of a record; as records are bounded and counted, so is an archive, however long a page is.
 
 Reading.  Archives are parsed one by one; segments are grouped by their origin's id, put in order, checked for gaps and against
 the total length, and joined; the chunked framing is taken off.  A revisit's payload is that of the record it refers to.
@@ -16,7 +16,7 @@ read by length; an empty table gives empty archives and no row.
 
 from __future__ import annotations
 
-import math
+import gzip
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,7 +31,8 @@ VERSION = b"WARC/1.1"
 REVISIT_BYTES = 1000
 SEGMENT = 64 << 10
 CHUNK = 16 << 10
-ARCHIVE_BYTES = 8 << 20
+#: Records of an archive at most; none is larger than SEGMENT and its fields.
+ARCHIVE_RECORDS = 512
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -110,14 +111,12 @@ def write_archives(pages: DataFrame, path: str) -> None:
                 else:
                     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
                 made = list(segments(fields, uid, block))
-                yield pa.record_batch([pa.array([f"{uid}/{i}" for i in range(len(made))]), pa.array(made, pa.binary())], names=["part", "record"])
+                yield pa.record_batch([pa.array(made, pa.binary())], names=["record"])
 
-    total = pages.agg(F.sum(F.octet_length(F.coalesce("html", F.lit(""))) + 1000)).first()[0] or 0
-    count = max(1, math.ceil(total / ARCHIVE_BYTES))
-    records = pages.mapInArrow(make, "part string, record binary")
-    dealt = records.repartition(count, F.xxhash64("part"))
+    records = pages.mapInArrow(make, "record binary")
     # The text writer puts a value's bytes as they are; the separator ends the record.
-    dealt.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    rows = records.select(F.col("record").cast("string").alias("value"))
+    rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip").text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +126,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column("content"):
                 rows = []
-                for f, block in parse(data.as_buffer().to_pybytes()):
+                for f, block in parse(gzip.decompress(data.as_buffer())):
                     origin = f.get("warc-segment-origin-id") or f["warc-record-id"]
                     rows.append((origin[1:-1], f["warc-type"], f.get("warc-refers-to", "")[1:-1] or None, (f.get("warc-payload-digest") or "").removeprefix("sha1:").lower() or None,
                                  int(f.get("warc-segment-number", 0)), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, block))
