@@ -104,3 +104,7 @@ def source_of_label_file(c: Column) -> Column:
 
 def serial_name(prefix: Column, number: Column, extension: str = ".png") -> Column:
     return F.format_string("%s_%04d" + extension, prefix, number)
+
+
+def filled_or_empty(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
