@@ -1,12 +1,14 @@
 """Exact links between sets of 64-bit tokens from posting lists, without all pairs of a list.
 
 A set is known by its class number (a hash of the whole set), so that exact copies are one class from the start.  Classes
-with the same postings and size are one group.  Links are found in two rounds:
-
-1. Each list's first group is paired with the list's others, and each group's first class with its others: a star, linear in the
-   list's length.  Verified pairs give components.
-2. In lists whose classes are still in more than one component, every pair of groups from different components is
-   tried, unless both are in the list's largest one, under the size and position filters; the pairs that pass are
+with the same postings and size are one group.  Links are found in three steps:
+
+1. Each list's most central group (least ``far``) of each band of sizes is paired with the band's others, by the groups' first classes, and each group's first class with its
+   others: stars, linear in the lists' and groups' lengths.  Verified pairs give components.
+2. In lists in which components still meet, what is outside of the largest one is paired with its most central member, then with drawn
+   ones: stars again.
+3. In lists whose classes are still in more than one component, every pair of groups from different components is
+   tried, unless both are in the list's largest one, under the size, position and bitmap filters; the pairs that pass are
    expanded to their classes and verified.
 
 Two classes that share a list are therefore in one component or have been compared: no link between components is lost.
@@ -14,7 +16,9 @@ Two classes that share a list are therefore in one component or have been compar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,12 @@ from quillspark.llm.common import partitions, written
 from quillspark.llm.components import components
 
 PERCENT = 80
+#: Further stars that are tried before pairs are.
+MORE_STARS = 3
+#: Pairs for each row of a list up to which no further stars are worth their while.
+FEW_PAIRS = 8
+#: Words of 64 bits in a set's bitmap, where postings have one (columns b0, b1, ..).
+BITMAP = 4
 
 PACKED = "bucket int, ids binary, counts binary, keys binary"
 
@@ -89,17 +99,27 @@ def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(find, "part int, ids binary, keys binary, counts binary")
 
 
-def _fits(n: Column, m: Column, i: Column, j: Column, percent: int) -> Column:
-    """Size filter, and position filter at a pair's first common token; positions may be null."""
-    size = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    most = F.least(n - i, m - j)
-    return size & F.coalesce((100 + percent) * most >= percent * (n + m), F.lit(True))
+def _fits(left: str, right: str, bits: list[str], percent: int, place: bool = True) -> Column:
+    """Bounds that no pair as similar as asked for fails, on columns with these prefixes.
+
+    Size; the place of the pair's first common token in either set (null: not known); and bitmaps: sets differ in as many tokens
+    as their bitmaps have different bits, or more.
+    """
+    n, m = F.col(f"{left}n"), F.col(f"{right}n")
+    out = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    if place:
+        most = F.least(n - F.col(f"{left}pos"), m - F.col(f"{right}pos"))
+        out &= F.coalesce((100 + percent) * most >= percent * (n + m), F.lit(True))
+    if bits:
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{left}{b}").bitwiseXOR(F.col(f"{right}{b}"))) for b in bits])
+        out &= (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
+    return out
 
 
 def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Of pairs (a, b) of classes, those whose sets are as similar as asked for."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = written(sets_of(ids), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,31 +140,56 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
 def link(postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT) -> DataFrame:
     """id and label of every class that is linked with another.
 
-    ``postings``: key, gid, n (size), pos (place of the key in the set's order, or null); ``members``: gid, id;
+    ``postings``: key, gid, n (size), pos (place of the key in the set's order, or null), far (the less, the more the set is expected
+    to have in common with its list) and, if any, the words of a bitmap; ``members``: gid, id;
     ``sets_of``: from a table of ids, their sets as id and tokens (sorted, packed).
     """
     postings, members = written(postings, "postings"), written(members, "members")
-    heads = postings.groupBy("key").agg(F.min(F.struct("gid", "n", "pos")).alias("h"), F.count("*").alias("size")).where("size > 1")
-    heads = written(heads.select("key", F.col("h.gid").alias("hg"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hp")), "heads")
-    star = postings.join(heads, "key").where((F.col("gid") != F.col("hg")) & _fits(F.col("n"), F.col("hn"), F.lit(None).cast("int"), F.lit(None).cast("int"), percent))
-    star = written(star.select("hg", "gid").distinct(), "star")
+    bits = [c for c in postings.columns if c not in ("key", "gid", "n", "pos", "far")]
+    own = ["gid", "n", "pos", *bits]
+    # Sizes in one band pass the size filter with each other, so a star's head suits its whole list.
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / (math.log(100 / min(percent, 99)) / 2)).cast("int").alias("band")
+    banded = postings.select("*", band)
+    heads = banded.groupBy("key", "band").agg(F.min(F.struct("far", *own)).alias("h"), F.count("*").alias("size")).where("size > 1")
+    heads = written(heads.select("key", "band", *(F.col(f"h.{c}").alias(f"h_{c}") for c in own)), "heads")
+    star = banded.join(heads, ["key", "band"]).where((F.col("gid") != F.col("h_gid")) & _fits("", "h_", bits, percent, place=False))
+    star = star.select(F.col("h_gid").alias("hg"), "gid").distinct()
     first = written(members.groupBy("gid").agg(F.min("id").alias("first")), "first")
     inside = members.join(first, "gid").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    across = star.join(first.withColumnsRenamed({"gid": "hg"}), "hg").select("gid", F.col("first").alias("a")).join(members, "gid").select("a", F.col("id").alias("b"))
-    links = written(verified(inside.union(across), sets_of, percent), "links")
-    labels = components(links, "a", "b")
-
-    placed = members.join(labels, "id", "left").select("gid", "id", F.coalesce("label", "id").alias("comp"))
-    placed = written(placed, "placed")
-    rows = written(postings.join(placed.select("gid", "comp").distinct(), "gid"), "rows")
-    tally = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("major"))
-    tally = written(tally.where("comps > 1").select("key", "major"), "tally")
-    mixed = written(rows.join(tally, "key"), "mixed")
-    left = mixed.where("comp <> major").select("key", *(F.col(c).alias(f"l_{c}") for c in ("gid", "n", "pos", "comp")))
-    right = mixed.select("key", "major", *(F.col(c).alias(f"r_{c}") for c in ("gid", "n", "pos", "comp")))
+    across = star.join(first.select(F.col("gid").alias("hg"), F.col("first").alias("a")), "hg").join(first.withColumnsRenamed({"first": "b"}), "gid").select("a", "b")
+    links = [written(verified(inside.union(across), sets_of, percent), "links")]
+
+    def labelled() -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+        """The labels so far, every class's group and component, the rows of lists in which components meet (with the list's largest one), and
+        whether their pairs are many more than they are."""
+        labels = written(components(reduce(DataFrame.union, links), "a", "b"), "labels")
+        placed = written(members.join(labels, "id", "left").select("gid", "id", F.coalesce("label", "id").alias("comp")), "placed")
+        rows = written(postings.join(placed.groupBy("gid", "comp").agg(F.min("id").alias("some")), "gid"), "rows")
+        tally = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"))
+        tally = written(tally.where("comps > 1").select("key", F.col("top.comp").alias("major"), ((F.col("all") - F.col("top.c")) * F.col("all")).alias("work"), "all"), "tally")
+        work, size = tally.agg(F.coalesce(F.sum("work"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+        return labels, placed, written(rows.join(tally.select("key", "major"), "key"), "mixed"), work > FEW_PAIRS * size
+
+    labels, placed, mixed, many = labelled()
+    for k in range(MORE_STARS if many else 0):  # where pairs are few for each row, they are tried at once
+        inner = mixed.where("comp = major").groupBy("key", band).agg(F.min(F.struct((F.xxhash64(F.lit(k), "gid") if k else F.col("far")).alias("draw"), *own, "some")).alias("h"))
+        inner = written(inner.select("key", "band", F.col("h.some").alias("a"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in own)), "heads")
+        again = mixed.where("comp <> major").select("*", band).join(inner, ["key", "band"]).where(_fits("", "h_", bits, percent)).select("a", F.col("some").alias("b"))
+        found = written(verified(again, sets_of, percent), "links")
+        if found.isEmpty():
+            break
+        links.append(found)
+        labels, placed, mixed, many = labelled()
+        if not many:
+            break
+    if mixed.isEmpty():
+        return labels
+    left = mixed.where("comp <> major").select("key", *(F.col(c).alias(f"l_{c}") for c in (*own, "comp")))
+    right = mixed.select("key", "major", *(F.col(c).alias(f"r_{c}") for c in (*own, "comp")))
     other = (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("major")) | (F.col("l_comp") < F.col("r_comp")))
-    cross = left.join(right, "key").where(other & _fits(F.col("l_n"), F.col("r_n"), F.col("l_pos"), F.col("r_pos"), percent))
+    cross = left.join(right, "key").where(other & _fits("l_", "r_", bits, percent))
     cross = written(cross.select("l_gid", "l_comp", "r_gid", "r_comp").distinct(), "cross")
     of = lambda side: placed.select(F.col("gid").alias(f"{side}_gid"), F.col("comp").alias(f"{side}_comp"), F.col("id").alias("a" if side == "l" else "b"))
     more = cross.join(of("l"), ["l_gid", "l_comp"]).join(of("r"), ["r_gid", "r_comp"]).select("a", "b")
-    return components(links.union(verified(more, sets_of, percent)), "a", "b")
+    last = written(verified(more, sets_of, percent), "links")
+    return labels if last.isEmpty() else components(reduce(DataFrame.union, [*links, last]), "a", "b")

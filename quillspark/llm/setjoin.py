@@ -30,12 +30,18 @@ WIDTH = 5
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
+def class_numbers(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each sorted, non-empty set; the sets lie one after another."""
+    if not len(sizes):
+        return np.empty(0, np.int64)
+    place = np.arange(1, len(tokens) + 1, dtype=np.uint64) - np.repeat(starts.astype(np.uint64), sizes)
+    mixed = np.bitwise_xor.reduceat(mix(tokens + mix(place * _SALT)), starts)
+    return mix(mixed + sizes.astype(np.uint64) * _SALT).view(np.int64)
+
+
 def class_number(tokens: np.ndarray) -> int:
-    """A 64-bit hash of a sorted set."""
-    if not len(tokens):
-        return 0
-    place = mix(np.arange(1, len(tokens) + 1, dtype=np.uint64) * _SALT)
-    return int(mix(np.bitwise_xor.reduce(mix(tokens + place), keepdims=True) + np.array([len(tokens)], np.uint64) * _SALT)[0].view(np.int64))
+    """A 64-bit hash of a sorted set; 0 for the empty one."""
+    return int(class_numbers(tokens, np.zeros(1, np.int64), np.array([len(tokens)]))[0]) if len(tokens) else 0
 
 
 def _parts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -72,14 +78,14 @@ def _packed_tokens(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _prefixes(shared: DataFrame, classes: DataFrame, parts: int, percent: int) -> DataFrame:
-    """id, n, gid, pos (place of the first key) and keys: the part of each class's prefix that other classes have, if any."""
+    """id, n, gid, pos (place of the first key), far and keys: the part of each class's prefix that other classes have, if any."""
 
     def make(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         sizes = dict(zip(right.column("id").to_pylist(), right.column("n").to_pylist(), strict=True))
         join = lambda n, kind: np.concatenate([np.frombuffer(b, kind) for b in left.column(n).to_pylist()] or [np.empty(0, kind)])
         own, keys, counts = join("ids", np.int64), join("keys", np.int64), join("counts", np.int32)
         order = np.lexsort((keys, counts, own))
-        own, keys = own[order], keys[order]
+        own, keys, weight = own[order], keys[order], np.log2(counts[order])
         edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else []
         out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -89,17 +95,19 @@ def _prefixes(shared: DataFrame, classes: DataFrame, parts: int, percent: int) -
             if alone < prefix:
                 some = keys[a : min(b, a + prefix - alone)]
                 gid = class_number(np.append(some.view(np.uint64), np.uint64(n)))
-                out.append((int(own[a]), n, gid, alone, some.tolist()))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("id", "n", "gid", "pos", "keys"), columns, kinds, strict=True)})
+                # The more common its rarest shingles are, the nearer a set is to the middle of its near copies.
+                far = -round(1000 * weight[a : a + len(some)].sum() / prefix)
+                out.append((int(own[a]), n, gid, alone, far, some.tolist()))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (*[pa.int64()] * 5, pa.list_(pa.int64()))
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("id", "n", "gid", "pos", "far", "keys"), columns, kinds, strict=True)})
 
     right = classes.withColumn("part", F.expr(f"cast(case when id >= 0 then id % {parts} else pmod(id % {parts} + {2**64 % parts}, {parts}) end as int)"))
     return left_cogroup(shared, right, make)
 
 
 def left_cogroup(left: DataFrame, right: DataFrame, make) -> DataFrame:
-    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(make, "id long, n long, gid long, pos long, keys array<long>")
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(make, "id long, n long, gid long, pos long, far long, keys array<long>")
 
 
 def sets_from(docs: DataFrame, known: DataFrame, width: int):
@@ -132,9 +140,9 @@ def document_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     known = written(fingerprints(docs, width), "fingerprints")
     classes = known.where("n > 0").groupBy("id").agg(F.first("n").alias("n"))
     prefixes = written(_prefixes(shared_keys(_packed_tokens(docs, width), parts), classes, parts, percent), "prefixes")
-    groups = prefixes.groupBy("gid").agg(F.min(F.struct("n", "pos", "keys")).alias("g")).select("gid", "g.n", "g.pos", F.posexplode("g.keys").alias("k", "key"))
-    postings = groups.select("key", "gid", "n", (F.col("pos") + F.col("k")).alias("pos"))
-    return known, written(link(postings, prefixes.select("gid", "id"), sets_from(docs, known, width), percent), "labels")
+    groups = prefixes.groupBy("gid").agg(F.min(F.struct("n", "pos", "far", "keys")).alias("g")).select("gid", "g.n", "g.pos", "g.far", F.posexplode("g.keys").alias("k", "key"))
+    postings = groups.select("key", "gid", "n", (F.col("pos") + F.col("k")).alias("pos"), "far")
+    return known, link(postings, prefixes.select("gid", "id"), sets_from(docs, known, width), percent)
 
 
 def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
