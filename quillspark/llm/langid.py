@@ -32,6 +32,8 @@ PENALTY = 3.0
 MOST_LANGUAGES = 4
 STEP_BYTES = 4 << 20
 HOLD_OUT = 5
+#: Labels that the model may have at most.
+MOST_LABELS = 4096
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[*range(0x21), 0x7F]] = 0x20
@@ -74,8 +76,11 @@ def _steps(texts: list[bytes | None], size: int) -> Iterator[tuple[int, int]]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages by name, and the logarithm of each trigram bucket's probability in them (languages by buckets)."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    share = counts.select("lang", F.least(F.lit(1.0), sample / F.col("n")).alias("share"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: these are no languages")
+    # MOST_LABELS rows at most, so that no text is shuffled by its language.
+    share = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, min(1.0, sample / r.n)) for r in counts], "lang string, share double"))
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < F.ceil(F.col("share") * (1 << 30))
     drawn = labelled.join(share, "lang").where(draw).select("lang", "text")
 
