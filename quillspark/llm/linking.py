@@ -137,7 +137,7 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     return with_b.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def link(postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT) -> DataFrame:
+def link(postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT, stars: int = MORE_STARS) -> DataFrame:
     """id and label of every class that is linked with another.
 
     ``postings``: key, gid, n (size), pos (place of the key in the set's order, or null), far (the less, the more the set is expected
@@ -171,7 +171,7 @@ def link(postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame],
         return labels, placed, written(rows.join(tally.select("key", "major"), "key"), "mixed"), work > FEW_PAIRS * size
 
     labels, placed, mixed, many = labelled()
-    for k in range(MORE_STARS if many else 0):  # where pairs are few for each row, they are tried at once
+    for k in range(stars if many else 0):  # where pairs are few for each row, they are tried at once
         inner = mixed.where("comp = major").groupBy("key", band).agg(F.min(F.struct((F.xxhash64(F.lit(k), "gid") if k else F.col("far")).alias("draw"), *own, "some")).alias("h"))
         inner = written(inner.select("key", "band", F.col("h.some").alias("a"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in own)), "heads")
         again = mixed.where("comp <> major").select("*", band).join(inner, ["key", "band"]).where(_fits("", "h_", bits, percent)).select("a", F.col("some").alias("b"))

@@ -3,7 +3,7 @@
 A paragraph is a line of MIN_WORDS words or more; its set is its distinct 5-word shingles, lower-cased.  Paragraphs with equal
 sets are one class.  Classes meet by MinHash banding: ROWS minima make a band, and as many bands are used as bring the
 chance to miss a pair at the threshold under MISS.  Classes that collide are joined, their exact Jaccard similarity is
-verified on whole sets, and the components of the verified links are the clusters.  Of each cluster the first
+verified on whole sets (after a bitmap bound that no such pair fails), and the components of the verified links are the clusters.  Of each cluster the first
 paragraph (by document id, then text hash, then place) stays and the others go.
 
 Only integers are shuffled: bands are packed by batch, and what comes back are the keys that two classes share.
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import BLANKS, FILTER_SLOTS, likely_in, partitions, written
-from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared_keys
-from quillspark.llm.setjoin import WIDTH, class_number
+from quillspark.llm.linking import BITMAP, PACKED, PERCENT, buckets, link, packed, shared_keys
+from quillspark.llm.setjoin import WIDTH, class_numbers
 from quillspark.llm.shingles import mix, steps, windows, word_hashes
 
 MIN_WORDS = 20
@@ -38,10 +38,11 @@ def bands(percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
 
 
-def paragraphs_of(texts: list[bytes | None], min_words: int, width: int = WIDTH) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
-    """Text number, line number, begin, end (bytes), words and sorted set of each line with enough words."""
-    for a, b in steps(texts):
-        part = [t or b"" for t in texts[a:b]]
+class Paragraphs:
+    """The paragraphs of a batch of texts, in arrays: their texts' numbers, places, classes and sets."""
+
+    def __init__(self, texts: list[bytes | None], min_words: int, width: int = WIDTH) -> None:
+        part = [t or b"" for t in texts]
         data = np.frombuffer(b"\n".join(part), np.uint8)
         at = np.cumsum([0, *(len(t) + 1 for t in part)])
         start, _, words = word_hashes(data, True)
@@ -50,46 +51,63 @@ def paragraphs_of(texts: list[bytes | None], min_words: int, width: int = WIDTH)
         begins = np.r_[0, ends[:-1] + 1]
         first, last = np.searchsorted(start, begins), np.searchsorted(start, ends)
         long_ = np.flatnonzero(last - first >= max(min_words, width))
-        text = np.searchsorted(at, begins[long_], "right") - 1
-        line0 = np.searchsorted(begins, at[:-1])
-        for k, t in zip(long_.tolist(), text.tolist(), strict=True):
-            yield a + t, k - int(line0[t]), int(begins[k] - at[t]), int(ends[k] - at[t]), int(last[k] - first[k]), np.unique(shingles[first[k] : last[k] - width + 1])
-
-
-def _occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, th, para, begin, stop, words, id (class) and n (size of the set) of every paragraph."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(t, p, b, e, w, class_number(s), len(s)) for t, p, b, e, w, s in paragraphs_of(batch.column("text").cast(pa.binary()).to_pylist(), min_words)]
-            columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 7)]
-            yield pa.record_batch([batch.column("doc_id").take(columns[0]), batch.column("th").take(columns[0]), *columns[1:]], names=["doc_id", "th", "para", "begin", "stop", "words", "id", "n"])
-
-    schema = "doc_id long, th long, para long, begin long, stop long, words long, id long, n long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(make, schema)
-
-
-def _packed_bands(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
+        self.text = np.searchsorted(at, begins[long_], "right") - 1
+        self.line = long_ - np.searchsorted(begins, at[:-1])[self.text]
+        self.begin, self.stop = begins[long_] - at[self.text], ends[long_] - at[self.text]
+        self.words = last[long_] - first[long_]
+        self.sets = [np.unique(shingles[a : b - width + 1]) for a, b in zip(first[long_].tolist(), last[long_].tolist(), strict=True)]
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]].astype(np.int64)
+        self.tokens = np.concatenate(self.sets) if self.sets else np.empty(0, np.uint64)
+        self.ids = class_numbers(self.tokens, self.starts, self.sizes)
+
+    def bitmaps(self) -> np.ndarray:
+        """BITMAP words of 64 bits for each set: the parity of the tokens that fall on each bit."""
+        n = len(self.sets)
+        bit = (self.tokens % np.uint64(64 * BITMAP)).astype(np.int64) + np.repeat(np.arange(n), self.sizes) * (64 * BITMAP)
+        odd = (np.bincount(bit, minlength=n * 64 * BITMAP) & 1).astype(np.uint8)
+        return np.packbits(odd.reshape(n, -1), axis=1).view(np.int64)
+
+    def band_keys(self, count: int, rows: int) -> np.ndarray:
+        """For each set (rows), the key of each band: its number and the least of ``rows`` orders of its tokens."""
+        out = np.repeat(np.arange(1, count + 1, dtype=np.uint64)[None, :], len(self.sets), 0)
+        seeds = mix(np.arange(1, 2 * count * rows + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for k in range(count * rows if len(self.sets) else 0):
+            least = np.minimum.reduceat((self.tokens ^ seeds[2 * k]) * (seeds[2 * k + 1] | np.uint64(1)), self.starts)
+            band = k // rows
+            out[:, band] = mix(out[:, band] * np.uint64(0x100000001B3) + least)
+        return out
+
+
+_FOUND = "doc_id long, th long, para long, begin long, stop long, words long, id long, n long"
+_BITS = [f"b{k}" for k in range(BITMAP)]
+
+
+def _scan(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
+    """In one pass over the texts, two kinds of rows: each paragraph's place, class and bitmap; and packed band keys, by bucket."""
     n, count = buckets(docs), bands(percent)
-    seeds = mix(np.arange(1, count * ROWS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    fields = [(f.split()[0], pa.int64()) for f in _FOUND.split(", ")] + [(b, pa.int64()) for b in _BITS] + [("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())]
+    schema = pa.schema(fields)
 
-    def keys(tokens: np.ndarray) -> np.ndarray:
-        least = mix(tokens[None, :] ^ seeds[:, None]).min(1).reshape(count, ROWS)
-        out = np.arange(1, count + 1, dtype=np.uint64)
-        for k in range(ROWS):
-            out = mix(out * np.uint64(0x100000001B3) + least[:, k])
-        return np.unique(out)
+    def filled(columns: dict, size: int) -> pa.RecordBatch:
+        return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for a, b in steps(texts):
-                sets = {class_number(s): s for *_, s in paragraphs_of(texts[a:b], min_words)}
-                rows = packed(list(sets), [keys(s) for s in sets.values()], n)
-                if rows is not None:
-                    yield rows
+                p = Paragraphs(texts[a:b], min_words)
+                if not p.sets:
+                    continue
+                own = pa.array(p.text + a)
+                columns = {"doc_id": batch.column("doc_id").take(own), "th": batch.column("th").take(own)}
+                columns |= {f: pa.array(x.astype(np.int64)) for f, x in (("para", p.line), ("begin", p.begin), ("stop", p.stop), ("words", p.words), ("id", p.ids), ("n", p.sizes))}
+                yield filled(columns | {f: pa.array(x) for f, x in zip(_BITS, p.bitmaps().T.copy(), strict=True)}, len(p.sets))
+                rows = packed(p.ids.tolist(), list(p.band_keys(count, ROWS)), n)
+                yield filled({f: rows.column(f) for f in rows.schema.names}, len(rows))
 
-    return docs.select("text").mapInArrow(make, PACKED)
+    kinds = f"{_FOUND}, {', '.join(f'{b} long' for b in _BITS)}, {PACKED}"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(make, kinds)
 
 
 def _unpacked(shared: DataFrame) -> DataFrame:
@@ -102,6 +120,8 @@ def _unpacked(shared: DataFrame) -> DataFrame:
 
 
 def _sets_from(docs: DataFrame, classes: DataFrame, min_words: int):
+    """Of a table of class ids, the sets, made again from one text of each; what else is in the texts is passed by bounded filters."""
+
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = written(classes.join(ids, "id").select("id", "th"), "wanted")
 
@@ -109,23 +129,28 @@ def _sets_from(docs: DataFrame, classes: DataFrame, min_words: int):
             for batch in batches:
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 for a, b in steps(texts):
-                    rows = {class_number(s): s.tobytes() for *_, s in paragraphs_of(texts[a:b], min_words)}
+                    p = Paragraphs(texts[a:b], min_words)
+                    rows = {i: s.tobytes() for i, s in zip(p.ids.tolist(), p.sets, strict=True)}
                     yield pa.record_batch([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["id", "tokens"])
 
         found = likely_in(docs.select(F.xxhash64("text").alias("th"), "text"), "th", wanted, "th").select("text").mapInArrow(make, "id long, tokens binary")
-        return found.join(wanted.select("id"), "id").dropDuplicates(["id"])
+        return likely_in(found, "id", wanted, "id").join(wanted.select("id"), "id").dropDuplicates(["id"])
 
     return sets_of
 
 
 def duplicates(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
     """Every paragraph that goes: doc_id, th, para, begin, stop, words, and kept_doc_id and kept_para of the one that stays."""
-    found = written(_occurrences(docs, min_words), "paragraphs")
-    classes = written(found.groupBy("id").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.min(F.struct("doc_id", "th", "para")).alias("f"), F.count("*").alias("c")), "classes")
-    shared = _unpacked(shared_keys(_packed_bands(docs, min_words, percent), partitions(docs.sparkSession)))
-    postings = written(shared, "bands").join(classes.select("id", "n"), "id").select("key", F.col("id").alias("gid"), "n", F.lit(None).cast("long").alias("pos"))
+    scanned = written(_scan(docs, min_words, percent), "paragraphs")
+    found = scanned.where("bucket is null")
+    classes = written(found.groupBy("id").agg(F.min("th").alias("th"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in _BITS), F.min(F.struct("doc_id", "th", "para")).alias("f"), F.count("*").alias("c")), "classes")
+    shared = _unpacked(shared_keys(scanned.where("bucket is not null").select("bucket", "ids", "counts", "keys"), partitions(docs.sparkSession)))
+    postings = written(shared, "bands").join(classes.select("id", "n", "c", *_BITS), "id")
+    # Of near copies, the text that occurs most often is the likeliest to be what the others were made from.
+    postings = postings.select("key", F.col("id").alias("gid"), "n", F.lit(None).cast("long").alias("pos"), (-F.col("c")).alias("far"), *_BITS)
     alone = postings.select("gid").distinct().select("gid", F.col("gid").alias("id"))
-    labels = written(link(postings, alone, _sets_from(docs, classes, min_words), percent), "labels")
+    # Bitmaps leave few pairs of short sets, so no stars beyond the first are worth their tables.
+    labels = link(postings, alone, _sets_from(docs, classes, min_words), percent, stars=0)
     of = classes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "f", "c")
     of = written(of, "clusters")
     keep = written(of.groupBy("label").agg(F.min("f").alias("k"), F.sum("c").alias("total")).where("total > 1"), "keepers")
