@@ -184,3 +184,31 @@ def strip(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -
     kinds = dict(docs.dtypes)
     columns = [(new[c].cast(kinds[c]) if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
     return apart.unionByName(asked.select(*columns))
+
+
+# The same in SQL, over a table documents whose ids are distinct, with all pairs of paragraphs that share a shingle in place of bands.
+ORACLE = f"""
+with recursive l as (
+  select doc_id, unnest(range(len(string_split(text, chr(10))))) as k, unnest(string_split(text, chr(10))) as line from documents where text is not null
+), w as (
+  select doc_id, k, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w,
+    (coalesce(sum(octet_length(encode(line)) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0))::bigint as begin_byte from l
+), p as (
+  select doc_id, k, begin_byte, begin_byte + octet_length(encode(line)) as end_byte, len(w) as n_words, list_sort(list_distinct(list_transform(range(1, len(w) - {WIDTH} + 2), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')))) as s from w where len(w) >= {MIN_WORDS}
+), c as (
+  select md5(array_to_string(s, '|')) as id, any_value(s) as s, any_value(len(s)) as n, min(row(doc_id, k)) as f from p group by 1
+), t as (
+  select id, n, unnest(s) as s from c
+), pairs as (
+  select a.id as x, b.id as y, a.n as n, b.n as m, count(*) as c from t a join t b using (s) where a.id < b.id and 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) group by all
+), linked as (
+  select x, y from pairs where 100 * c >= {PERCENT} * (n + m - c)
+), ways as (
+  select x, y from linked union all select y, x from linked
+), reach(id, other) as (
+  select id, id from c union select r.id, b.y from reach r join ways b on b.x = r.other
+), keep as (
+  select r.id, min(c.f) as f from reach r join c on c.id = r.other group by r.id
+)
+select doc_id, k as line_no, begin_byte, end_byte, n_words, f[1] as kept_doc_id, f[2] as kept_line_no from p join keep on keep.id = md5(array_to_string(s, '|')) where row(doc_id, k) <> f
+"""

@@ -188,3 +188,55 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns."""
     return judged(docs, docs.columns).where("_kept").select("_row.*")
+
+
+def oracle() -> str:
+    """The same in SQL, over a table documents whose ids are distinct."""
+    d = range(len(NAMES))
+    floors = [f"{v}::double" for v in FEATURES.values()]
+    word = r"[^\x20\x09-\x0D]+"
+    grid = lambda x: f"least(greatest(round({x}), 0), {GRID})::bigint"
+    sums = ", ".join([*(f"sum(n * x{i})::bigint as s{i}" for i in d), *(f"sum(n * x{i} * x{j})::bigint as p{i}{j}" for i, j in PAIRS)])
+    again = ", ".join([*(f"sum(s{i})::bigint as s{i}" for i in d), *(f"sum(p{i}{j})::bigint as p{i}{j}" for i, j in PAIRS)])
+    own = {(i, j): f"({CONSISTENCY}::double * (p{i}{j}::double / n - m{i} * m{j}))" for i, j in PAIRS}
+    cov = [f"greatest({own[i, j]}, 0.0::double) + {floors[i]} * {floors[i]} * (1 + {PRIOR}::double / (n + {PRIOR}::double)) as c{i}{j}" if i == j else f"{own[i, j]} * n / (n + {PRIOR}::double) as c{i}{j}" for i, j in PAIRS]
+    low = []
+    for j in d:
+        for i in range(j, len(NAMES)):
+            rest = f"c{j}{i}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            low.append(f"sqrt(greatest({rest}, 1.0::double)) as l{i}{j}" if i == j else f"({rest}) / l{j}{j} as l{i}{j}")
+    factor = ", ".join([*(f"s{i}::double / n as m{i}" for i in d), *cov, *low, "round(" + " + ".join(f"ln(l{i}{i})" for i in d) + ", 9) as log_det"])
+    fields = ", ".join(["lang", "source", "start", "log_det", *(f"m{i}" for i in d), *(f"l{i}{j}" for j in d for i in range(j, len(NAMES)))])
+    z = ", ".join(f"(x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i)) + f") / l{i}{i} as z{i}" for i in d)
+    distance = " + ".join(f"z{i} * z{i}" for i in d)
+    group = "v.lang is not distinct from e.lang and v.source is not distinct from e.source"
+    diagonal = ", ".join([*(f"med{i}::double as m{i}" for i in d), *(f"sqrt((1.4826::double * d{i}) * (1.4826::double * d{i}) + {floors[i]} * {floors[i]}) as l{i}{i}" if i == j else f"0.0::double as l{i}{j}" for j in d for i in range(j, len(NAMES)))])
+    steps = []
+    for k in range(1, CONCENTRATION_STEPS + 1):
+        steps.append(f"""r{k} as (select v.lang, v.source, start, n, {", ".join(f"x{i}" for i in d)}, {z}, floor(16 * ln({distance} + 1e-6::double)) as ring from v join e{k - 1} e on {group}),
+  q{k} as (select lang, source, start, ring, sum(n)::bigint as n, {sums} from (select lang, source, start, ring, n, {", ".join(f"x{i}" for i in d)} from r{k}) group by lang, source, start, ring),
+  k{k} as (select *, sum(n) over (partition by lang, source, start order by ring) - n as before, sum(n) over (partition by lang, source, start) as total from q{k}),
+  t{k} as (select lang, source, start, sum(n)::bigint as n, {again} from k{k} where before < {SUPPORT}::double * total group by lang, source, start),
+  e{k} as (select {fields} from (select *, {factor} from t{k}))""")
+    return f"""with a as (
+    select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{word}') as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) as lines from documents),
+  win as (select doc_id, unnest(range(1, len(w) - {WINDOW} + 2)) as i, unnest(list_transform(range(1, len(w) - {WINDOW} + 2), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) as x from a where len(w) >= {WINDOW}),
+  many as (select doc_id, i from win qualify count(*) over (partition by doc_id, x) > 1),
+  covered as (select doc_id, count(distinct i + k) as n from many, unnest(range({WINDOW})) o(k) group by doc_id),
+  st as (select a.doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols, len(lines)::bigint as n_lines,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words from a left join covered using (doc_id)),
+  f as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed, {grid("512 * ln(word_chars::double / n_words)")} as x0, {grid(f"{GRID} * sqrt(n_symbols::double / (word_chars + n_symbols))")} as x1,
+    {grid(f"{GRID} * n_dup_lines::double / n_lines")} as x2, {grid(f"{GRID} * n_repeat_words::double / n_words")} as x3 from st where n_words > 0 union all by name select *, true as base_failed, 0 as x0, 0 as x1, 0 as x2, 0 as x3 from st where n_words = 0),
+  v as (select lang, source, {", ".join(f"x{i}" for i in d)}, count(*) as n from f where not base_failed group by all),
+  docs as (select lang, source, {", ".join(f"x{i}" for i in d)} from f where not base_failed),
+  md as (select lang, source, {", ".join(f"median(x{i}) as med{i}" for i in d)} from docs group by lang, source),
+  sp as (select v.lang, v.source, {", ".join(f"any_value(med{i}) as med{i}, median(round(abs(x{i} - med{i}))) as d{i}" for i in d)} from docs v join md e on {group} group by v.lang, v.source),
+  t0 as (select lang, source, sum(n)::bigint as n, 1 as start, {sums} from v group by lang, source),
+  e0 as (select lang, source, 0 as start, 0.0::double as log_det, {diagonal} from sp union all by name select {fields} from (select *, {factor} from t0)),
+  {", ".join(steps)},
+  best as (select * from e{CONCENTRATION_STEPS} qualify row_number() over (partition by lang, source order by log_det, start) = 1),
+  told as (select doc_id, {distance} as distance from (select v.doc_id, {z} from f v join best e on {group} where not base_failed))
+  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(distance, 0) <= {LIMIT}::double as kept, round(distance, 4) as distance from f left join told using (doc_id)"""
+
+
+ORACLE = oracle()

@@ -70,7 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": paragraphs.ORACLE,
+    "op3_quality_rules": quality.ORACLE,
     "op4_exact_top_k": topk.ORACLE,
     "op5_warc": warc.ORACLE,
     "op9_source_mix": mixing.ORACLE,
+    "op10_ngram_jaccard_join": setjoin.ORACLE,
 }

@@ -179,3 +179,24 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     return components_of(docs).select("doc_id", "n_shingles", "component_id")
+
+
+# The same in SQL, over a table documents whose ids are distinct: all pairs of documents that share a shingle are counted.
+ORACLE = f"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+), sh as (
+  select doc_id, unnest(list_distinct(case when len(w) >= {WIDTH} then list_transform(range(1, len(w) - {WIDTH} + 2), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as s from w
+), n as (
+  select doc_id, count(s) as n from w left join sh using (doc_id) group by doc_id
+), pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b using (s) where a.doc_id < b.doc_id group by all
+), linked as (
+  select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= {PERCENT} * (a.n + b.n - c)
+), ways as (
+  select x, y from linked union all select y, x from linked
+), reach(doc_id, other) as (
+  select doc_id, doc_id from n union select r.doc_id, b.y from reach r join ways b on b.x = r.other
+)
+select doc_id, n as n_shingles, min(other) as component_id from reach join n using (doc_id) group by all
+"""
