@@ -82,3 +82,18 @@ def first_option(*options, message: str):
         if o is not None:
             return o
     raise ValueError(message)
+
+
+def plain_path(path):
+    """A listed path without its file scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def stage_models(spark: SparkSession, experiment: str, needed: tuple[str, ...] = ("metrics.json", "per_class_metrics.csv")) -> list[str]:
+    """Folders under models that hold all the files needed, by name."""
+    root = f"{experiment.rstrip('/')}/models"
+    if not exists(spark, root):
+        return []
+    found = files(spark, root).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.regexp_replace(plain_path(F.col("path")), "/[^/]*$", "").alias("folder"))
+    full = found.where(F.col("name").isin(*needed)).groupBy("folder").agg(F.countDistinct("name").alias("n")).where(F.col("n") == len(needed))
+    return [r.folder for r in full.orderBy("folder").collect()]  # a few stages
