@@ -5,7 +5,7 @@ rests of a group's documents are packed by decreasing length, each into the firs
 tournament tree of the sequences' free room.  Groups are drawn by a hash over rows, have a fixed expected size, and are packed
 apart from each other, so that no key and no run of copies makes one of them large.
 
-Cases: a null or empty text is the end id alone; repeated rows are packed each; ties in length go by doc_id, then by
+Cases: a null or empty text is the end id alone; a null document id stays null; repeated rows are packed each; ties in length go by doc_id, then by
 checksum; an empty table gives no piece.
 """
 
@@ -115,5 +115,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     groups = max(1, math.ceil(cut.count() / group_docs))
     # The written table's rows have fixed places, so the draw is the same again when a task is run again.
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), "doc_id"), F.lit(groups)).cast("int")
-    grouped = cut.withColumn("first_crc", F.get("crcs", F.lit(0))).withColumn("group_no", drawn)
-    return grouped.groupBy("group_no").applyInPandas(_pack_group(capacity), PIECES)
+    grouped = cut.select(F.col("doc_id").cast("string").alias("doc_id"), "doc_tokens", "crcs", F.get("crcs", F.lit(0)).alias("first_crc"), drawn.alias("group_no"))
+    # Ids travel as text, as a null among them would make pandas round the others.
+    packed = grouped.groupBy("group_no").applyInPandas(_pack_group(capacity), PIECES.replace("doc_id long", "doc_id string"))
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))

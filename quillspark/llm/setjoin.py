@@ -146,22 +146,22 @@ def document_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
 
 def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, th, n_shingles and component_id of every document."""
+    """doc_id, th, id (class), label (of the component, null without words), n_shingles and component_id of every document."""
     known, labels = document_classes(docs, width, percent)
     smallest = known.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("m")).join(labels, "id", "left").select("id", "m", F.coalesce("label", "id").alias("label"))
     smallest = written(smallest, "smallest")
     least = written(smallest.groupBy("label").agg(F.min("m").alias("component_id")), "least")
-    of = written(smallest.join(least, "label").select("id", "component_id"), "components")
+    of = written(smallest.join(least, "label").select("id", "label", "component_id"), "components")
     out = known.join(of, "id", "left")
-    return out.select("doc_id", "th", "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "th", "id", "label", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns; documents without words stay."""
     of = written(components_of(docs, width, percent).where("n_shingles > 0"), "document_components")
-    first = of.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("component_id", F.col("f.doc_id").alias("fd"), F.col("f.th").alias("ft"))
+    first = of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th")).alias("f")).select("label", F.col("f.doc_id").alias("fd"), F.col("f.th").alias("ft"))
     first = written(first, "first")
-    told = of.join(first, of["component_id"].eqNullSafe(first["component_id"])).select(of["doc_id"], of["th"], (F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("th") == F.col("ft"))).alias("keep"))
+    told = of.join(first, "label").select("doc_id", "th", (F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("th") == F.col("ft"))).alias("keep"))
     told = written(told.groupBy("doc_id", "th").agg(F.first("keep").alias("keep"), F.count("*").alias("c")).where("not keep or c > 1"), "told")
     row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("_row")
     rows = docs.select(row, docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_th"))

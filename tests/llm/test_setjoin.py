@@ -88,12 +88,12 @@ def test_against_brute_force_on_planted_groups(spark):
 
 
 def test_keep_one(spark):
-    rows = [(5, "a b c d e f g", "x", 1), (3, "a b c d e f g", "y", 2), (3, "a b c d e f g", "y", 2), (9, "other words in this one here", "z", 3), (7, None, "n", 4), (8, "", "n", 4), (None, "A b c d e f g", "k", 5)]
+    rows = [(5, "a b c d e f g", "x", 1), (3, "a b c d e f g", "y", 2), (3, "a b c d e f g", "y", 2), (9, "other words in this one here", "z", 3), (7, None, "n", 4), (8, "", "n", 4), (None, "A b c d e f g", "k", 5), (None, "quite another text without an id here", "k", 6), (None, "and one more that is not like it", "k", 7)]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = setjoin.keep_one(docs)
     assert got.columns == docs.columns
     left = sorted((tuple(r) for r in got.collect()), key=str)
-    assert len(left) == 4 and {r[0] for r in left} >= {7, 8, 9}
+    assert len(left) == 6 and sum(r[0] is None for r in left) == 2 and {r[0] for r in left} >= {7, 8, 9}
     assert setjoin.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0 and setjoin.report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 

@@ -84,6 +84,9 @@ def test_pieces_of_odd_rows(spark, library):
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), queries.byte_bpe()).toPandas()
     check_pieces(got, pd.DataFrame(rows, columns=["doc_id", "text", "n_tokens"]), library)
     twice = packing.pack(spark.createDataFrame([(7, "same", "x")] * 3, SCHEMA), queries.byte_bpe()).toPandas()
+    big = 2**60 + 1
+    ids = packing.pack(spark.createDataFrame([(None, "x", "x"), (big, "y", "x")], SCHEMA), queries.byte_bpe()).collect()
+    assert {r.doc_id for r in ids} == {None, big}
     assert len(twice) == 3 and twice[["sequence_id", "offset"]].drop_duplicates().shape[0] == 3
     assert packing.pack(spark.createDataFrame([], SCHEMA), queries.byte_bpe()).count() == 0
 
