@@ -19,14 +19,16 @@ def to_byte(x: Image) -> Image:
     return np.clip(np.rint(x), 0, 255).astype(np.uint8)
 
 
+def _mirror(n: int, r: int) -> np.ndarray:
+    """Places of an axis with ``r`` more at either end, folded back without repeating the rim."""
+    if n == 1:
+        return np.zeros(1 + 2 * r, int)
+    k = np.mod(np.arange(-r, n + r), 2 * (n - 1))
+    return np.where(k < n, k, 2 * (n - 1) - k)
+
+
 def _padded(x: Image, ry: int, rx: int) -> Image:
-    pad = [(ry, ry), (rx, rx)] + [(0, 0)] * (x.ndim - 2)
-    for mode in ("reflect",):
-        while pad[0][0] >= x.shape[0] > 1 or pad[1][0] >= x.shape[1] > 1:  # mirrored more than once in tiny images
-            step = [(min(p, n - 1),) * 2 for (p, _), n in zip(pad[:2], x.shape, strict=False)]
-            x = np.pad(x, step + pad[2:], mode)
-            pad[:2] = [(p - s[0],) * 2 for (p, _), s in zip(pad[:2], step, strict=True)]
-    return np.pad(x, pad, "reflect" if min(x.shape[:2]) > 1 else "edge")
+    return x[_mirror(x.shape[0], ry)][:, _mirror(x.shape[1], rx)]
 
 
 def separable(x: Image, ky: np.ndarray, kx: np.ndarray) -> Image:
@@ -70,8 +72,8 @@ def laplacian(g: Image) -> Image:
 
 def canny(g: Image, low: float, high: float) -> Image:
     """Edges (0 or 255): thin ridges of the gradient above ``high``, and those above ``low`` that touch one."""
-    dx = separable(np.pad(g, 0), np.array([1.0, 2, 1]), np.array([-1.0, 0, 1]))
-    dy = separable(np.pad(g, 0), np.array([-1.0, 0, 1]), np.array([1.0, 2, 1]))
+    dx = separable(g, np.array([1.0, 2, 1]), np.array([-1.0, 0, 1]))
+    dy = separable(g, np.array([-1.0, 0, 1]), np.array([1.0, 2, 1]))
     size = np.abs(dx) + np.abs(dy)
     p = np.pad(size, 1)
     h, w = g.shape
