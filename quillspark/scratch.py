@@ -24,14 +24,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def mark() -> int:
+    """How many paths there have been so far, for ``since``."""
+    return len(_written)
+
+
+def since(begin: int) -> list[tuple[SparkSession, str]]:
+    """The paths made since a mark."""
+    return _written[begin:]
+
+
+def drop(paths: list[tuple[SparkSession, str]]) -> None:
+    """Removes tables that nothing reads any more."""
+    for spark, path in paths:
+        _delete(spark, path)
+
+
 def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may have ended before; the folder is the cluster's to clean
-            return
+    try:
+        drop(_written)
+    except Exception:  # the JVM may have ended before; the folder is the cluster's to clean
+        return
 
 
 atexit.register(_drop_written)
