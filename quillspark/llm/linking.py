@@ -65,29 +65,53 @@ def packed(ids: list[int], sets: list[np.ndarray], n: int) -> pa.RecordBatch | N
     return pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "ids", "counts", "keys"])
 
 
-def shared_keys(rows: DataFrame, parts: int) -> DataFrame:
-    """From packed rows: part, ids, keys and counts (as packed integers) of the keys that two ids or more have."""
+def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's packed rows: ids, whole keys and counts of the keys that two ids or more have, by key."""
+    bucket = table.column("bucket")[0].as_py()
+    ids, keys = [], []
+    for i, c, k in zip(*(table.column(n) for n in ("ids", "counts", "keys")), strict=True):
+        own, count, key = np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.uint32), np.frombuffer(k.as_buffer(), np.uint32)
+        ids.append(np.repeat(own, count))
+        keys.append(key)
+    own, key = np.concatenate(ids), np.concatenate(keys)
+    del ids, keys
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    many = same.copy()
+    many[:-1] |= same[1:]
+    # Keys of one row only are most; they go before anything else is done.
+    own, key = own[order[many]], key[many]
+    del order, same, many
+    # An id that comes again, from another batch, brings the same keys.
+    order = np.lexsort((own, key))
+    own, key = own[order], key[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+    own, key = own[new], key[new]
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    count = np.diff(np.r_[begin, len(key)])
+    count = np.repeat(count, count)
+    full = (np.int64(bucket) << np.int64(32)) | key[count > 1].astype(np.int64)
+    return own[count > 1], full, count[count > 1].astype(np.int32)
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """From packed rows: id and key, for the keys that two ids or more have."""
 
     def find(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        ids, keys = [], []
-        for i, c, k in zip(*(table.column(n).to_pylist() for n in ("ids", "counts", "keys")), strict=True):
-            own, count, key = np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32), np.frombuffer(k, np.uint32)
-            ids.append(np.repeat(own, count))
-            keys.append(key)
-        own, key = np.concatenate(ids), np.concatenate(keys)
-        # An id that comes again, from another batch, brings the same keys.
-        order = np.lexsort((own, key))
-        own, key = own[order], key[order]
-        new = np.ones(len(own), bool)
-        new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
-        own, key = own[new], key[new]
-        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        count = np.diff(np.r_[begin, len(key)])
-        count = np.repeat(count, count)
-        many = count > 1
-        own, count = own[many], count[many].astype(np.int32)
-        full = (np.int64(bucket) << np.int64(32)) | key[many].astype(np.int64)
+        own, full, _ = _shared(table)
+        return pa.table({"id": pa.array(own), "key": pa.array(full)})
+
+    return rows.groupBy("bucket").applyInArrow(find, "id long, key long")
+
+
+def shared_keys_by_id(rows: DataFrame, parts: int) -> DataFrame:
+    """The same with counts, packed and dealt by id: part, ids, keys, counts."""
+
+    def find(table: pa.Table) -> pa.Table:
+        own, full, count = _shared(table)
         part = (own.view(np.uint64) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         own, full, count, part = own[order], full[order], count[order], part[order]

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BLANKS, FILTER_SLOTS, likely_in, partitions, written
+from quillspark.llm.common import BLANKS, FILTER_SLOTS, likely_in, written
 from quillspark.llm.linking import BITMAP, PACKED, PERCENT, buckets, link, packed, shared_keys
 from quillspark.llm.setjoin import WIDTH, class_numbers
-from quillspark.llm.shingles import mix, steps, windows, word_hashes
+from quillspark.llm.shingles import mix, slices, steps, windows, word_hashes
 
 MIN_WORDS = 20
 ROWS = 2
@@ -93,7 +93,7 @@ def _scan(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
         return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for batch in batches for x in slices(batch)):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for a, b in steps(texts):
                 p = Paragraphs(texts[a:b], min_words)
@@ -110,15 +110,6 @@ def _scan(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(make, kinds)
 
 
-def _unpacked(shared: DataFrame) -> DataFrame:
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            join = lambda n: np.concatenate([np.frombuffer(b, np.int64) for b in batch.column(n).to_pylist()] or [np.empty(0, np.int64)])  # noqa: E731, B023
-            yield pa.record_batch([pa.array(join("ids")), pa.array(join("keys"))], names=["id", "key"])
-
-    return shared.select("ids", "keys").mapInArrow(make, "id long, key long")
-
-
 def _sets_from(docs: DataFrame, classes: DataFrame, min_words: int):
     """Of a table of class ids, the sets, made again from one text of each; what else is in the texts is passed by bounded filters."""
 
@@ -126,7 +117,7 @@ def _sets_from(docs: DataFrame, classes: DataFrame, min_words: int):
         wanted = written(classes.join(ids, "id").select("id", "th"), "wanted")
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (x for batch in batches for x in slices(batch)):
                 texts = batch.column("text").cast(pa.binary()).to_pylist()
                 for a, b in steps(texts):
                     p = Paragraphs(texts[a:b], min_words)
@@ -144,7 +135,7 @@ def duplicates(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCE
     scanned = written(_scan(docs, min_words, percent), "paragraphs")
     found = scanned.where("bucket is null")
     classes = written(found.groupBy("id").agg(F.min("th").alias("th"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in _BITS), F.min(F.struct("doc_id", "th", "para")).alias("f"), F.count("*").alias("c")), "classes")
-    shared = _unpacked(shared_keys(scanned.where("bucket is not null").select("bucket", "ids", "counts", "keys"), partitions(docs.sparkSession)))
+    shared = shared_keys(scanned.where("bucket is not null").select("bucket", "ids", "counts", "keys"))
     postings = written(shared, "bands").join(classes.select("id", "n", "c", *_BITS), "id")
     # Of near copies, the text that occurs most often is the likeliest to be what the others were made from.
     postings = postings.select("key", F.col("id").alias("gid"), "n", F.lit(None).cast("long").alias("pos"), (-F.col("c")).alias("far"), *_BITS)

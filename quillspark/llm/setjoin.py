@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import FILTER_SLOTS, likely_in, partitions, written
-from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared_keys
-from quillspark.llm.shingles import mix, steps, token_sets
+from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared_keys_by_id
+from quillspark.llm.shingles import mix, slices, steps, token_sets
 
 WIDTH = 5
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -44,22 +44,24 @@ def class_number(tokens: np.ndarray) -> int:
     return int(class_numbers(tokens, np.zeros(1, np.int64), np.array([len(tokens)]))[0]) if len(tokens) else 0
 
 
-def _parts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    texts = batch.column("text").cast(pa.binary()).to_pylist()
-    for a, b in steps(texts):
-        yield a, b, list(token_sets(texts[a:b], width))
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[list[np.ndarray]]:
+    """The texts' sets, step by step."""
+    for part in slices(batch):
+        texts = part.column("text").cast(pa.binary()).to_pylist()
+        for a, b in steps(texts):
+            yield list(token_sets(texts[a:b], width))
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, th (hash of the text), id (class) and n (size of the set) of every document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (x for batch in batches for x in slices(batch)):
             ids, sizes = [], []
-            for _, _, sets in _parts(batch, width):
+            for sets in _sets(part, width):
                 ids += [class_number(s) for s in sets]
                 sizes += [len(s) for s in sets]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "th", "id", "n"])
+            yield pa.record_batch([part.column("doc_id"), part.column("th"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "th", "id", "n"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(make, "doc_id long, th long, id long, n long")
 
@@ -69,7 +71,7 @@ def _packed_tokens(docs: DataFrame, width: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, sets in _parts(batch, width):
+            for sets in _sets(batch, width):
                 rows = packed([class_number(s) for s in sets], sets, n)
                 if rows is not None:
                     yield rows
@@ -120,7 +122,7 @@ def sets_from(docs: DataFrame, known: DataFrame, width: int):
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last: dict[int, None] = {}
             for batch in batches:
-                for _, _, sets in _parts(batch, width):
+                for sets in _sets(batch, width):
                     rows = {}
                     for s in sets:
                         if len(s) and (i := class_number(s)) not in last:
@@ -139,7 +141,7 @@ def document_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     parts = partitions(docs.sparkSession)
     known = written(fingerprints(docs, width), "fingerprints")
     classes = known.where("n > 0").groupBy("id").agg(F.first("n").alias("n"))
-    prefixes = written(_prefixes(shared_keys(_packed_tokens(docs, width), parts), classes, parts, percent), "prefixes")
+    prefixes = written(_prefixes(shared_keys_by_id(_packed_tokens(docs, width), parts), classes, parts, percent), "prefixes")
     groups = prefixes.groupBy("gid").agg(F.min(F.struct("n", "pos", "far", "keys")).alias("g")).select("gid", "g.n", "g.pos", "g.far", F.posexplode("g.keys").alias("k", "key"))
     postings = groups.select("key", "gid", "n", (F.col("pos") + F.col("k")).alias("pos"), "far")
     return known, link(postings, prefixes.select("gid", "id"), sets_from(docs, known, width), percent)

@@ -21,7 +21,9 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+SLICE = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,6 +67,12 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def slices(batch):
+    """An Arrow batch in parts of SLICE rows, so that few texts are Python objects at a time."""
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.slice(at, SLICE)
+
+
 def steps(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
     """Slices of ``texts`` of at most STEP_BYTES, or of one text."""
     begin, size = 0, 0
