@@ -6,35 +6,64 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark import scratch
 from quillspark.llm import mixing, packing, paragraphs, quality, setjoin
 from quillspark.llm.common import table, written
 from quillspark.llm.queries import byte_bpe
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables of the stage before; its result has been written and read again when the next one begins.
+_before: list = []
+
+
+def stage(f: Stage) -> Stage:
+    """A stage that first removes what the stage before has left in the shared folder."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.drop(_before)
+        begin = scratch.mark()
+        out = f(spark, docs, sf_dir)
+        _before[:] = scratch.since(begin)
+        return out
+
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie far outside of their language and source go."""
     return quality.keep_good(docs)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return setjoin.keep_one(docs)
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Paragraphs that were there before go from the texts."""
     return paragraphs.strip(docs)
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken as often as their source's target asks for."""
     return mixing.mix(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' ids, packed into sequences."""
+    """The pieces of the documents' ids, packed into sequences.  Nothing follows, so its own table stays until the driver ends."""
+    scratch.drop(_before)
+    _before.clear()
     return packing.pack(docs, byte_bpe())
 
 
@@ -52,6 +81,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for name, f in STAGES[:-1]:
+        docs = written(f(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
