@@ -1,0 +1,187 @@
+"""Exact passage dedup: runs of RUN words or more that were there before, wherever lines begin and end.
+
+Texts are sequences of lower-cased words; line breaks are spaces.  A window is RUN words one after another; each window that has
+an earlier occurrence (by document id, then text hash, then place) goes, and what windows cover is reported as merged stretches.  Of any
+word that goes, an earlier occurrence stays.
+
+Windows are not all shuffled.  An anchor is a run of HALF words whose hash is the least of those in some window; equal windows
+have equal anchors, so only windows around anchors that occur twice are hashed and dealt by their hash.  No pairs are made.
+
+Cases: null texts and those of fewer than RUN words have no windows; rows alike in id and text count as one document; a null
+document id sorts first; an empty table gives no row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.llm.common import likely_in, written
+from quillspark.llm.linking import buckets
+from quillspark.llm.shingles import mix, slices, steps, windows, word_hashes
+
+RUN, HALF = 50, 25
+_TIMES = np.uint64(0x100000001B3)
+_AT = [("known", "u1"), ("doc_id", "i8"), ("th", "i8"), ("pos", "i4")]
+_ANCHOR = np.dtype([("key", "u8"), *_AT])
+_WINDOW = np.dtype([("key", "u8"), *_AT, ("begin", "i4"), ("stop", "i4")])
+_GONE = np.dtype([*_AT, ("begin", "i4"), ("stop", "i4"), ("kept_known", "u1"), ("kept_id", "i8"), ("kept_begin", "i4")])
+_DEALT = "bucket int, data binary"
+
+
+def _sliding(x: np.ndarray, n: int, op: np.ufunc) -> np.ndarray:
+    """The least or greatest of each ``n`` neighbours."""
+    size = 1
+    while 2 * size <= n:
+        x = op(x[:-size], x[size:])
+        size *= 2
+    return op(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
+
+
+class Words:
+    """The words of a step's texts: their texts' numbers, places, and the hashes of the runs that begin with them."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        part = [t or b"" for t in texts]
+        at = np.cumsum([0, *(len(t) + 1 for t in part)])
+        self.start, self.stop, words = word_hashes(np.frombuffer(b"\n".join(part), np.uint8), True)
+        self.at, self.cut = at, np.searchsorted(self.start, at)
+        self.n = max(len(words) - RUN + 1, 0)
+        self.text = np.searchsorted(at, self.start, "right") - 1
+        self.valid = self.text[: self.n] == self.text[len(words) - self.n :]
+        self.halves = self.runs = np.empty(0, np.uint64)
+        if self.n:
+            fives, size = windows(words, 5), len(words) - HALF + 1
+            self.halves = fives[:size]
+            for k in range(5, HALF, 5):
+                self.halves = mix(self.halves * _TIMES + fives[k : k + size])
+            self.runs = mix(self.halves[: self.n] * _TIMES + self.halves[HALF : HALF + self.n])
+
+    def anchors(self) -> np.ndarray:
+        """The words that anchors begin with: all that attain the least hash of a window."""
+        if not self.n:
+            return np.empty(0, np.int64)
+        reach = RUN - HALF + 1
+        least = np.where(self.valid, _sliding(self.halves, reach, np.minimum), 0)
+        none = np.zeros(reach - 1, np.uint64)
+        most = _sliding(np.r_[none, least, none], reach, np.maximum)
+        return np.flatnonzero((most == self.halves) & (most > 0))
+
+    def around(self, anchors: np.ndarray) -> np.ndarray:
+        """The windows that hold one of the anchors (words of this step)."""
+        edge = np.zeros(len(self.start) + 1, np.int64)
+        np.add.at(edge, np.maximum(anchors - (RUN - HALF), 0), 1)
+        np.add.at(edge, anchors + 1, -1)
+        return np.flatnonzero((np.cumsum(edge)[: self.n] > 0) & self.valid)
+
+
+def _deal(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
+    parts = list(zip(edges[:-1], edges[1:], strict=True))
+    return pa.record_batch([pa.array([int(bucket[a]) for a, _ in parts], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in parts], pa.binary())], names=["bucket", "data"])
+
+
+def _gathered(table: pa.Table, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column("data")])
+
+
+def _ids(known: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.array(ids, pa.int64(), mask=known == 0)
+
+
+def _repeated(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows whose key occurs at two places or more, by key and place, and where each key's rows begin."""
+    order = np.argsort(rows["key"], kind="stable")
+    key = rows["key"][order]
+    same = np.r_[False, key[1:] == key[:-1]]
+    rows = rows[order[same | np.r_[same[1:], False]]]
+    rows = rows[np.lexsort([rows[f] for f in ("pos", "th", "doc_id", "known", "key")])]
+    # Rows alike in id and text are one document.
+    rows = rows[np.r_[True, rows[1:] != rows[:-1]]] if len(rows) else rows
+    begin = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]]) if len(rows) else np.empty(0, np.int64)
+    count = np.diff(np.r_[begin, len(rows)])
+    rows = rows[np.repeat(count > 1, count)]
+    count = count[count > 1]
+    return rows, np.cumsum(np.r_[0, count])[:-1]
+
+
+def _filled(kind: np.dtype, w: Words, at: np.ndarray, keys: np.ndarray, batch: pa.RecordBatch, first: int) -> np.ndarray:
+    """Rows of ``kind`` for the words ``at``; the step's texts begin at row ``first`` of the batch."""
+    rows = np.zeros(len(at), kind)
+    own = w.text[at]
+    ids = batch.column("doc_id")
+    rows["key"], rows["pos"] = keys[at], at - w.cut[own]
+    rows["known"] = np.asarray(ids.is_valid())[own + first]
+    rows["doc_id"], rows["th"] = np.asarray(ids.fill_null(0))[own + first], np.asarray(batch.column("th"))[own + first]
+    if "begin" in kind.names:
+        rows["begin"], rows["stop"] = w.start[at] - w.at[own], w.stop[at + RUN - 1] - w.at[own]
+    return rows
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, pa.RecordBatch, int, int]]:
+    for batch in (x for batch in batches for x in slices(batch)):
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        for a, b in steps(texts):
+            yield Words(texts[a:b]), batch, a, b
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """Every stretch that goes, in bytes of its text, with the document and byte where the copy of its first window stands that came first."""
+    n = buckets(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    bucket = lambda keys: (keys >> np.uint64(32)) % np.uint64(n)
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, batch, a, _ in _steps(batches):
+            rows = _filled(_ANCHOR, w, w.anchors(), w.halves, batch, a)
+            yield _deal(rows, bucket(rows["key"]))
+
+    def places(table: pa.Table) -> pa.Table:
+        rows, _ = _repeated(_gathered(table, _ANCHOR))
+        return pa.table({"doc_id": _ids(rows["known"], rows["doc_id"]), "th": rows["th"].copy(), "pos": rows["pos"].copy()})
+
+    found = texts.mapInArrow(anchors, _DEALT).groupBy("bucket").applyInArrow(places, "doc_id long, th long, pos int")
+    found = written(found.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("places")), "anchors")
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, batch, a, b in _steps(batches):
+            some = batch.column("places").slice(a, b - a)
+            sizes = np.asarray(some.value_lengths(), dtype=np.int64)
+            at = w.around(np.asarray(some.flatten(), dtype=np.int64) + np.repeat(w.cut[: b - a], sizes))
+            rows = _filled(_WINDOW, w, at, w.runs, batch, a)
+            yield _deal(rows, bucket(rows["key"]))
+
+    def gone(table: pa.Table) -> pa.Table:
+        rows, begin = _repeated(_gathered(table, _WINDOW))
+        first = np.zeros(len(rows), bool)
+        first[begin] = True
+        kept = rows[begin[np.cumsum(first) - 1]] if len(rows) else rows
+        out = np.zeros(int((~first).sum()), _GONE)
+        for f in ("known", "doc_id", "th", "pos", "begin", "stop"):
+            out[f] = rows[f][~first]
+        out["kept_known"], out["kept_id"], out["kept_begin"] = kept["known"][~first], kept["doc_id"][~first], kept["begin"][~first]
+        dealt = _deal(out, mix(out["th"].view(np.uint64) ^ out["doc_id"].view(np.uint64)) % np.uint64(n))
+        return pa.Table.from_batches([dealt])
+
+    def stretches(table: pa.Table) -> pa.Table:
+        rows = _gathered(table, _GONE)
+        rows = rows[np.lexsort([rows[f] for f in ("pos", "th", "doc_id", "known")])]
+        new = np.ones(len(rows), bool)
+        new[1:] = rows["pos"][1:] > rows["pos"][:-1] + RUN
+        for f in ("known", "doc_id", "th"):
+            new[1:] |= rows[f][1:] != rows[f][:-1]
+        head, last = rows[new], rows[np.r_[new[1:], True]]
+        columns = {"begin_byte": head["begin"], "end_byte": last["stop"], "n_words": last["pos"] + RUN - head["pos"]}
+        out = {"doc_id": _ids(head["known"], head["doc_id"])} | {f: pa.array(x.astype(np.int64)) for f, x in columns.items()}
+        return pa.table(out | {"kept_doc_id": _ids(head["kept_known"], head["kept_id"]), "kept_begin_byte": pa.array(head["kept_begin"].astype(np.int64))})
+
+    with_places = likely_in(texts, "th", found, "th").alias("t").join(found.alias("f"), (F.col("t.th") == F.col("f.th")) & F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")))
+    dealt = with_places.select("t.doc_id", "t.th", "t.text", "f.places").mapInArrow(runs, _DEALT)
+    dealt = written(dealt.groupBy("bucket").applyInArrow(gone, _DEALT), "gone")
+    return dealt.groupBy("bucket").applyInArrow(stretches, "doc_id long, begin_byte long, end_byte long, n_words long, kept_doc_id long, kept_begin_byte long")

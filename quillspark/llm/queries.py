@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import langid, mixing, packing, paragraphs, quality, setjoin, sharding, tokens, topk, warc
+from quillspark.llm import langid, mixing, packing, paragraphs, passages, quality, setjoin, sharding, tokens, topk, warc
 from quillspark.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.report(table(spark, sf_dir, "documents"))
 
 
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -58,6 +62,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op1_passage_dedup": op1_passage_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_top_k": op4_exact_top_k,

@@ -1,0 +1,58 @@
+import random
+import re
+
+from pyspark.sql import types as T
+
+from quillspark.llm import paragraphs, passages, queries
+
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(rows):
+    """Every stretch that goes; documents with different ids."""
+    first, out = {}, set()
+    for d, t in sorted(rows):
+        found = list(WORD.finditer((t or "").encode()))
+        words = [m.group().translate(LOWER) for m in found]
+        gone = []
+        for i in range(len(words) - passages.RUN + 1):
+            kept = first.setdefault(tuple(words[i : i + passages.RUN]), (d, found[i].start()))
+            if kept != (d, found[i].start()):
+                gone.append((i, kept))
+        for k, (i, kept) in enumerate(gone):
+            if not k or i > gone[k - 1][0] + passages.RUN:
+                begin = (i, kept)
+            if k + 1 == len(gone) or gone[k + 1][0] > i + passages.RUN:
+                a, b = begin[0], i + passages.RUN
+                out.add((d, found[a].start(), found[b - 1].end(), b - a, *begin[1]))
+    return out
+
+
+def test_documents_against_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = [tuple(r) for r in queries.op1_passage_dedup(spark, "/root/testdata/sf0.01").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and got
+
+
+def test_passages_in_longer_lines_and_wrapped(spark):
+    rnd = random.Random(7)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    inside, wrapped = line(60), line(60)
+    lines = lambda t: "\n".join(" ".join(t.split()[k : k + 12]) for k in range(0, 60, 12))
+    rows = [(1, f"{line(30)} {inside} {line(25)}"), (2, f"{line(12)}\n{line(40)} {inside.upper()} {line(45)}"), (3, f"{line(9)}\n{lines(wrapped)}\n{line(9)}"), (4, f"{line(7)} {wrapped} {line(80)}")]
+    rows += [(5, " ".join(["again"] * 300)), (6, line(49)), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {tuple(r) for r in passages.report(docs).collect()}
+    assert got == brute(rows) and {(r[0], r[3], r[4]) for r in got} == {(2, 60, 1), (4, 60, 3), (5, 299, 5)}
+    # Whole lines do not show these.
+    assert paragraphs.report(docs).where("doc_id in (2, 4)").count() == 0
+
+
+def test_odd_rows(spark):
+    text = " ".join(f"a{i}" for i in range(70))
+    rows = [(1, text)] * 3 + [(None, text), (2, text + " b")]
+    got = sorted((r.doc_id, r.n_words, r.kept_doc_id) for r in passages.report(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 70, None), (2, 70, None)]
+    assert passages.report(spark.createDataFrame([], SCHEMA)).count() == 0
