@@ -10,6 +10,9 @@ from quillspark.sources import annotations
 
 Q = Queries()
 
+#: Neighbouring order keys that are numbered together.
+KEY_STRETCH = 1 << 16
+
 _CODE = "case when t = '' then 'unknown' else array_to_string(list_transform(string_split(t, ''), lambda c: 'U' || case when ord(c) < 65536 then printf('%04X', ord(c)) else printf('%X', ord(c)) end), '_') end"
 
 
@@ -58,6 +61,20 @@ def serial_names(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderkey <= 400").select("o_orderkey", text.serial_name(F.col("o_orderstatus"), number).alias("name"))
 
 
+@Q.add("serial_names_whole", "select o_orderkey, o_orderstatus || '_' || printf('%04d', row_number() over (partition by o_orderstatus order by o_orderkey)) || '.png' as name from orders")
+def serial_names_whole(spark, sf_dir):
+    """All orders; a status is numbered by stretches of keys, so that no task holds all of its rows."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.floor(F.col("o_orderkey") / KEY_STRETCH).alias("stretch"))
+    sizes = rows.groupBy("o_orderstatus", "stretch").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("o_orderstatus").orderBy("stretch")) - F.col("size")
+    sizes = sizes.select(F.col("o_orderstatus").alias("of"), F.col("stretch").alias("in"), before.alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("o_orderstatus", "stretch").orderBy("o_orderkey"))
+    numbered = rows.join(sizes, F.col("o_orderstatus").eqNullSafe(F.col("of")) & F.col("stretch").eqNullSafe(F.col("in")))
+    return numbered.select("o_orderkey", text.serial_name(F.col("o_orderstatus"), number).alias("name"))
+
+
 @Q.add("word_list", "select p_partkey, list_filter(list_transform(string_split(replace(p_name, ' ', ','), ','), lambda x: trim(x)), lambda x: x <> '') as words from part")
 def word_list(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.words_of(F.regexp_replace("p_name", " ", ",")).alias("words"))
