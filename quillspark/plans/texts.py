@@ -131,6 +131,13 @@ def box_mask_ratio(spark, sf_dir):
     return grouped.select("l_orderkey", F.round(boxes.covered_area(F.col("boxes")) / (64.0 * 48), 9).alias("mask_ratio"))
 
 
+@Q.add("box_mask_ratio_whole")
+def box_mask_ratio_whole(spark, sf_dir):
+    """All of lineitem; SQL that expands pixels is for small tables, so brute force checks this one."""
+    grouped = _box_rows(spark, sf_dir).select("l_orderkey", boxes.padded(F.col("b"), 2, F.lit(64), F.lit(48)).alias("b")).groupBy("l_orderkey").agg(F.collect_list("b").alias("boxes"))
+    return grouped.select("l_orderkey", F.round(boxes.covered_area(F.col("boxes")) / (64.0 * 48), 9).alias("mask_ratio"))
+
+
 @Q.add("prompt_parse", """with t as (select o_orderkey, o_custkey % 50 || ',' || o_orderkey % 40 || ',' || o_custkey % 60 || case when o_orderkey % 5 = 0 then '' else ',' || (o_orderkey % 40 + 5) end as t from orders)
   select o_orderkey, case when len(s) = 4 and s[3]::int > s[1]::int and s[4]::int > s[2]::int then (s[3]::int - s[1]::int) * (s[4]::int - s[2]::int) end::bigint as area from (select o_orderkey, string_split(t, ',') as s from t)""")
 def prompt_parse(spark, sf_dir):

@@ -1,5 +1,7 @@
 """Queries over whole tables, against the rows of all of the table."""
 
+import numpy as np
+
 from quillspark.plans import registry, texts
 
 SF = "/root/testdata/sf0.01"
@@ -18,3 +20,15 @@ def test_serial_names(spark, monkeypatch):
         monkeypatch.setattr(texts, "KEY_STRETCH", stretch)
         got = registry.QUERIES["serial_names_whole"](spark, SF).collect()
         assert len(got) == len(want) > 10000 and {r.o_orderkey: r.name for r in got} == want
+
+
+def test_box_mask_ratio(spark):
+    masks = {}
+    for order, line, part, supplier, quantity in rows_of(spark, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"):
+        x, y = part % 90, supplier % 70
+        x1, x2, y1, y2 = x - 2, int(x + quantity - 10) + 2, y - 2, y + line * 9 + 2
+        mask = masks.setdefault(order, np.zeros((48, 64), bool))
+        mask[max(0, min(y1, 48)) : max(0, min(y2, 48)), max(0, min(x1, 64)) : max(0, min(x2, 64))] = True
+    got = {r.l_orderkey: r.mask_ratio for r in registry.QUERIES["box_mask_ratio_whole"](spark, SF).collect()}
+    assert got.keys() == masks.keys() and max(got) > 300
+    assert all(abs(got[k] - round(float(m.mean()), 9)) < 1e-8 for k, m in masks.items())
