@@ -29,7 +29,6 @@ BITS = 15
 SMOOTH = 0.5
 ROUNDS, RESTRICTED_ROUNDS = 8, 4
 PENALTY = 3.0
-MOST_LANGUAGES = 4
 STEP_BYTES = 4 << 20
 HOLD_OUT = 5
 #: Labels that the model may have at most.
@@ -145,7 +144,7 @@ def mixtures(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     chosen[np.arange(len(full)), ranked[:, 0]] = 1
     best = np.add.reduceat(np.log(np.maximum(like[np.arange(len(own)), ranked[own, 0]], 1e-300)), begin)
     going = np.arange(len(full))
-    for size in range(2, min(k, MOST_LANGUAGES) + 1):
+    for size in range(2, k + 1):
         # Only texts whose last set was taken, and for whose next language there is as much as one word, try a larger one.
         going = going[share[going, ranked[going, size - 1]] * sizes[going] >= 1]
         if not len(going):

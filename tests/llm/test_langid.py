@@ -47,3 +47,11 @@ def test_odd_rows(spark):
     unlabelled = spark.createDataFrame([(1, "text", None, None)], SCHEMA)
     assert [(r.lang_pred, r.score) for r in langid.report(unlabelled).collect()] == [("und", 0.0)]
     assert langid.report(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_of_many_languages():
+    words = np.full((700, 8), -20, np.float32)
+    words[np.arange(700), np.repeat(np.arange(7), 100)] = 0
+    share = langid.mixtures(words, np.array([600, 100]))
+    assert set(np.flatnonzero(share[0])) == set(range(6)) and np.allclose(share[0][:6], 1 / 6, atol=0.01)
+    assert set(np.flatnonzero(share[1])) == {6}
