@@ -28,6 +28,17 @@ def file_label(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.file_label(part).alias("label"))
 
 
+@Q.add("char_code_label_whole", f"select doc_id, {_CODE} as code from (select doc_id, text as t from documents)")
+def char_code_label_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.code_label(F.col("text")).alias("code"))
+
+
+@Q.add("file_label_whole", f"""with s as (select doc_id, t, regexp_replace(t, '[ .]+$', '') as e from (select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from documents))
+  select doc_id, case when t = '' or regexp_matches(t, '[<>:"/\\\\|?*\\x00-\\x1f]') or e = '' then {_CODE} else e end as label from s""")
+def file_label_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.file_label(text.strip(F.col("text"))).alias("label"))
+
+
 @Q.add("clean_name", """with s as (select page_id, regexp_replace(regexp_replace(case when trim(url) = '' then 'none' else trim(url) end, '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '[ .]+$', '') as n from pages) select page_id, case when n = '' then 'none' else n end as name from s""")
 def clean_name(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_name(F.col("url"), "none").alias("name"))

@@ -32,3 +32,12 @@ def test_box_mask_ratio(spark):
     got = {r.l_orderkey: r.mask_ratio for r in registry.QUERIES["box_mask_ratio_whole"](spark, SF).collect()}
     assert got.keys() == masks.keys() and max(got) > 300
     assert all(abs(got[k] - round(float(m.mean()), 9)) < 1e-8 for k, m in masks.items())
+
+
+def test_labels_of_whole_texts(spark):
+    texts_of = dict(rows_of(spark, "documents", "doc_id", "text"))
+    code = {d: "_".join(f"U{ord(c):04X}" for c in t) or "unknown" for d, t in texts_of.items()}
+    assert {r.doc_id: r.code for r in registry.QUERIES["char_code_label_whole"](spark, SF).collect()} == code
+    for r in registry.QUERIES["file_label_whole"](spark, SF).collect():
+        bare = texts_of[r.doc_id].strip()
+        assert r.label in (bare.rstrip(" ."), "_".join(f"U{ord(c):04X}" for c in bare))
