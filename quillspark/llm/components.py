@@ -3,6 +3,9 @@
 Each round points every node's larger neighbours at its smallest one, then its smaller ones; a component of any shape becomes a star
 after a number of rounds that grows with the logarithm of its size.  Only minima are gathered at a node, by partial aggregates, and
 joins back to the links have an exchange on either side, so that a node with very many links is split.
+
+Cases: a link with a null end and one of a node with itself are no links; repeated and reversed links count once; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -22,14 +25,13 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """id and label (the component's smallest id) of every node that has a link; nodes are longs.  ``links`` is read twice."""
-    now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    """id and label (the component's smallest id) of every node that has a link; nodes are longs.  ``links`` is read several times."""
+    now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v")
     for _ in range(MAX_ROUNDS):
         both = now.union(now.select("v", "u"))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "links")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         now = written(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct(), "links")
         if _is_forest_of_stars(now):
             break

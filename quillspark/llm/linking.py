@@ -1,17 +1,21 @@
 """Exact links between sets of 64-bit tokens from posting lists, without all pairs of a list.
 
 A set is known by its class number (a hash of the whole set), so that exact copies are one class from the start.  Classes
-with the same postings and size are one group.  Links are found in three steps:
+with the same postings and size are one group.  Links are found in these steps:
 
-1. Each list's most central group (least ``far``) of each band of sizes is paired with the band's others, by the groups' first classes, and each group's first class with its
-   others: stars, linear in the lists' and groups' lengths.  Verified pairs give components.
-2. In lists in which components still meet, what is outside of the largest one is paired with its most central member, then with drawn
-   ones: stars again.
+1. Each list's most central group (least ``far``) of each band of sizes is paired with the band's others, by the groups' first classes,
+   and each group's first class with its others: stars, linear in the lists' and groups' lengths.  Verified pairs give components.
+2. In lists in which components still meet and that are long, what is outside of the largest one is paired with its most central
+   member, then with drawn ones: stars again.  Where lists come from MinHash bands, the sets in them are instead put into new lists, by
+   the rarest of their tokens (a prefix filter), which a token common to many sets does not make long.
 3. In lists whose classes are still in more than one component, every pair of groups from different components is
    tried, unless both are in the list's largest one, under the size, position and bitmap filters; the pairs that pass are
    expanded to their classes and verified.
 
 Two classes that share a list are therefore in one component or have been compared: no link between components is lost.
+
+Cases: an empty set has no token and meets none; ties between heads go by group number; a list of one class gives no pair; empty postings give
+no label.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import partitions, written
@@ -33,118 +37,99 @@ PERCENT = 80
 MORE_STARS = 3
 #: Pairs for each row of a list up to which no further stars are worth their while.
 FEW_PAIRS = 8
-#: Words of 64 bits in a set's bitmap, where postings have one (columns b0, b1, ..).
-BITMAP = 4
+#: Bytes of the table that a bucket of tokens stands for, and the bounds of the number of buckets: beyond the upper one a step's
+#: tokens would be rows of their own.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 64, 1 << 18
+#: A run of a packed row is as long as two bytes can say.
+LONGEST_RUN = 65535
+
+PACKED = "bucket int, ids binary, counts binary, low binary, high binary"
+_SPREAD = 0x9E3779B97F4A7C15
+
 
-PACKED = "bucket int, ids binary, counts binary, keys binary"
+def table_bytes(df: DataFrame) -> int:
+    """The size of a table by the plan's statistics: files' sizes, without reading them; 0 where the plan does not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def buckets(df: DataFrame) -> int:
-    return max(64, partitions(df.sparkSession))
-
-
-def packed(ids: list[int], sets: list[np.ndarray], n: int) -> pa.RecordBatch | None:
-    """Rows of (bucket, ids, counts, keys): the sets' tokens dealt into ``n`` buckets, each id once."""
-    first = dict(zip(reversed(ids), reversed(sets), strict=True))
-    kept = [(i, s) for i, s in first.items() if len(s)]
-    if not kept:
-        return None
-    tokens = np.concatenate([s for _, s in kept])
-    bucket = ((tokens >> np.uint64(32)) % np.uint64(n)).astype(np.uint16 if n < 65536 else np.uint32)
-    owner = np.repeat(np.arange(len(kept)), [len(s) for _, s in kept])
-    counts = np.bincount(bucket.astype(np.int64) * len(kept) + owner, minlength=n * len(kept)).reshape(n, -1)
-    low = tokens.astype(np.uint32)[np.argsort(bucket, kind="stable")]
-    all_ids, rows, at = np.array([i for i, _ in kept], np.int64), [], 0
-    for k in range(n):
-        some = np.flatnonzero(counts[k])
-        if len(some):
-            size = int(counts[k].sum())
-            rows.append((k, all_ids[some].tobytes(), counts[k][some].astype(np.uint32).tobytes(), low[at : at + size].tobytes()))
-            at += size
-    columns = list(zip(*rows, strict=True))
-    return pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "ids", "counts", "keys"])
-
-
-def _shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket's packed rows: ids, whole keys and counts of the keys that two ids or more have, by key."""
-    bucket = table.column("bucket")[0].as_py()
-    ids, keys = [], []
-    for i, c, k in zip(*(table.column(n) for n in ("ids", "counts", "keys")), strict=True):
-        own, count, key = np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.uint32), np.frombuffer(k.as_buffer(), np.uint32)
-        ids.append(np.repeat(own, count))
-        keys.append(key)
-    own, key = np.concatenate(ids), np.concatenate(keys)
-    del ids, keys
+    """Buckets for the tokens of a table: their number grows with its bytes, so that a bucket does not."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, partitions(df.sparkSession), -(-table_bytes(df) // BUCKET_BYTES)))
+
+
+def packed(ids: np.ndarray, counts: np.ndarray, tokens: np.ndarray, n: int) -> dict[str, pa.Array]:
+    """Columns of (bucket, ids, counts, low, high): the tokens of the sets ``ids``, ``counts`` of each, dealt into ``n`` buckets.
+
+    Of a token's 64 bits, 48 are stored and the bucket adds the others' remainder.
+    """
+    if not len(tokens):
+        return {f.split()[0]: pa.array([], pa.int32() if f.endswith("int") else pa.binary()) for f in PACKED.split(", ")}
+    bucket = ((tokens >> np.uint64(32)) % np.uint64(n)).astype(np.uint16 if n <= 65536 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, owner, tokens = bucket[order], np.repeat(np.arange(len(ids)), counts)[order], tokens[order]
+    new = np.r_[True, (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]
+    at = np.arange(len(new))
+    since = at - np.maximum.accumulate(np.where(new, at, 0))
+    runs = np.flatnonzero(since % LONGEST_RUN == 0)
+    lengths = np.diff(np.r_[runs, len(new)]).astype(np.uint16)
+    owners = np.asarray(ids, np.int64)[owner[runs]]
+    low, high = tokens.astype(np.uint32), (tokens >> np.uint64(32)).astype(np.uint16)
+    edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+    run_edges = np.searchsorted(runs, edges)
+    part = lambda x, cuts: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())
+    return {"bucket": pa.array(bucket[edges[:-1]].astype(np.int32)), "ids": part(owners, run_edges), "counts": part(lengths, run_edges), "low": part(low, edges), "high": part(high, edges)}
+
+
+def shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket's packed rows: ids, whole keys and counts of the keys that two ids or more have, by key; and the ids that come twice or more."""
+    none = np.empty(0, np.int64)
+    if not len(table):
+        return none, none, none.astype(np.int32), none
+    joined = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+    own = np.repeat(joined("ids", np.int64), joined("counts", np.uint16))
+    key = joined("low", np.uint32).astype(np.uint64)
+    key |= joined("high", np.uint16).astype(np.uint64) << np.uint64(32)
     order = np.argsort(key, kind="stable")
     key = key[order]
-    same = np.zeros(len(key), bool)
-    same[1:] = key[1:] == key[:-1]
-    many = same.copy()
-    many[:-1] |= same[1:]
+    same = np.r_[False, key[1:] == key[:-1]]
     # Keys of one row only are most; they go before anything else is done.
+    many = same | np.r_[same[1:], False]
     own, key = own[order[many]], key[many]
     del order, same, many
-    # An id that comes again, from another batch, brings the same keys.
     order = np.lexsort((own, key))
     own, key = own[order], key[order]
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+    new = np.r_[True, (own[1:] != own[:-1]) | (key[1:] != key[:-1])] if len(own) else np.empty(0, bool)
+    again = np.unique(own[~new])
     own, key = own[new], key[new]
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else none
     count = np.diff(np.r_[begin, len(key)])
     count = np.repeat(count, count)
-    full = (np.int64(bucket) << np.int64(32)) | key[count > 1].astype(np.int64)
-    return own[count > 1], full, count[count > 1].astype(np.int32)
-
-
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """From packed rows: id and key, for the keys that two ids or more have."""
-
-    def find(table: pa.Table) -> pa.Table:
-        own, full, _ = _shared(table)
-        return pa.table({"id": pa.array(own), "key": pa.array(full)})
-
-    return rows.groupBy("bucket").applyInArrow(find, "id long, key long")
-
-
-def shared_keys_by_id(rows: DataFrame, parts: int) -> DataFrame:
-    """The same with counts, packed and dealt by id: part, ids, keys, counts."""
-
-    def find(table: pa.Table) -> pa.Table:
-        own, full, count = _shared(table)
-        part = (own.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        own, full, count, part = own[order], full[order], count[order], part[order]
-        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
-        out = [(int(part[a]), own[a:b].tobytes(), full[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.table({"part": pa.array(columns[0], pa.int32())} | {n: pa.array(c, pa.binary()) for n, c in zip(("ids", "keys", "counts"), columns[1:], strict=True)})
-
-    return rows.groupBy("bucket").applyInArrow(find, "part int, ids binary, keys binary, counts binary")
+    key += np.uint64(table.column("bucket")[0].as_py() * _SPREAD & (2**64 - 1))
+    return own[count > 1], key[count > 1].view(np.int64), count[count > 1].astype(np.int32), again
 
 
 def _fits(left: str, right: str, bits: list[str], percent: int, place: bool = True) -> Column:
     """Bounds that no pair as similar as asked for fails, on columns with these prefixes.
 
-    Size; the place of the pair's first common token in either set (null: not known); and bitmaps: sets differ in as many tokens
-    as their bitmaps have different bits, or more.
+    Size; the place of the pair's first common token in either set (null: not known); and bitmaps (null: none): sets differ in as many
+    tokens as their bitmaps have different bits, or more.
     """
     n, m = F.col(f"{left}n"), F.col(f"{right}n")
     out = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     if place:
         most = F.least(n - F.col(f"{left}pos"), m - F.col(f"{right}pos"))
         out &= F.coalesce((100 + percent) * most >= percent * (n + m), F.lit(True))
-    if bits:
-        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{left}{b}").bitwiseXOR(F.col(f"{right}{b}"))) for b in bits])
-        out &= (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
+    for kind in sorted({b[0] for b in bits}):
+        differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{left}{b}").bitwiseXOR(F.col(f"{right}{b}"))) for b in bits if b[0] == kind])
+        out &= (100 + percent) * (n + m - F.coalesce(differ, F.lit(0))) >= 2 * percent * (n + m)
     return out
 
 
 def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Of pairs (a, b) of classes, those whose sets are as similar as asked for."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(sets_of(ids), "sets")
+    sets = written(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,59 +146,93 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
     return with_b.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def link(postings: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT, stars: int = MORE_STARS) -> DataFrame:
+def by_rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """gid, key and pos of the rarest tokens of each set (id, tokens): two sets as similar as asked for share one of them."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column("id"), batch.column("tokens"), strict=True):
+                t = np.frombuffer(t.as_buffer(), np.int64)
+                yield pa.record_batch([pa.array(np.full(len(t), i.as_py())), pa.array(np.full(len(t), len(t))), pa.array(t)], names=["gid", "n", "key"])
+
+    rows = written(sets.select("id", "tokens").mapInArrow(tokens, "gid long, n long, key long"), "tokens")
+    held = rows.join(rows.groupBy("key").agg(F.count("*").alias("held")), "key")
+    own = Window.partitionBy("gid").orderBy("held", "key")
+    ranked = held.withColumn("pos", F.row_number().over(own).cast("long") - 1)
+    return ranked.where((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & (F.col("held") > 1)).select("gid", "key", "pos")
+
+
+def link(postings: DataFrame, members: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT, banded: bool = False) -> DataFrame:
     """id and label of every class that is linked with another.
 
     ``postings``: key, gid, n (size), pos (place of the key in the set's order, or null), far (the less, the more the set is expected
-    to have in common with its list) and, if any, the words of a bitmap; ``members``: gid, id;
-    ``sets_of``: from a table of ids, their sets as id and tokens (sorted, packed).
+    to have in common with its list) and, if any, the words of bitmaps (those whose columns begin alike are one); ``members``: gid, id (None: groups are classes);
+    ``sets_of``: from a table of ids, their sets as id and tokens (sorted, packed); ``banded``: whether keys are MinHash bands.
     """
-    postings, members = written(postings, "postings"), written(members, "members")
+    postings = written(postings, "postings")
     bits = [c for c in postings.columns if c not in ("key", "gid", "n", "pos", "far")]
     own = ["gid", "n", "pos", *bits]
     # Sizes in one band pass the size filter with each other, so a star's head suits its whole list.
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / (math.log(100 / min(percent, 99)) / 2)).cast("int").alias("band")
-    banded = postings.select("*", band)
-    heads = banded.groupBy("key", "band").agg(F.min(F.struct("far", *own)).alias("h"), F.count("*").alias("size")).where("size > 1")
-    heads = written(heads.select("key", "band", *(F.col(f"h.{c}").alias(f"h_{c}") for c in own)), "heads")
-    star = banded.join(heads, ["key", "band"]).where((F.col("gid") != F.col("h_gid")) & _fits("", "h_", bits, percent, place=False))
+    heads = postings.groupBy("key", band).agg(F.min(F.struct("far", *own)).alias("h"), F.count("*").alias("size")).where("size > 1")
+    heads = heads.select("key", "band", *(F.col(f"h.{c}").alias(f"h_{c}") for c in own))
+    star = postings.select("*", band).join(heads, ["key", "band"]).where((F.col("gid") != F.col("h_gid")) & _fits("", "h_", bits, percent, place=False))
     star = star.select(F.col("h_gid").alias("hg"), "gid").distinct()
-    first = written(members.groupBy("gid").agg(F.min("id").alias("first")), "first")
-    inside = members.join(first, "gid").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    across = star.join(first.select(F.col("gid").alias("hg"), F.col("first").alias("a")), "hg").join(first.withColumnsRenamed({"first": "b"}), "gid").select("a", "b")
-    links = [written(verified(inside.union(across), sets_of, percent), "links")]
-
-    def labelled() -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    if members is None:
+        pairs = star.select(F.col("hg").alias("a"), F.col("gid").alias("b"))
+    else:
+        members = written(members, "members")
+        first = written(members.groupBy("gid").agg(F.min("id").alias("first")), "first")
+        inside = members.join(first, "gid").select(F.col("first").alias("a"), F.col("id").alias("b"))
+        across = star.join(first.select(F.col("gid").alias("hg"), F.col("first").alias("a")), "hg").join(first.withColumnsRenamed({"first": "b"}), "gid").select("a", "b")
+        pairs = inside.union(across)
+    links = [written(verified(pairs, sets_of, percent), "links")]
+
+    def labelled(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
         """The labels so far, every class's group and component, the rows of lists in which components meet (with the list's largest one), and
-        whether their pairs are many more than they are."""
+        how many pairs and rows these are."""
         labels = written(components(reduce(DataFrame.union, links), "a", "b"), "labels")
-        placed = written(members.join(labels, "id", "left").select("gid", "id", F.coalesce("label", "id").alias("comp")), "placed")
-        rows = written(postings.join(placed.groupBy("gid", "comp").agg(F.min("id").alias("some")), "gid"), "rows")
+        if members is None:
+            rows = postings.join(labels.withColumnsRenamed({"id": "gid"}), "gid", "left").withColumn("comp", F.coalesce("label", "gid")).drop("label")
+            rows, placed = rows.withColumn("some", F.col("gid")), None
+        else:
+            placed = written(members.join(labels, "id", "left").select("gid", "id", F.coalesce("label", "id").alias("comp")), "placed")
+            rows = postings.join(placed.groupBy("gid", "comp").agg(F.min("id").alias("some")), "gid")
+        rows = written(rows, "rows")
         tally = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"))
-        tally = written(tally.where("comps > 1").select("key", F.col("top.comp").alias("major"), ((F.col("all") - F.col("top.c")) * F.col("all")).alias("work"), "all"), "tally")
-        work, size = tally.agg(F.coalesce(F.sum("work"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        return labels, placed, written(rows.join(tally.select("key", "major"), "key"), "mixed"), work > FEW_PAIRS * size
-
-    labels, placed, mixed, many = labelled()
-    for k in range(stars if many else 0):  # where pairs are few for each row, they are tried at once
+        tally = tally.where("comps > 1").select("key", F.col("top.comp").alias("major"), (F.col("all") - F.col("top.c")).alias("apart"))
+        mixed = written(rows.join(tally, "key"), "mixed")
+        work, size = mixed.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.count("*")).first()
+        return labels, placed, mixed, work, size
+
+    labels, placed, mixed, work, size = labelled(postings)
+    if banded and work > FEW_PAIRS * size:
+        facts = written(mixed.select(*own, "far").dropDuplicates(["gid"]), "facts")
+        sets = written(sets_of(facts.select(F.col("gid").alias("id"))), "sets")
+        lists = by_rarest(sets, percent).join(facts.drop("pos"), "gid")
+        labels, placed, mixed, work, size = labelled(lists.select(*postings.columns))
+    for k in range(MORE_STARS if work > FEW_PAIRS * size else 0):  # where pairs are few for each row, they are tried at once
         inner = mixed.where("comp = major").groupBy("key", band).agg(F.min(F.struct((F.xxhash64(F.lit(k), "gid") if k else F.col("far")).alias("draw"), *own, "some")).alias("h"))
-        inner = written(inner.select("key", "band", F.col("h.some").alias("a"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in own)), "heads")
+        inner = inner.select("key", "band", F.col("h.some").alias("a"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in own))
         again = mixed.where("comp <> major").select("*", band).join(inner, ["key", "band"]).where(_fits("", "h_", bits, percent)).select("a", F.col("some").alias("b"))
         found = written(verified(again, sets_of, percent), "links")
         if found.isEmpty():
             break
         links.append(found)
-        labels, placed, mixed, many = labelled()
-        if not many:
+        labels, placed, mixed, work, size = labelled(mixed.select(*postings.columns).distinct())
+        if work <= FEW_PAIRS * size:
             break
-    if mixed.isEmpty():
+    if not size:
         return labels
     left = mixed.where("comp <> major").select("key", *(F.col(c).alias(f"l_{c}") for c in (*own, "comp")))
     right = mixed.select("key", "major", *(F.col(c).alias(f"r_{c}") for c in (*own, "comp")))
     other = (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("major")) | (F.col("l_comp") < F.col("r_comp")))
     cross = left.join(right, "key").where(other & _fits("l_", "r_", bits, percent))
-    cross = written(cross.select("l_gid", "l_comp", "r_gid", "r_comp").distinct(), "cross")
-    of = lambda side: placed.select(F.col("gid").alias(f"{side}_gid"), F.col("comp").alias(f"{side}_comp"), F.col("id").alias("a" if side == "l" else "b"))
-    more = cross.join(of("l"), ["l_gid", "l_comp"]).join(of("r"), ["r_gid", "r_comp"]).select("a", "b")
+    if members is None:
+        more = cross.select(F.col("l_gid").alias("a"), F.col("r_gid").alias("b"))
+    else:
+        cross = cross.select("l_gid", "l_comp", "r_gid", "r_comp").distinct()
+        of = lambda side: placed.select(F.col("gid").alias(f"{side}_gid"), F.col("comp").alias(f"{side}_comp"), F.col("id").alias("a" if side == "l" else "b"))
+        more = cross.join(of("l"), ["l_gid", "l_comp"]).join(of("r"), ["r_gid", "r_comp"]).select("a", "b")
     last = written(verified(more, sets_of, percent), "links")
     return labels if last.isEmpty() else components(reduce(DataFrame.union, [*links, last]), "a", "b")

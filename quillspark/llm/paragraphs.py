@@ -1,205 +1,394 @@
-"""Substring dedup: paragraphs found again, nearly or exactly, in other documents or in their own.
+"""Substring dedup: paragraphs found again, nearly or exactly, in other documents or in their own, wherever lines begin and end.
 
-A paragraph is a line of MIN_WORDS words or more; its set is its distinct 5-word shingles, lower-cased.  Paragraphs with equal
-sets are one class.  Classes meet by MinHash banding: ROWS minima make a band, and as many bands are used as bring the
-chance to miss a pair at the threshold under MISS.  Classes that collide are joined, their exact Jaccard similarity is
-verified on whole sets (after a bitmap bound that no such pair fails), and the components of the verified links are the clusters.  Of each cluster the first
-paragraph (by document id, then text hash, then place) stays and the others go.
+Texts are sequences of lower-cased words; line breaks are spaces.  Paragraphs are, of each text,
 
-Only integers are shuffled: bands are packed by batch, and what comes back are the keys that two classes share.
+* its lines of BLOCK words or more,
+* content-defined blocks of BLOCK words: a block begins at each anchor, the word with the least digest (the first of them) in some run of
+  REACH words that a block may begin with; equal runs have equal anchors, so a passage of BLOCK + REACH - 1 words that stands in two texts
+  has a whole block in common, whatever stands around it,
+* the whole text, if it has fewer than BLOCK words.
 
-Cases: null and empty texts have no paragraphs; lines with fewer words stay; rows alike in id and text count as one document; a null
-document id sorts first; a document that loses every word goes, one that had none stays; an empty table gives
-no row.  Line ends and the order of the lines that stay are kept.
+A paragraph's set is its distinct 5-word shingles.  Paragraphs with equal sets are one class.  Classes meet by MinHash banding: ROWS
+minima make a band, and as many bands are used as bring the chance to miss a pair at the threshold under MISS (a whole block's set is so small
+that a pair of them over the threshold has one of few similarities, so that fewer bands do; met with another kind of paragraph, it is missed with a chance of 0.005 at most).  Classes that collide are joined, their exact Jaccard
+similarity is verified on whole sets (after a bitmap bound that no such pair fails), and the components of the verified links
+are the clusters.  Of each cluster the first paragraph (by document id, then text hash, then place) stays and the others go, with the
+words on both sides that are the same as beside the one that stays.  Paragraphs that overlap the one that stays are part of it.
+
+Only integers are shuffled: bands are packed by batch, paragraphs' places travel with them, and what comes back are the keys that two
+classes share.  Words beside a paragraph travel as hashes, REACH - 1 at most a side.
+
+Cases: null and wordless texts have no paragraphs; fewer than five words are one token; rows alike in id and text count as one document; a null
+document id sorts first; a document that loses every word goes, one that had none stays; an empty table gives no row; a very long text is
+read whole, in a step of its own.  What is left on both sides of a stretch meets in one line; a line that loses every word goes with its end.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import BLANKS, FILTER_SLOTS, likely_in, written
-from quillspark.llm.linking import BITMAP, PACKED, PERCENT, buckets, link, packed, shared_keys
-from quillspark.llm.setjoin import WIDTH, class_numbers
+from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared
+from quillspark.llm.setjoin import SALTS, WIDTH, class_numbers
 from quillspark.llm.shingles import mix, slices, steps, windows, word_hashes
 
-MIN_WORDS = 20
+BLOCK, REACH = 20, 30
 ROWS = 2
 #: Chance to miss a pair at the threshold.
-MISS = 0.0005
+MISS = 0.0006
+#: Tokens from which a set has the larger bitmap too.
+LARGE = 40
+BITS = ["b0", "c0", "c1", "c2"]
 
 
-def bands(percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
+def least_similarity(percent: int = PERCENT, tokens: int | None = None) -> float:
+    """The least Jaccard similarity that two different sets over the threshold can have, if each has so many ``tokens``."""
+    if not tokens:
+        return percent / 100
+    return min((k / (2 * tokens - k) for k in range(tokens) if 100 * k >= percent * (2 * tokens - k)), default=1.0)
 
 
-class Paragraphs:
-    """The paragraphs of a batch of texts, in arrays: their texts' numbers, places, classes and sets."""
+def bands(percent: int = PERCENT, rows: int = ROWS, miss: float = MISS, tokens: int | None = None) -> int:
+    return math.ceil(math.log(miss) / math.log(1 - least_similarity(percent, tokens) ** rows))
+
+
+def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of each ``n`` neighbours."""
+    size = 1
+    while 2 * size <= n:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
-    def __init__(self, texts: list[bytes | None], min_words: int, width: int = WIDTH) -> None:
+
+class Words:
+    """The words of a step's texts, one after another: bytes, hashes, and where each text's begin (``cut``)."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
         part = [t or b"" for t in texts]
-        data = np.frombuffer(b"\n".join(part), np.uint8)
-        at = np.cumsum([0, *(len(t) + 1 for t in part)])
-        start, _, words = word_hashes(data, True)
-        shingles = windows(words, width)
-        ends = np.r_[np.flatnonzero(data == 10), len(data)]
-        begins = np.r_[0, ends[:-1] + 1]
-        first, last = np.searchsorted(start, begins), np.searchsorted(start, ends)
-        long_ = np.flatnonzero(last - first >= max(min_words, width))
-        self.text = np.searchsorted(at, begins[long_], "right") - 1
-        self.line = long_ - np.searchsorted(begins, at[:-1])[self.text]
-        self.begin, self.stop = begins[long_] - at[self.text], ends[long_] - at[self.text]
-        self.words = last[long_] - first[long_]
-        self.sets = [np.unique(shingles[a : b - width + 1]) for a, b in zip(first[long_].tolist(), last[long_].tolist(), strict=True)]
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]].astype(np.int64)
-        self.tokens = np.concatenate(self.sets) if self.sets else np.empty(0, np.uint64)
+        self.data = np.frombuffer(b"\n".join(part), np.uint8)
+        self.at = np.cumsum([0, *(len(t) + 1 for t in part)])
+        self.start, self.stop, self.hashes = word_hashes(self.data, True)
+        self.cut = np.searchsorted(self.start, self.at)
+
+    def digests(self) -> np.ndarray:
+        """32 bits of a digest of each word, made once for each different one."""
+        _, first, of = np.unique(self.hashes, return_index=True, return_inverse=True)
+        raw = self.data.tobytes()
+        each = [hashlib.md5(raw[a:b].translate(_LOWER), usedforsecurity=False).digest()[:4] for a, b in zip(self.start[first].tolist(), self.stop[first].tolist(), strict=True)]
+        return np.frombuffer(b"".join(each), ">u4").astype(np.uint64)[of]
+
+    def anchors(self) -> np.ndarray:
+        """The words that blocks begin with."""
+        begins = np.diff(self.cut) - BLOCK + 1  # places that a block may begin at, of each text
+        if not (begins > 0).any():
+            return np.empty(0, np.int64)
+        order = (self.digests() << np.uint64(32)) | np.arange(len(self.hashes), dtype=np.uint64)
+        of = np.repeat(np.arange(len(begins)), np.diff(self.cut))
+        found = [np.empty(0, np.uint64)]
+        if len(order) >= REACH:
+            least = _sliding_least(order, REACH)
+            whole = np.arange(len(least)) + REACH <= self.cut[of[: len(least)]] + begins[of[: len(least)]]
+            found.append(least[whole])
+        for t in np.flatnonzero((begins > 0) & (begins < REACH)).tolist():  # one run of all places
+            found.append(order[self.cut[t] : self.cut[t] + begins[t]].min(keepdims=True))
+        return np.unique(np.concatenate(found) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+
+
+class Paragraphs:
+    """The paragraphs of a step's texts, in arrays: texts' numbers, first words, numbers of words, classes, and sets one after another."""
+
+    def __init__(self, texts: list[bytes | None], width: int = WIDTH) -> None:
+        w = self.of = Words(texts)
+        blocks = w.anchors()
+        ends = np.r_[np.flatnonzero(w.data == 10), len(w.data)]
+        first, last = np.searchsorted(w.start, np.r_[0, ends[:-1] + 1]), np.searchsorted(w.start, ends)
+        lines = np.flatnonzero(last - first >= BLOCK)
+        short = np.flatnonzero((np.diff(w.cut) > 0) & (np.diff(w.cut) < BLOCK))
+        begin = np.concatenate([blocks, first[lines], w.cut[:-1][short]]).astype(np.int64)
+        stop = np.concatenate([blocks + BLOCK, last[lines], w.cut[1:][short]]).astype(np.int64)
+        shingles = windows(w.hashes, width)
+        grid = shingles[blocks[:, None] + np.arange(BLOCK - width + 1)] if len(blocks) else np.empty((0, BLOCK - width + 1), np.uint64)
+        grid.sort(axis=1)
+        new = np.ones(grid.shape, bool)
+        new[:, 1:] = grid[:, 1:] != grid[:, :-1]
+        others = [np.unique(shingles[a : b - width + 1]) if b - a >= width else windows(w.hashes[a:b], b - a) for a, b in zip(begin[len(blocks) :].tolist(), stop[len(blocks) :].tolist(), strict=True)]
+        self.tokens = np.concatenate([grid[new], *others])
+        self.sizes = np.concatenate([new.sum(1), np.array([len(s) for s in others], np.int64)]).astype(np.int64)
+        self.starts = np.cumsum(np.r_[0, self.sizes])[:-1]
         self.ids = class_numbers(self.tokens, self.starts, self.sizes)
+        self.begin, self.stop = begin, stop
+        self.text = np.searchsorted(w.cut[1:], begin, "right")
+        self.pos, self.words = begin - w.cut[self.text], stop - begin
 
     def bitmaps(self) -> np.ndarray:
-        """BITMAP words of 64 bits for each set: the parity of the tokens that fall on each bit."""
-        n = len(self.sets)
-        bit = (self.tokens % np.uint64(64 * BITMAP)).astype(np.int64) + np.repeat(np.arange(n), self.sizes) * (64 * BITMAP)
-        odd = (np.bincount(bit, minlength=n * 64 * BITMAP) & 1).astype(np.uint8)
-        return np.packbits(odd.reshape(n, -1), axis=1).view(np.int64)
-
-    def band_keys(self, count: int, rows: int) -> np.ndarray:
+        """For each set, words of 64 bits: the parity of the tokens that fall on each bit, of 64 bits and of 192 others."""
+        n, own = len(self.sizes), np.repeat(np.arange(len(self.sizes)), self.sizes)
+        out = []
+        for bits, shift in ((64, 0), (192, 8)):
+            bit = ((self.tokens >> np.uint64(shift)) % np.uint64(bits)).astype(np.int64) + own * bits
+            odd = (np.bincount(bit, minlength=n * bits) & 1).astype(np.uint8)
+            out.append(np.packbits(odd.reshape(n, -1), axis=1).view(np.int64))
+        return np.concatenate(out, axis=1)
+
+    def band_keys(self, count: int, rows: int = ROWS) -> np.ndarray:
         """For each set (rows), the key of each band: its number and the least of ``rows`` orders of its tokens."""
-        out = np.repeat(np.arange(1, count + 1, dtype=np.uint64)[None, :], len(self.sets), 0)
+        out = np.repeat(np.arange(1, count + 1, dtype=np.uint64)[None, :], len(self.sizes), 0)
         seeds = mix(np.arange(1, 2 * count * rows + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        for k in range(count * rows if len(self.sets) else 0):
+        for k in range(count * rows if len(self.sizes) else 0):
             least = np.minimum.reduceat((self.tokens ^ seeds[2 * k]) * (seeds[2 * k + 1] | np.uint64(1)), self.starts)
             band = k // rows
             out[:, band] = mix(out[:, band] * np.uint64(0x100000001B3) + least)
         return out
 
 
-_FOUND = "doc_id long, th long, para long, begin long, stop long, words long, id long, n long"
-_BITS = [f"b{k}" for k in range(BITMAP)]
+_UNIT = np.dtype([("known", "u1"), ("doc_id", "i8"), ("th", "i8"), ("pos", "i4"), ("words", "i4"), ("id", "i8"), ("n", "i4"), *((b, "i8") for b in BITS)])
+_FOUND = "doc_id long, th long, pos int, words int, id long, n int, b0 long, c0 long, c1 long, c2 long, key long"
+
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
-def _scan(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
-    """In one pass over the texts, two kinds of rows: each paragraph's place, class and bitmap; and packed band keys, by bucket."""
-    n, count = buckets(docs), bands(percent)
-    fields = [(f.split()[0], pa.int64()) for f in _FOUND.split(", ")] + [(b, pa.int64()) for b in _BITS] + [("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())]
-    schema = pa.schema(fields)
 
-    def filled(columns: dict, size: int) -> pa.RecordBatch:
-        return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+def _scan(docs: DataFrame, percent: int) -> DataFrame:
+    """In one pass over the texts, three kinds of rows: each paragraph's place, class and bitmaps; id and key of the band keys that two
+    classes or more have; and the ids alone of classes that occur again."""
+    n, few = buckets(docs), BLOCK - WIDTH + 1
+    many, less = bands(percent), bands(percent, tokens=few)
+    schema = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in f"{PACKED}, units binary".split(", ")])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for batch in batches for x in slices(batch)):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for a, b in steps(texts):
-                p = Paragraphs(texts[a:b], min_words)
-                if not p.sets:
+                p = Paragraphs(texts[a:b])
+                if not len(p.ids):
                     continue
-                own = pa.array(p.text + a)
-                columns = {"doc_id": batch.column("doc_id").take(own), "th": batch.column("th").take(own)}
-                columns |= {f: pa.array(x.astype(np.int64)) for f, x in (("para", p.line), ("begin", p.begin), ("stop", p.stop), ("words", p.words), ("id", p.ids), ("n", p.sizes))}
-                yield filled(columns | {f: pa.array(x) for f, x in zip(_BITS, p.bitmaps().T.copy(), strict=True)}, len(p.sets))
-                rows = packed(p.ids.tolist(), list(p.band_keys(count, ROWS)), n)
-                yield filled({f: rows.column(f) for f in rows.schema.names}, len(rows))
-
-    kinds = f"{_FOUND}, {', '.join(f'{b} long' for b in _BITS)}, {PACKED}"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(make, kinds)
-
-
-def _sets_from(docs: DataFrame, classes: DataFrame, min_words: int):
-    """Of a table of class ids, the sets, made again from one text of each; what else is in the texts is passed by bounded filters."""
+                rows, own = np.zeros(len(p.ids), _UNIT), p.text + a
+                rows["known"], rows["doc_id"] = np.asarray(batch.column("doc_id").is_valid())[own], np.asarray(batch.column("doc_id").fill_null(0))[own]
+                rows["th"], rows["pos"], rows["words"], rows["id"], rows["n"] = np.asarray(batch.column("th"))[own], p.pos, p.words, p.ids, p.sizes
+                for f, bits in zip(BITS, p.bitmaps().T, strict=True):
+                    rows[f] = bits
+                for f in BITS[1:]:
+                    rows[f][p.sizes < LARGE] = 0
+                # A class that comes often in a step is packed twice, which says that it comes again.
+                order = np.argsort(p.ids, kind="stable")
+                begin = np.maximum.accumulate(np.where(np.r_[True, p.ids[order][1:] != p.ids[order][:-1]], np.arange(len(order)), 0))
+                taken = np.sort(order[np.arange(len(order)) - begin < 2])
+                count = np.where(p.sizes == few, less, many)[taken]
+                keys = p.band_keys(many)[taken]
+                columns = packed(p.ids[taken], count, keys[np.arange(many) < count[:, None]], n)
+                columns["units"] = pa.nulls(len(columns["bucket"]), pa.binary())
+                yield pa.record_batch([columns[f.name] for f in schema], schema=schema)
+                row = {"bucket": pa.array([int(mix(rows["th"][:1].view(np.uint64))[0] % np.uint64(n))], pa.int32()), "units": pa.array([rows.tobytes()], pa.binary())}
+                yield pa.record_batch([row.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
+
+    names = [f.split()[0] for f in _FOUND.split(", ")]
+
+    def find(table: pa.Table) -> pa.Table:
+        told = table.column("units").is_valid()
+        rows = np.concatenate([np.empty(0, _UNIT), *(np.frombuffer(x.as_buffer(), _UNIT) for x in table.column("units").drop_null())])
+        plain = {f: pa.array(np.ascontiguousarray(rows[f])) for f in ("th", "pos", "words", "id", "n", "b0")}
+        plain |= {f: pa.array(np.ascontiguousarray(rows[f]), mask=rows["n"] < LARGE) for f in BITS[1:]}
+        plain["doc_id"] = pa.array(np.ascontiguousarray(rows["doc_id"]), mask=rows["known"] == 0)
+        own, full, _, again = shared(table.filter(pc.invert(told)))
+        keyed = {"id": pa.array(np.r_[own, again]), "key": pa.array(np.r_[full, np.zeros(len(again), np.int64)], mask=np.r_[np.zeros(len(own), bool), np.ones(len(again), bool)])}
+        kinds = [pa.int32() if f.endswith("int") else pa.int64() for f in _FOUND.split(", ")]
+        return pa.concat_tables([pa.table([of.get(f, pa.nulls(size, k)) for f, k in zip(names, kinds, strict=True)], names=names) for of, size in ((plain, len(rows)), (keyed, len(own) + len(again)))])
+
+    return _texts(docs).mapInArrow(make, f"{PACKED}, units binary").groupBy("bucket").applyInArrow(find, _FOUND)
+
+
+def _sets_from(docs: DataFrame, classes: DataFrame, width: int = WIDTH):
+    """Of a table of class ids, the sets, made again from the place of each class's first paragraph; other texts are passed by a bounded filter."""
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = written(classes.join(ids, "id").select("id", "th"), "wanted")
+        places = F.collect_list(F.struct("id", "f.pos", "f.words")).alias("places")
+        wanted = written(classes.join(ids, "id").groupBy("f.doc_id", "f.th").agg(places), "wanted")
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (x for batch in batches for x in slices(batch)):
-                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                texts, places = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("places").to_pylist()
                 for a, b in steps(texts):
-                    p = Paragraphs(texts[a:b], min_words)
-                    rows = {i: s.tobytes() for i, s in zip(p.ids.tolist(), p.sets, strict=True)}
-                    yield pa.record_batch([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["id", "tokens"])
+                    w, rows = Words(texts[a:b]), []
+                    shingles = windows(w.hashes, width)
+                    for t in range(a, b):
+                        for u in places[t]:
+                            at, n = int(w.cut[t - a]) + u["pos"], u["words"]
+                            rows.append((u["id"], (np.unique(shingles[at : at + n - width + 1]) if n >= width else windows(w.hashes[at : at + n], n)).tobytes()))
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["id", "tokens"])
 
-        found = likely_in(docs.select(F.xxhash64("text").alias("th"), "text"), "th", wanted, "th").select("text").mapInArrow(make, "id long, tokens binary")
-        return likely_in(found, "id", wanted, "id").join(wanted.select("id"), "id").dropDuplicates(["id"])
+        texts = likely_in(_texts(docs), "th", wanted, "th").alias("t").join(wanted.alias("w"), (F.col("t.th") == F.col("w.th")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
+        return texts.select("t.text", "w.places").mapInArrow(make, "id long, tokens binary").dropDuplicates(["id"])
 
     return sets_of
 
 
-def duplicates(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """Every paragraph that goes: doc_id, th, para, begin, stop, words, and kept_doc_id and kept_para of the one that stays."""
-    scanned = written(_scan(docs, min_words, percent), "paragraphs")
-    found = scanned.where("bucket is null")
-    classes = written(found.groupBy("id").agg(F.min("th").alias("th"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in _BITS), F.min(F.struct("doc_id", "th", "para")).alias("f"), F.count("*").alias("c")), "classes")
-    shared = shared_keys(scanned.where("bucket is not null").select("bucket", "ids", "counts", "keys"))
-    postings = written(shared, "bands").join(classes.select("id", "n", "c", *_BITS), "id")
+def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every paragraph of the clusters: doc_id, th, pos, words, and kd, kt, kp, kw, the same of the one that stays."""
+    scanned = written(_scan(docs, percent), "paragraphs")
+    found = scanned.where("pos is not null")
+    asked = scanned.where("pos is null").select("id").distinct()
+    classes = found.groupBy("id").agg(F.first("n").cast("long").alias("n"), *(F.first(b).alias(b) for b in BITS), F.min(F.struct("doc_id", "th", "pos", "words")).alias("f"), F.count("*").alias("c"))
+    classes = written(classes.join(asked, "id"), "classes")
+    postings = scanned.where("key is not null").select("id", "key").join(classes.select("id", "n", "c", *BITS), "id")
     # Of near copies, the text that occurs most often is the likeliest to be what the others were made from.
-    postings = postings.select("key", F.col("id").alias("gid"), "n", F.lit(None).cast("long").alias("pos"), (-F.col("c")).alias("far"), *_BITS)
-    alone = postings.select("gid").distinct().select("gid", F.col("gid").alias("id"))
-    # Bitmaps leave few pairs of short sets, so no stars beyond the first are worth their tables.
-    labels = link(postings, alone, _sets_from(docs, classes, min_words), percent, stars=0)
+    postings = postings.select("key", F.col("id").alias("gid"), "n", F.lit(None).cast("long").alias("pos"), (-F.col("c")).alias("far"), *BITS)
+    labels = link(postings, None, _sets_from(docs, classes), percent, banded=True)
     of = classes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "f", "c")
     of = written(of, "clusters")
-    keep = written(of.groupBy("label").agg(F.min("f").alias("k"), F.sum("c").alias("total")).where("total > 1"), "keepers")
-    told = written(of.join(keep, "label").select("id", F.col("k.doc_id").alias("kept_doc_id"), F.col("k.th").alias("kept_th"), F.col("k.para").alias("kept_para")), "told")
-    here = F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("th") == F.col("kept_th")) & (F.col("para") == F.col("kept_para"))
-    return found.join(told, "id").where(~here).select("doc_id", "th", "para", "begin", "stop", "words", "kept_doc_id", "kept_para")
+    keep = of.groupBy("label").agg(F.min("f").alias("k"), F.sum("c").alias("total")).where("total > 1")
+    told = written(of.join(keep, "label").select("id", F.col("k.doc_id").alias("kd"), F.col("k.th").alias("kt"), F.col("k.pos").alias("kp"), F.col("k.words").alias("kw")), "told")
+    # A paragraph that very many documents share is dealt by salts.
+    rows = likely_in(found, "id", told, "id").withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
+    salted = told.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    return rows.join(salted, ["id", "salt"]).select("doc_id", "th", "pos", "words", "kd", "kt", "kp", "kw")
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """Every paragraph that goes, with the document and line where it stays."""
-    out = duplicates(docs)
-    return out.select("doc_id", F.col("para").alias("line_no"), F.col("begin").alias("begin_byte"), F.col("stop").alias("end_byte"), F.col("words").alias("n_words"), "kept_doc_id", F.col("kept_para").alias("kept_line_no"))
+_BESIDE = "doc_id long, th long, pos int, words int, kept boolean, kd long, kt long, kp int, kw int, room int, before binary, after binary"
 
 
-def strip(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents without the paragraphs that go, with all columns; n_chars, if there, is that of the new text."""
-    gone = duplicates(docs, min_words, percent).groupBy("doc_id", "th").agg(F.collect_set("para").alias("gone"))
-    gone = written(gone, "gone")
+def gone(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, th and the stretches of words (first, behind the last, document where they stay) that go from each text."""
+    rows = written(clustered(docs, percent), "clustered")
+    own = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt"))
+    # What stays, and what overlaps it.
+    rows = rows.withColumn("room", F.when(own, F.col("pos") - F.col("kp") - F.col("kw"))).withColumn("kept", own & (F.col("pos") == F.col("kp")) & (F.col("words") == F.col("kw")))
+    rows = rows.where(F.col("kept") | F.col("room").isNull() | (F.col("room") >= 0))
+    asked = rows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "words", "kept", "kd", "kt", "kp", "kw", "room")).alias("units"))
+    side = REACH - 1
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for batch in batches for x in slices(batch)):
+            texts, every = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("units").to_pylist()
+            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
+            for a, b in steps(texts):
+                w = Words(texts[a:b])
+                short = w.hashes.astype(np.uint32)
+                out = []
+                for t in range(a, b):
+                    begin, end = int(w.cut[t - a]), int(w.cut[t - a + 1])
+                    for u in every[t]:
+                        first = begin + u["pos"]
+                        last = first + u["words"]
+                        out.append((ids[t], hashes[t], u["pos"], u["words"], u["kept"], u["kd"], u["kt"], u["kp"], u["kw"], u["room"], short[max(begin, first - side) : first][::-1].tobytes(), short[last : min(end, last + side)].tobytes()))
+                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in out], schema=_KINDS)
+
+    texts = likely_in(_texts(docs), "th", asked, "th").alias("t")
+    both = texts.join(asked.alias("u"), (F.col("t.th") == F.col("u.th")) & F.col("t.doc_id").eqNullSafe(F.col("u.doc_id")))
+    beside = written(both.select("t.doc_id", "t.th", "t.text", "u.units").mapInArrow(look, _BESIDE), "beside")
+    key = ["kd", "kt", "kp", "kw"]
+    stays = beside.where("kept").dropDuplicates(key).select(*key, F.col("before").alias("k_before"), F.col("after").alias("k_after"))
+    same = F.col("l.kd").eqNullSafe(F.col("k.kd")) & (F.col("l.kt") == F.col("k.kt")) & (F.col("l.kp") == F.col("k.kp")) & (F.col("l.kw") == F.col("k.kw"))
+    leaves = beside.where("not kept").dropDuplicates(["doc_id", "th", "pos", "words"]).alias("l").join(stays.alias("k"), same)
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def alike(x: pa.Array, y: pa.Array) -> np.ndarray:
+            """Words that agree from the paragraph on."""
+            pad = lambda v, fill: np.frombuffer(b"".join((s or b"").ljust(4 * side, fill) for s in v.to_pylist()), np.uint32).reshape(-1, side)
+            size = np.minimum(pc.binary_length(x), pc.binary_length(y)) // 4
+            agree = (pad(x, b"\0") == pad(y, b"\0")) & (np.arange(side) < np.asarray(size)[:, None])
+            return np.cumprod(agree, axis=1).sum(1)
+
+        for batch in batches:
+            pos, words = np.asarray(batch.column("pos")).astype(np.int64), np.asarray(batch.column("words"))
+            left = np.minimum(alike(batch.column("before"), batch.column("k_before")), np.asarray(batch.column("room").fill_null(side)))
+            right = alike(batch.column("after"), batch.column("k_after"))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(pos - left, pa.int64()), pa.array(pos + words + right, pa.int64()), batch.column("kd")], names=["doc_id", "th", "a", "b", "kd"])
+
+    wide = leaves.select("l.doc_id", "l.th", "l.pos", "l.words", "l.room", "l.before", "l.after", "k.k_before", "k.k_after", "l.kd").mapInArrow(widen, "doc_id long, th long, a long, b long, kd long")
+    # A stretch within another one says nothing more.
+    wide = wide.groupBy("doc_id", "th", "a").agg(F.max(F.struct("b", "kd")).alias("m")).select("doc_id", "th", "a", "m.b", "m.kd")
+    return written(wide.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b", "kd"))).alias("gone")), "gone")
+
+
+_NAMES = [f.split()[0] for f in _BESIDE.split(", ")]
+_KINDS = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in _BESIDE.split(", "))])
+
+
+def merged(stretches: list[dict]) -> list[tuple[int, int, int | None]]:
+    """Stretches of words in order, those that touch or overlap as one, with the first one's document."""
+    out: list[list] = []
+    for s in stretches:
+        if out and s["a"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s["b"])
+        else:
+            out.append([s["a"], s["b"], s["kd"]])
+    return [tuple(x) for x in out]
+
+
+def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every stretch that goes: doc_id, its first and last byte and number of words, and the document where the text of its beginning stays."""
+    told = gone(docs, percent)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for batch in batches for x in slices(batch)):
+            rows = []
+            for doc, text, stretches in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist(), strict=True):
+                start, stop, _ = word_hashes(np.frombuffer(text, np.uint8), True)
+                rows += [(doc, int(start[a]), int(stop[b - 1]), b - a, kept) for a, b, kept in merged(stretches)]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "begin_byte", "end_byte", "n_words", "kept_doc_id"])
+
+    texts = likely_in(_texts(docs), "th", told, "th").alias("t").join(told.alias("g"), (F.col("t.th") == F.col("g.th")) & F.col("t.doc_id").eqNullSafe(F.col("g.doc_id")))
+    return texts.select("t.doc_id", "t.text", "g.gone").mapInArrow(name, "doc_id long, begin_byte long, end_byte long, n_words long, kept_doc_id long")
+
+
+def without(text: str, stretches: list[dict]) -> str:
+    """The text without the stretches of words."""
+    data = text.encode()
+    start, stop, _ = word_hashes(np.frombuffer(data, np.uint8), True)
+    out, at = [], 0
+    for a, b, _ in merged(stretches):
+        begin, end = int(start[a]), int(stop[b - 1])
+        while data[end : end + 1] in _IN_LINE:
+            end += 1
+        line = data.rfind(b"\n", 0, begin) + 1
+        if not data[max(line, at) : begin].strip(_STRIP) and (line >= at or at == 0):  # nothing else stands before it in its line
+            if data[end : end + 1] == b"\n":
+                begin, end = max(line, at), end + 1
+            elif end == len(data) and line:
+                begin = max(line - 1, at)
+        out.append(data[at:begin])
+        at = end
+    return b"".join([*out, data[at:]]).decode()
+
+
+_IN_LINE, _STRIP = (b" ", b"\t", b"\x0b", b"\x0c", b"\r"), b" \t\x0b\x0c\r"
+
+
+@F.pandas_udf(T.StringType())
+def _without(text: pd.Series, stretches: pd.Series) -> pd.Series:
+    return pd.Series([without(t, s) for t, s in zip(text, stretches, strict=True)], dtype=object)
+
+
+def strip(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents without the stretches that go, with all columns; n_chars, if there, is that of the new text."""
+    told = gone(docs, percent)
     row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("_row")
     rows = docs.select(row, docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_th"))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS)).cast("int")
-    slots = F.broadcast(gone.select(slot("th").alias("_slot"), F.lit(True).alias("_in")).distinct())
+    slots = F.broadcast(told.select(slot("th").alias("_slot"), F.lit(True).alias("_in")).distinct())
     rows = rows.withColumn("_slot", slot("_th")).join(slots, "_slot", "left")
     # Documents outside of the slots stay without a shuffle.
-    apart = rows.where("_in is null").select("_row.*")
-    asked = rows.where("_in").join(gone, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left")
-    lines = F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains("gone", i.cast("long")))
-    asked = asked.withColumn("_text", F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(F.array_join(lines, "\n")))
-    asked = asked.where(F.col("gone").isNull() | (F.btrim("_text", F.lit(BLANKS)) != ""))
-    new = {"text": F.col("_text"), "n_chars": F.when(F.col("gone").isNull(), F.col("_row.n_chars")).otherwise(F.char_length("_text")) if "n_chars" in docs.columns else None}
+    asked = rows.where("_in").join(told, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left")
+    apart = rows.where("_in is null").select("_row.*").unionByName(asked.where("gone is null").select("_row.*"))
+    less = asked.where("gone is not null").withColumn("_text", _without(F.col("_row.text"), F.col("gone")))
+    less = less.where(F.btrim("_text", F.lit(BLANKS)) != "")
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text") if "n_chars" in docs.columns else None}
     kinds = dict(docs.dtypes)
     columns = [(new[c].cast(kinds[c]) if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
-    return apart.unionByName(asked.select(*columns))
-
-
-# The same in SQL, over a table documents whose ids are distinct, with all pairs of paragraphs that share a shingle in place of bands.
-ORACLE = f"""
-with recursive l as (
-  select doc_id, unnest(range(len(string_split(text, chr(10))))) as k, unnest(string_split(text, chr(10))) as line from documents where text is not null
-), w as (
-  select doc_id, k, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w,
-    (coalesce(sum(octet_length(encode(line)) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0))::bigint as begin_byte from l
-), p as (
-  select doc_id, k, begin_byte, begin_byte + octet_length(encode(line)) as end_byte, len(w) as n_words, list_sort(list_distinct(list_transform(range(1, len(w) - {WIDTH} + 2), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')))) as s from w where len(w) >= {MIN_WORDS}
-), c as (
-  select md5(array_to_string(s, '|')) as id, any_value(s) as s, any_value(len(s)) as n, min(row(doc_id, k)) as f from p group by 1
-), t as (
-  select id, n, unnest(s) as s from c
-), pairs as (
-  select a.id as x, b.id as y, a.n as n, b.n as m, count(*) as c from t a join t b using (s) where a.id < b.id and 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) group by all
-), linked as (
-  select x, y from pairs where 100 * c >= {PERCENT} * (n + m - c)
-), ways as (
-  select x, y from linked union all select y, x from linked
-), reach(id, other) as (
-  select id, id from c union select r.id, b.y from reach r join ways b on b.x = r.other
-), keep as (
-  select r.id, min(c.f) as f from reach r join c on c.id = r.other group by r.id
-)
-select doc_id, k as line_no, begin_byte, end_byte, n_words, f[1] as kept_doc_id, f[2] as kept_line_no from p join keep on keep.id = md5(array_to_string(s, '|')) where row(doc_id, k) <> f
-"""
+    return apart.unionByName(less.select(*columns))

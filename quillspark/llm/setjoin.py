@@ -6,8 +6,9 @@ share a shingle among the first few of each (the prefix).  Shingles of a single
 holds no other is done.  Classes with identical prefixes and sizes are one group; pairs of groups are filtered by size and by
 position, then expanded, and their members verified on whole sets (``linking``).
 
-The count of classes of each shingle needs one shuffle of four bytes a shingle, packed by batch; what returns are
-only the shingles that are shared.  Sets of verified candidates are made again from their texts, which stay where they are.
+The count of classes of each shingle needs one shuffle of six bytes a shingle, packed by batch, which the documents' own facts join;
+what returns are only the shingles that are shared.  The number of buckets follows the table's bytes, so that a bucket does not grow.
+Sets of verified candidates are made again from their texts, which stay where they are.
 
 Cases: null and wordless texts have empty sets and link with nothing; fewer than five words are one token; copies and
 repeated rows are one class; a null document id takes part and is never the smallest; an empty table gives no row.
@@ -19,14 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import FILTER_SLOTS, likely_in, partitions, written
-from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared_keys_by_id
+from quillspark.llm.common import FILTER_SLOTS, likely_in, written
+from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared
 from quillspark.llm.shingles import mix, slices, steps, token_sets
 
 WIDTH = 5
+#: Shares that a class's documents are dealt into where they meet their component.
+SALTS = 16
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -44,45 +48,77 @@ def class_number(tokens: np.ndarray) -> int:
     return int(class_numbers(tokens, np.zeros(1, np.int64), np.array([len(tokens)]))[0]) if len(tokens) else 0
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[list[np.ndarray]]:
-    """The texts' sets, step by step."""
-    for part in slices(batch):
+def _steps(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches in parts of bounded size, with their texts' sets."""
+    for part in (x for batch in batches for x in slices(batch)):
         texts = part.column("text").cast(pa.binary()).to_pylist()
         for a, b in steps(texts):
-            yield list(token_sets(texts[a:b], width))
+            yield part.slice(a, b - a), list(token_sets(texts[a:b], width))
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, th (hash of the text), id (class) and n (size of the set) of every document."""
+def _numbered(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class numbers (0 for an empty set) and sizes of sets, and their tokens one after another."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    some = sizes > 0
+    tokens = np.concatenate([np.empty(0, np.uint64), *sets])
+    ids = np.zeros(len(sets), np.int64)
+    ids[some] = class_numbers(tokens, np.cumsum(np.r_[0, sizes[some]])[:-1], sizes[some])
+    return ids, sizes, tokens
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in slices(batch)):
-            ids, sizes = [], []
-            for sets in _sets(part, width):
-                ids += [class_number(s) for s in sets]
-                sizes += [len(s) for s in sets]
-            yield pa.record_batch([part.column("doc_id"), part.column("th"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "th", "id", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(make, "doc_id long, th long, id long, n long")
+_DOC = np.dtype([("known", "u1"), ("doc_id", "i8"), ("th", "i8"), ("id", "i8"), ("n", "i8")])
+_SCANNED = "part int, ids binary, keys binary, counts binary, doc_id long, th long, id long, n long"
+
 
+def scan(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    """In one pass over the texts: doc_id, th (hash of the text), id (class) and n (size of the set) of every document; and the
+    keys that two classes or more have, with their numbers of classes, packed and dealt by class: part, ids, keys, counts.
 
-def _packed_tokens(docs: DataFrame, width: int) -> DataFrame:
+    Tokens are dealt by their buckets; documents travel with them in packed rows, so that nothing is read or written twice.
+    """
     n = buckets(docs)
+    schema = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in f"{PACKED}, docs binary".split(", ")])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sets in _sets(batch, width):
-                rows = packed([class_number(s) for s in sets], sets, n)
-                if rows is not None:
-                    yield rows
-
-    return docs.select("text").mapInArrow(make, PACKED)
-
-
-def _prefixes(shared: DataFrame, classes: DataFrame, parts: int, percent: int) -> DataFrame:
+        for part, sets in _steps(batches, width):
+            ids, sizes, tokens = _numbered(sets)
+            rows = np.zeros(len(sets), _DOC)
+            rows["known"], rows["doc_id"] = np.asarray(part.column("doc_id").is_valid()), np.asarray(part.column("doc_id").fill_null(0))
+            rows["th"], rows["id"], rows["n"] = np.asarray(part.column("th")), ids, sizes
+            first = np.sort(np.unique(ids, return_index=True)[1])  # copies in a step are packed once
+            once = np.zeros(len(ids), bool)
+            once[first] = True
+            columns = packed(ids[once], sizes[once], tokens[np.repeat(once, sizes)], n)
+            columns["docs"] = pa.nulls(len(columns["bucket"]), pa.binary())
+            yield pa.record_batch([columns[f.name] for f in schema], schema=schema)
+            own = {"bucket": pa.array([int(mix(rows["th"][:1].view(np.uint64))[0] % np.uint64(n))], pa.int32()), "docs": pa.array([rows.tobytes()], pa.binary())}
+            yield pa.record_batch([own.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
+
+    names = [f.split()[0] for f in _SCANNED.split(", ")]
+
+    def find(table: pa.Table) -> pa.Table:
+        told = table.column("docs").is_valid()
+        rows = np.concatenate([np.empty(0, _DOC), *(np.frombuffer(x.as_buffer(), _DOC) for x in table.column("docs").drop_null())])
+        ids = pa.array(np.ascontiguousarray(rows["doc_id"]), pa.int64(), mask=rows["known"] == 0)
+        plain = pa.table([*(pa.nulls(len(rows), k) for k in (pa.int32(), *[pa.binary()] * 3)), ids, *(pa.array(np.ascontiguousarray(rows[f])) for f in ("th", "id", "n"))], names=names)
+        own, full, count, _ = shared(table.filter(pc.invert(told)))
+        part = (own.view(np.uint64) % np.uint64(n)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        own, full, count, part = own[order], full[order], count[order], part[order]
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.empty(0, np.int64)
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+        dealt = [pa.array(part[edges[:-1]]), cut(own), cut(full), cut(count)]
+        return pa.concat_tables([plain, pa.table([*dealt, *(pa.nulls(len(dealt[0]), pa.int64()) for _ in range(4))], names=names)])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    both = written(texts.mapInArrow(make, f"{PACKED}, docs binary").groupBy("bucket").applyInArrow(find, _SCANNED), "scanned")
+    return both.where("part is null").select("doc_id", "th", "id", "n"), both.where("part is not null").select("part", "ids", "keys", "counts")
+
+
+def _prefixes(shared_rows: DataFrame, classes: DataFrame, parts: int, percent: int) -> DataFrame:
     """id, n, gid, pos (place of the first key), far and keys: the part of each class's prefix that other classes have, if any."""
 
-    def make(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def make(left: pa.Table, right: pa.Table) -> pa.Table:
         sizes = dict(zip(right.column("id").to_pylist(), right.column("n").to_pylist(), strict=True))
         join = lambda n, kind: np.concatenate([np.frombuffer(b, kind) for b in left.column(n).to_pylist()] or [np.empty(0, kind)])
         own, keys, counts = join("ids", np.int64), join("keys", np.int64), join("counts", np.int32)
@@ -105,11 +141,7 @@ def _prefixes(shared: DataFrame, classes: DataFrame, parts: int, percent: int) -
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("id", "n", "gid", "pos", "far", "keys"), columns, kinds, strict=True)})
 
     right = classes.withColumn("part", F.expr(f"cast(case when id >= 0 then id % {parts} else pmod(id % {parts} + {2**64 % parts}, {parts}) end as int)"))
-    return left_cogroup(shared, right, make)
-
-
-def left_cogroup(left: DataFrame, right: DataFrame, make) -> DataFrame:
-    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(make, "id long, n long, gid long, pos long, far long, keys array<long>")
+    return shared_rows.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(make, "id long, n long, gid long, pos long, far long, keys array<long>")
 
 
 def sets_from(docs: DataFrame, known: DataFrame, width: int):
@@ -120,15 +152,11 @@ def sets_from(docs: DataFrame, known: DataFrame, width: int):
         wanted = written(wanted, "wanted")
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last: dict[int, None] = {}
-            for batch in batches:
-                for sets in _sets(batch, width):
-                    rows = {}
-                    for s in sets:
-                        if len(s) and (i := class_number(s)) not in last:
-                            rows[i] = s.tobytes()
-                    last = dict.fromkeys(rows) if len(last) > 10_000 else last | dict.fromkeys(rows)
-                    yield pa.record_batch([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["id", "tokens"])
+            last: set[int] = set()
+            for _, sets in _steps(batches, width):
+                rows = {i: s.tobytes() for i, s in zip(_numbered(sets)[0].tolist(), sets, strict=True) if len(s) and i not in last}
+                last = set(rows) if len(last) > 10_000 else last | set(rows)
+                yield pa.record_batch([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["id", "tokens"])
 
         found = likely_in(docs.select(F.xxhash64("text").alias("th"), "text"), "th", wanted, "th").select("text").mapInArrow(make, "id long, tokens binary")
         return found.join(wanted.select("id"), "id").dropDuplicates(["id"])
@@ -137,34 +165,35 @@ def sets_from(docs: DataFrame, known: DataFrame, width: int):
 
 
 def document_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all documents, and id and label of the classes that are linked with another."""
-    parts = partitions(docs.sparkSession)
-    known = written(fingerprints(docs, width), "fingerprints")
+    """The facts of all documents, and id and label of the classes that are linked with another."""
+    known, keys = scan(docs, width)
     classes = known.where("n > 0").groupBy("id").agg(F.first("n").alias("n"))
-    prefixes = written(_prefixes(shared_keys_by_id(_packed_tokens(docs, width), parts), classes, parts, percent), "prefixes")
+    prefixes = written(_prefixes(keys, classes, buckets(docs), percent), "prefixes")
     groups = prefixes.groupBy("gid").agg(F.min(F.struct("n", "pos", "far", "keys")).alias("g")).select("gid", "g.n", "g.pos", "g.far", F.posexplode("g.keys").alias("k", "key"))
     postings = groups.select("key", "gid", "n", (F.col("pos") + F.col("k")).alias("pos"), "far")
     return known, link(postings, prefixes.select("gid", "id"), sets_from(docs, known, width), percent)
 
 
 def components_of(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, th, id (class), label (of the component, null without words), n_shingles and component_id of every document."""
+    """doc_id, th, n_shingles and component_id of every document, and fd, ft: doc_id and th of its component's first one (null: it is alone)."""
     known, labels = document_classes(docs, width, percent)
-    smallest = known.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("m")).join(labels, "id", "left").select("id", "m", F.coalesce("label", "id").alias("label"))
-    smallest = written(smallest, "smallest")
-    least = written(smallest.groupBy("label").agg(F.min("m").alias("component_id")), "least")
-    of = written(smallest.join(least, "label").select("id", "label", "component_id"), "components")
-    out = known.join(of, "id", "left")
-    return out.select("doc_id", "th", "id", "label", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th")).alias("f")
+    classes = known.where("n > 0").groupBy("id").agg(first, F.count("*").alias("c")).join(labels, "id", "left")
+    # Only classes with other documents in their component come back to the documents.
+    classes = written(classes.where("label is not null or c > 1").select("id", F.coalesce("label", "id").alias("label"), "f"), "classes")
+    of = classes.join(classes.groupBy("label").agg(F.min("f").alias("k")), "label")
+    salt = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    of = written(of.select("id", F.col("k.doc_id").alias("fd"), F.col("k.th").alias("ft"), F.lit(True).alias("more")), "components")
+    # A class of very many copies is dealt by salts.
+    out = known.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int")).join(of.select("*", salt), ["id", "salt"], "left")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("more"), F.col("fd")).otherwise(F.col("doc_id")).alias("component_id"), "fd", "ft")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns; documents without words stay."""
-    of = written(components_of(docs, width, percent).where("n_shingles > 0"), "document_components")
-    first = of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "th")).alias("f")).select("label", F.col("f.doc_id").alias("fd"), F.col("f.th").alias("ft"))
-    first = written(first, "first")
-    told = of.join(first, "label").select("doc_id", "th", (F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("th") == F.col("ft"))).alias("keep"))
-    told = written(told.groupBy("doc_id", "th").agg(F.first("keep").alias("keep"), F.count("*").alias("c")).where("not keep or c > 1"), "told")
+    of = components_of(docs, width, percent).where("ft is not null")
+    told = of.select("doc_id", "th", (F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("th") == F.col("ft"))).alias("keep"))
+    told = written(told.groupBy("doc_id", "th").agg(F.first("keep").alias("keep"), F.count("*").alias("c")), "told")
     row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("_row")
     rows = docs.select(row, docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_th"))
     slots = F.broadcast(told.select(F.pmod(F.xxhash64("th"), F.lit(FILTER_SLOTS)).cast("int").alias("_slot"), F.lit(True).alias("_in")).distinct())
