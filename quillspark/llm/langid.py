@@ -2,10 +2,11 @@
 
 Model: the frequencies of hashed byte trigrams of each language, learned from a bounded sample of labelled documents.  A document is
 a mixture: each word comes from one language, and expectation-maximisation estimates the languages' proportions from the
-words' likelihoods.  The set of languages is chosen by penalised likelihood: the strongest language alone, then with the
+words' likelihoods, until they settle.  The set of languages is chosen by penalised likelihood: the strongest language alone, then with the
 second, and so on, for as long as the gain in log-likelihood is more than PENALTY for each word's logarithm.
 
-Whole texts are read, in steps of bounded size; the driver gets the sample's counts, 2**BITS numbers a language.
+Whole texts are read, in steps of bounded size; the driver gets the sample's counts, 2**BITS numbers a language: the model grows with
+the number of languages only.
 
 Cases: a null text and one without a letter are ``und`` with score 0; null labels teach nothing; without any labelled row all is
 ``und``; ties go to the first language by name; repeated rows get the same answer; a null document id is the empty text
@@ -27,12 +28,13 @@ from quillspark.llm.shingles import word_hashes
 SAMPLE = 1500
 BITS = 15
 SMOOTH = 0.5
-ROUNDS, RESTRICTED_ROUNDS = 8, 4
+#: Rounds of expectation-maximisation at most, and the change of a proportion under which a text has settled.
+ROUNDS, SETTLED = 200, 1e-3
 PENALTY = 3.0
+#: Of a word, languages that are farther than so many nats from the best count as being so far.
+FARTHEST = 600.0
 STEP_BYTES = 4 << 20
 HOLD_OUT = 5
-#: Labels that the model may have at most.
-MOST_LABELS = 4096
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[*range(0x21), 0x7F]] = 0x20
@@ -75,10 +77,8 @@ def _steps(texts: list[bytes | None], size: int) -> Iterator[tuple[int, int]]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages by name, and the logarithm of each trigram bucket's probability in them (languages by buckets)."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
-    if len(counts) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels: these are no languages")
-    # MOST_LABELS rows at most, so that no text is shuffled by its language.
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    # A row a language, so that no text is shuffled by its language.
     share = F.broadcast(docs.sparkSession.createDataFrame([(r.lang, min(1.0, sample / r.n)) for r in counts], "lang string, share double"))
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) < F.ceil(F.col("share") * (1 << 30))
     drawn = labelled.join(share, "lang").where(draw).select("lang", "text")
@@ -118,8 +118,32 @@ def word_likelihoods(texts: list[bytes], logs: np.ndarray) -> tuple[np.ndarray,
     return words[some], np.diff(np.searchsorted(start[some], at))
 
 
+def _settled(like: np.ndarray, sizes: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation from the proportions ``share`` (texts by languages) until none moves by more than SETTLED: proportions and
+    log-likelihoods.  Texts that have settled take no part in further rounds."""
+    share, going = share.copy(), np.arange(len(sizes))
+    begin, own = np.r_[0, np.cumsum(sizes)[:-1]], np.repeat(np.arange(len(sizes)), sizes)
+    every, every_begin, every_own = like, begin, own
+    for _ in range(ROUNDS):
+        part = like * share[going][own]
+        part /= part.sum(1, keepdims=True)
+        now = np.add.reduceat(part, begin, axis=0) / sizes[going][:, None]
+        moved = np.abs(now - share[going]).max(1) > SETTLED
+        share[going] = now
+        if not moved.any():
+            break
+        if 2 * moved.sum() < len(going):  # what still moves is gathered anew
+            like, going = like[moved[own]], going[moved]
+            begin, own = np.r_[0, np.cumsum(sizes[going])[:-1]], np.repeat(np.arange(len(going)), sizes[going])
+    return share, np.add.reduceat(np.log((every * share[every_own]).sum(1)), every_begin)
+
+
 def mixtures(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Proportions (texts by languages) of each text's chosen set of languages; zeros for texts without words."""
+    """Proportions (texts by languages) of each text's chosen set of languages; zeros for texts without words.
+
+    Languages are ranked by their proportions in the mixture of all; a set of the first ones grows by the next for as long as the
+    log-likelihood gains more than the penalty.
+    """
     n, k = len(sizes), words.shape[1]
     out = np.zeros((n, k))
     full = np.flatnonzero(sizes)
@@ -127,35 +151,26 @@ def mixtures(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return out
     sizes = sizes[full]
     begin = np.r_[0, np.cumsum(sizes)[:-1]]
-    top = words.max(1, keepdims=True)
-    like = np.exp(words - top)
+    words = words.astype(np.float64)
+    # Of each word, likelihoods relative to its best language's; none is zero, so neither is any sum over a set.
+    like = np.exp(np.maximum(words - words.max(1, keepdims=True), -FARTHEST))
     own = np.repeat(np.arange(len(full)), sizes)
-
-    def run(share: np.ndarray, like: np.ndarray, own: np.ndarray, begin: np.ndarray, sizes: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(rounds):
-            part = like * share[own]
-            part /= np.maximum(part.sum(1, keepdims=True), 1e-300)
-            share = np.add.reduceat(part, begin, axis=0) / sizes[:, None]
-        return share, np.add.reduceat(np.log(np.maximum((like * share[own]).sum(1), 1e-300)), begin)
-
-    share, _ = run(np.full((len(full), k), 1 / k, np.float32), like, own, begin, sizes, ROUNDS)
+    share, _ = _settled(like, sizes, np.full((len(full), k), 1 / k))
     ranked = np.argsort(-share, axis=1, kind="stable")
     chosen = np.zeros_like(share)
     chosen[np.arange(len(full)), ranked[:, 0]] = 1
-    best = np.add.reduceat(np.log(np.maximum(like[np.arange(len(own)), ranked[own, 0]], 1e-300)), begin)
+    best = np.add.reduceat(np.log(like[np.arange(len(own)), ranked[own, 0]]), begin)
     going = np.arange(len(full))
     for size in range(2, k + 1):
         # Only texts whose last set was taken, and for whose next language there is as much as one word, try a larger one.
-        going = going[share[going, ranked[going, size - 1]] * sizes[going] >= 1]
+        going = going[share[going, ranked[going, size - 1]] * sizes[going] >= 1 - SETTLED]
         if not len(going):
             break
-        mask = np.zeros((len(going), k), bool)
-        np.put_along_axis(mask, ranked[going, :size], True, 1)
-        first = np.where(mask, share[going], 0)
-        first /= np.maximum(first.sum(1, keepdims=True), 1e-300)
-        rows = np.concatenate([np.arange(b, b + s) for b, s in zip(begin[going], sizes[going], strict=True)])
         its = sizes[going]
-        mix, log = run(first.astype(np.float32), like[rows], np.repeat(np.arange(len(going)), its), np.r_[0, np.cumsum(its)[:-1]], its, RESTRICTED_ROUNDS)
+        rows = np.repeat(begin[going] - np.r_[0, np.cumsum(its)[:-1]], its) + np.arange(its.sum())
+        first = np.zeros((len(going), k))
+        np.put_along_axis(first, ranked[going, :size], 1 / size, 1)
+        mix, log = _settled(like[rows], its, first)
         better = log - best[going] > PENALTY * np.log(its + 1)
         going = going[better]
         chosen[going], best[going] = mix[better], log[better]

@@ -1,3 +1,5 @@
+import itertools
+import warnings
 import zlib
 
 import numpy as np
@@ -55,3 +57,38 @@ def test_texts_of_many_languages():
     share = langid.mixtures(words, np.array([600, 100]))
     assert set(np.flatnonzero(share[0])) == set(range(6)) and np.allclose(share[0][:6], 1 / 6, atol=0.01)
     assert set(np.flatnonzero(share[1])) == {6}
+
+
+def brute(words):
+    """Of one text, the proportions of the best set of languages by penalised likelihood: every set is tried, by plain EM in logarithms."""
+    n, k = words.shape
+    best = (-np.inf, None)
+    for size in range(1, k + 1):
+        for some in itertools.combinations(range(k), size):
+            own, share = words[:, some], np.full(size, 1 / size)
+            for _ in range(3000):
+                joint = own + np.log(np.maximum(share, 1e-300))
+                joint -= np.logaddexp.reduce(joint, axis=1)[:, None]
+                share = np.exp(joint).mean(0)
+            value = np.logaddexp.reduce(own + np.log(np.maximum(share, 1e-300)), axis=1).sum() - langid.PENALTY * np.log(n + 1) * (size - 1)
+            if value > best[0] + 1e-9:
+                best = (value, {i: p for i, p in zip(some, share, strict=True)})
+    return np.array([best[1].get(i, 0.0) for i in range(k)])
+
+
+def test_mixtures_against_brute_force():
+    rng = np.random.default_rng(3)
+    texts = []
+    for gap in (2.0, 6.0, 20.0, 200.0, 650.0, 5000.0):
+        for parts in ((30, 30, 30), (90, 0, 0), (50, 40, 0), (0, 1, 20), (60, 20, 10), (1, 0, 0)):
+            of = np.repeat(np.arange(3), parts)
+            words = -gap + rng.normal(0, gap / 20, (len(of), 3)) - 30
+            words[np.arange(len(of)), of] += gap
+            texts.append(words)
+    texts += [np.zeros((12, 3)), np.full((5, 3), -1e4)]  # ties go to the first language
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        got = langid.mixtures(np.concatenate(texts).astype(np.float32), np.array([len(t) for t in texts]))
+    for words, have in zip(texts, got, strict=True):
+        np.testing.assert_allclose(have, brute(words.astype(np.float32).astype(np.float64)), atol=0.02)
+    assert langid.mixtures(np.empty((0, 3), np.float32), np.zeros(2, np.int64)).tolist() == [[0.0] * 3] * 2
