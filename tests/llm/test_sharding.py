@@ -18,23 +18,45 @@ def best_capacity(sizes, shards):
     return best[-1]
 
 
-def test_capacity_and_cuts_against_dynamic_programming():
+def test_capacity_against_dynamic_programming():
     rng = np.random.default_rng(0)
     for n, shards in ((1, 3), (5, 3), (12, 4), (40, 7), (30, 1)):
         for _ in range(10):
             sizes = rng.integers(1, 50, n).tolist()
-            capacity = sharding.smallest_capacity(sizes, shards)
-            assert capacity == best_capacity(sizes, shards)
-            place = sharding.cut_evenly(sizes, shards)
-            assert place == sorted(place) and max(place) < shards
-            assert max(sum(s for s, k in zip(sizes, place, strict=True) if k == j) for j in range(shards)) <= capacity
-    assert sharding.cut_evenly([], 3) == [] and sharding.smallest_capacity([], 3) == 0
-
-
-def test_a_hot_unit_leaves_no_shard_empty():
-    place = sharding.assign({u: 10 if u else 5000 for u in range(500)}, 8)
-    used = np.bincount(list(place.values()), weights=[10 if u else 5000 for u in place], minlength=8)
-    assert used.max() == 5000 and sorted(used)[:7][0] >= 700 and len(set(place.values())) == 8
+            assert sharding.smallest_capacity(sizes, shards) == best_capacity(sizes, shards)
+    assert sharding.smallest_capacity([], 3) == 0
+
+
+def hidden(groups, digits):
+    """Cells of so many digits over groups (digest, size), and what refines them."""
+
+    def cells(some, digits):
+        of = {}
+        for d, w in some:
+            of.setdefault(d[:digits], []).append(w)
+        return [sharding.Cell(p, sum(w), len(w), len(w) == 1) for p, w in sorted(of.items())]
+
+    return cells(groups, digits), lambda prefixes, digits: cells([g for g in groups if g[0].startswith(tuple(prefixes))], digits)
+
+
+def test_cells_give_the_cuts_of_the_groups():
+    rng = np.random.default_rng(1)
+    for n, shards, hot in ((3, 5, 0), (60, 4, 0), (400, 6, 0), (400, 9, 1), (400, 9, 3), (2000, 24, 2), (500, 1, 1)):
+        for _ in range(6):
+            digests = sorted({"".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(n)})
+            sizes = rng.integers(1, 60, len(digests))
+            sizes[rng.choice(len(sizes), hot, replace=False)] = sizes.sum() // 3
+            groups = list(zip(digests, sizes.tolist(), strict=True))
+            got, ends = sharding.refined(*(lambda c, f: (c, shards, f))(*hidden(groups, 1)))
+            whole = sharding.plan([sharding.Cell(d, w, 1, True) for d, w in groups], shards)
+            bounds = [got[e].prefix if e < len(got) else "g" for e in ends]
+            place = lambda d, b: sum(d >= x for x in b)
+            exact = [digests[e] if e < len(digests) else "g" for e in whole.ends]
+            assert [place(d, bounds) for d in digests] == [place(d, exact) for d in digests]
+            loads = np.bincount([place(d, bounds) for d in digests], weights=sizes, minlength=shards)
+            assert len(loads) == shards and loads.max() == best_capacity(sizes.tolist(), shards)
+            if hot and shards > hot + 1:
+                assert len(ends) >= shards - hot - 1  # a hot group does not leave the others' shards empty
 
 
 def check(got, rows, shards=24):
