@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import written
-from quillspark.llm.tokens import encoder, frequent_pre_tokens
+from quillspark.llm.tokens import encoder, frequent_table
 
 CAPACITY = 2048
 END_ID = 1
@@ -92,7 +92,7 @@ def _pack_group(capacity: int):
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, doc_tokens and the checksum of each piece of ``capacity`` ids of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_pre_tokens(docs, path))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, path, True))  # FREQUENT entries at most
     end = int(end_id).to_bytes(4, "little")
 
     @F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("crcs", T.ArrayType(T.LongType()))]))

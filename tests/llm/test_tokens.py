@@ -29,12 +29,30 @@ def test_every_common_character_in_context(library):
 
 def test_special_strings_and_cache_overflow(library, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 50)
-    count = tokens.Encoder(queries.byte_bpe(), False, [" the", " of"])
-    for t in ["x<|endoftext|>y", "<|endoftext|>", "it's  we'll \n\n ok", " ".join(f"w{i}" for i in range(200)), *(f"k{i} the" for i in range(120))]:
+    count = tokens.Encoder(queries.byte_bpe(), False, {" the": 1, " of": 1})
+    for t in ["x<|endoftext|>y", "a <|endoftext|><|endoftext|> b  <|endoftext|>", "語 <|endoftext|> 語\n ", "<|endoftext|>", "it's  we'll \n\n ok", " ".join(f"w{i}" for i in range(200)), *(f"k{i} the" for i in range(120))]:
         assert count(t) == len(library(t))
     assert count(None) == count("") == 0
 
 
+def test_texts_of_all_scripts_go_through_the_table_and_the_cache(library):
+    texts = ["Привет, мир! 123 語 ２３ ½", "مرحبا بالعالم  \n x", "こんにちは 世界。 don't", "नमस्ते दुनिया", "😀👍🏽 a\u200db", "\u3000 x\u2028y \u00a0z"]
+    encode = tokens.Encoder(queries.byte_bpe(), True)
+    encode.whole = None  # no text goes to the library whole
+    for t in texts + ["".join(texts)] * 2:
+        assert encode(t) == struct.pack(f"<{len(library(t))}I", *library(t))
+    assert " мир" in encode.cache
+    # What the table says is what counts.
+    assert tokens.Encoder(queries.byte_bpe(), False, {" мир": 100})(" мир") == 100
+    long = tokens.Encoder(queries.byte_bpe(), False)
+    assert long("x" * 5000) == len(library("x" * 5000)) and not any(len(w) > tokens.CACHE_CHARS for w in long.cache)
+
+
+def test_the_table_holds_lengths(spark, library):
+    table = tokens.frequent_table(spark.read.parquet(f"{SF}/documents.parquet"), queries.byte_bpe(), False)
+    assert 1000 < len(table) <= tokens.FREQUENT and all(n == len(library(w)) for w, n in list(table.items())[:2000])
+
+
 def test_sentencepiece_model():
     import public_tokenizers
     import sentencepiece
