@@ -8,12 +8,13 @@ Texts are sequences of lower-cased words; line breaks are spaces.  Paragraphs ar
   has a whole block in common, whatever stands around it,
 * the whole text, if it has fewer than BLOCK words.
 
-A paragraph's set is its distinct 5-word shingles.  Paragraphs with equal sets are one class.  Classes meet by MinHash banding: ROWS
-minima make a band, and as many bands are used as bring the chance to miss a pair at the threshold under MISS (a whole block's set is so small
-that a pair of them over the threshold has one of few similarities, so that fewer bands do; met with another kind of paragraph, it is missed with a chance of 0.005 at most).  Classes that collide are joined, their exact Jaccard
-similarity is verified on whole sets (after a bitmap bound that no such pair fails), and the components of the verified links
-are the clusters.  Of each cluster the first paragraph (by document id, then text hash, then place) stays and the others go, with the
-words on both sides that are the same as beside the one that stays.  Paragraphs that overlap the one that stays are part of it.
+A paragraph's set is its distinct 5-word shingles.  Paragraphs with equal sets are one class.  Classes of lines and short texts meet by
+MinHash banding: ROWS minima make a band, and as many bands are used as bring the chance to miss a pair at the threshold under MISS.  Classes
+that collide are joined, their exact Jaccard similarity is verified on whole sets (after a bitmap bound that no such pair fails), and the
+components of the verified links are the clusters.  Blocks are exact: as a block's first word is its anchor, blocks that are alike but not equal
+differ in their last words, which is settled by words and not by sets.  Of each cluster the first paragraph (by document id, then
+text hash, then place) stays and the others go, with the words on both sides that are the same as beside the one that stays.
+Paragraphs that overlap the one that stays are part of it.
 
 Only integers are shuffled: bands are packed by batch, paragraphs' places travel with them, and what comes back are the keys that two
 classes share.  Words beside a paragraph travel as hashes, REACH - 1 at most a side.
@@ -45,21 +46,14 @@ from quillspark.llm.shingles import mix, slices, steps, windows, word_hashes
 BLOCK, REACH = 20, 30
 ROWS = 2
 #: Chance to miss a pair at the threshold.
-MISS = 0.0006
+MISS = 0.0005
 #: Tokens from which a set has the larger bitmap too.
 LARGE = 40
 BITS = ["b0", "c0", "c1", "c2"]
 
 
-def least_similarity(percent: int = PERCENT, tokens: int | None = None) -> float:
-    """The least Jaccard similarity that two different sets over the threshold can have, if each has so many ``tokens``."""
-    if not tokens:
-        return percent / 100
-    return min((k / (2 * tokens - k) for k in range(tokens) if 100 * k >= percent * (2 * tokens - k)), default=1.0)
-
-
-def bands(percent: int = PERCENT, rows: int = ROWS, miss: float = MISS, tokens: int | None = None) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - least_similarity(percent, tokens) ** rows))
+def bands(percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> int:
+    return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
 
 
 def _sliding_least(x: np.ndarray, n: int) -> np.ndarray:
@@ -126,6 +120,7 @@ class Paragraphs:
         new = np.ones(grid.shape, bool)
         new[:, 1:] = grid[:, 1:] != grid[:, :-1]
         others = [np.unique(shingles[a : b - width + 1]) if b - a >= width else windows(w.hashes[a:b], b - a) for a, b in zip(begin[len(blocks) :].tolist(), stop[len(blocks) :].tolist(), strict=True)]
+        self.banded = np.arange(len(begin)) >= len(blocks)
         self.tokens = np.concatenate([grid[new], *others])
         self.sizes = np.concatenate([new.sum(1), np.array([len(s) for s in others], np.int64)]).astype(np.int64)
         self.starts = np.cumsum(np.r_[0, self.sizes])[:-1]
@@ -134,6 +129,14 @@ class Paragraphs:
         self.text = np.searchsorted(w.cut[1:], begin, "right")
         self.pos, self.words = begin - w.cut[self.text], stop - begin
 
+    def banded_only(self, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys and bitmaps of the lines and short texts."""
+        p = object.__new__(Paragraphs)
+        p.sizes = self.sizes[self.banded]
+        p.tokens = self.tokens[self.starts[self.banded][0] :] if len(p.sizes) else np.empty(0, np.uint64)  # they come behind the blocks
+        p.starts = np.cumsum(np.r_[0, p.sizes])[:-1]
+        return p.band_keys(count), p.bitmaps()
+
     def bitmaps(self) -> np.ndarray:
         """For each set, words of 64 bits: the parity of the tokens that fall on each bit, of 64 bits and of 192 others."""
         n, own = len(self.sizes), np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -155,7 +158,8 @@ class Paragraphs:
         return out
 
 
-_UNIT = np.dtype([("known", "u1"), ("doc_id", "i8"), ("th", "i8"), ("pos", "i4"), ("words", "i4"), ("id", "i8"), ("n", "i4"), *((b, "i8") for b in BITS)])
+_CLASS = np.uint64(0x94D049BB133111EB)
+_UNIT = np.dtype([("known", "u1"), ("doc_id", "i8"), ("th", "i8"), ("pos", "i4"), ("words", "i4"), ("id", "i8"), ("n", "i4"), ("banded", "u1"), *((b, "i8") for b in BITS)])
 _FOUND = "doc_id long, th long, pos int, words int, id long, n int, b0 long, c0 long, c1 long, c2 long, key long"
 
 
@@ -166,8 +170,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _scan(docs: DataFrame, percent: int) -> DataFrame:
     """In one pass over the texts, three kinds of rows: each paragraph's place, class and bitmaps; id and key of the band keys that two
     classes or more have; and the ids alone of classes that occur again."""
-    n, few = buckets(docs), BLOCK - WIDTH + 1
-    many, less = bands(percent), bands(percent, tokens=few)
+    n, many = buckets(docs), bands(percent)
     schema = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in f"{PACKED}, units binary".split(", ")])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,18 +182,19 @@ def _scan(docs: DataFrame, percent: int) -> DataFrame:
                     continue
                 rows, own = np.zeros(len(p.ids), _UNIT), p.text + a
                 rows["known"], rows["doc_id"] = np.asarray(batch.column("doc_id").is_valid())[own], np.asarray(batch.column("doc_id").fill_null(0))[own]
-                rows["th"], rows["pos"], rows["words"], rows["id"], rows["n"] = np.asarray(batch.column("th"))[own], p.pos, p.words, p.ids, p.sizes
-                for f, bits in zip(BITS, p.bitmaps().T, strict=True):
-                    rows[f] = bits
-                for f in BITS[1:]:
-                    rows[f][p.sizes < LARGE] = 0
-                # A class that comes often in a step is packed twice, which says that it comes again.
-                order = np.argsort(p.ids, kind="stable")
+                rows["th"], rows["pos"], rows["words"], rows["id"], rows["n"], rows["banded"] = np.asarray(batch.column("th"))[own], p.pos, p.words, p.ids, p.sizes, p.banded
+                # A class that comes often in a step is packed twice, which says that it comes again; lines come before blocks.
+                order = np.lexsort((~p.banded, p.ids))
                 begin = np.maximum.accumulate(np.where(np.r_[True, p.ids[order][1:] != p.ids[order][:-1]], np.arange(len(order)), 0))
-                taken = np.sort(order[np.arange(len(order)) - begin < 2])
-                count = np.where(p.sizes == few, less, many)[taken]
-                keys = p.band_keys(many)[taken]
-                columns = packed(p.ids[taken], count, keys[np.arange(many) < count[:, None]], n)
+                taken = order[np.arange(len(order)) - begin < 2]
+                own_bands, bitmaps = p.banded_only(many)
+                rows["b0"][p.banded], rows["c0"][p.banded], rows["c1"][p.banded], rows["c2"][p.banded] = bitmaps.T
+                # Beside its bands, each class has a key of its own.
+                keys = np.zeros((len(p.ids), 1 + many), np.uint64)
+                keys[:, 0] = mix(p.ids.view(np.uint64) ^ _CLASS)
+                keys[p.banded, 1:] = own_bands
+                count = np.where(p.banded, 1 + many, 1)[taken]
+                columns = packed(p.ids[taken], count, keys[taken][np.arange(1 + many) < count[:, None]], n)
                 columns["units"] = pa.nulls(len(columns["bucket"]), pa.binary())
                 yield pa.record_batch([columns[f.name] for f in schema], schema=schema)
                 row = {"bucket": pa.array([int(mix(rows["th"][:1].view(np.uint64))[0] % np.uint64(n))], pa.int32()), "units": pa.array([rows.tobytes()], pa.binary())}
@@ -201,8 +205,8 @@ def _scan(docs: DataFrame, percent: int) -> DataFrame:
     def find(table: pa.Table) -> pa.Table:
         told = table.column("units").is_valid()
         rows = np.concatenate([np.empty(0, _UNIT), *(np.frombuffer(x.as_buffer(), _UNIT) for x in table.column("units").drop_null())])
-        plain = {f: pa.array(np.ascontiguousarray(rows[f])) for f in ("th", "pos", "words", "id", "n", "b0")}
-        plain |= {f: pa.array(np.ascontiguousarray(rows[f]), mask=rows["n"] < LARGE) for f in BITS[1:]}
+        plain = {f: pa.array(np.ascontiguousarray(rows[f])) for f in ("th", "pos", "words", "id", "n")}
+        plain |= {f: pa.array(np.ascontiguousarray(rows[f]), mask=(rows["banded"] == 0) | ((rows["n"] < LARGE) if f != "b0" else False)) for f in BITS}
         plain["doc_id"] = pa.array(np.ascontiguousarray(rows["doc_id"]), mask=rows["known"] == 0)
         own, full, _, again = shared(table.filter(pc.invert(told)))
         keyed = {"id": pa.array(np.r_[own, again]), "key": pa.array(np.r_[full, np.zeros(len(again), np.int64)], mask=np.r_[np.zeros(len(own), bool), np.ones(len(again), bool)])}
@@ -242,7 +246,7 @@ def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scanned = written(_scan(docs, percent), "paragraphs")
     found = scanned.where("pos is not null")
     asked = scanned.where("pos is null").select("id").distinct()
-    classes = found.groupBy("id").agg(F.first("n").cast("long").alias("n"), *(F.first(b).alias(b) for b in BITS), F.min(F.struct("doc_id", "th", "pos", "words")).alias("f"), F.count("*").alias("c"))
+    classes = found.groupBy("id").agg(F.first("n").cast("long").alias("n"), *(F.max(b).alias(b) for b in BITS), F.min(F.struct("doc_id", "th", "pos", "words")).alias("f"), F.count("*").alias("c"))
     classes = written(classes.join(asked, "id"), "classes")
     postings = scanned.where("key is not null").select("id", "key").join(classes.select("id", "n", "c", *BITS), "id")
     # Of near copies, the text that occurs most often is the likeliest to be what the others were made from.
