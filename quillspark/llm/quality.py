@@ -4,8 +4,13 @@ Everything is DataFrame functions.  Text statistics are computed inside the row.
 so that every sum is exact and the verdict does not depend on the order of rows.  For each (language, source), nulls being a
 value like others, the minimum covariance determinant is approached by concentration steps: from two starts (median and
 median deviation; mean and covariance of all), the mean and covariance of the closest share of the documents are taken again
-and again, and the start with the smaller determinant wins.  A document goes if its squared Mahalanobis distance is beyond
-LIMIT.  Only a group's 14 sums are gathered, by partial aggregates; no group's documents meet in one task.
+and again, until no group's determinant changes, and the start with the smaller determinant wins.  A document goes if its squared
+Mahalanobis distance is beyond LIMIT, a quantile of the chi-squared distribution.  Only a group's 14 sums are gathered, by partial
+aggregates; no group's documents meet in one task.
+
+Shares of symbols, of repeated lines and of repeated words are zero in most documents, so a covariance of the closest share would be singular
+there: these have a smallest spread.  Word length has none to speak of; a group's own estimate decides.  A group of few
+documents counts as having PRIOR more, of a common spread.
 
 Cases: a null, empty or wordless text has zero words and fails the base rules; null languages and sources form groups; a
 group of one document is its own centre; repeated rows count each and get the same verdict; ties in distance fall on
@@ -14,6 +19,7 @@ the same side; an empty table gives an empty result.  Extra columns, whatever th
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,17 +31,32 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 
-#: Transformed statistics, each on a grid of integers from 0 to GRID: name and the smallest spread that counts.
+#: Transformed statistics, each on a grid of integers from 0 to GRID: name and the smallest spread, which keeps covariances regular.
 GRID = 4095
-FEATURES = {"word_length": 45.0, "symbols": 150.0, "dup_lines": 400.0, "repeats": 300.0}
+FEATURES = {"word_length": 2.0, "symbols": 150.0, "dup_lines": 400.0, "repeats": 300.0}
 #: Share of a group's documents that the estimate rests on, and what makes up for the rest's absence
 #: (the share divided by the chi-squared distribution with 6 degrees at its 75 % point with 4).
 SUPPORT, CONSISTENCY = 0.75, 1.486
-#: Documents that a group counts as having, at the smallest spread, before its own.
-PRIOR = 4.0
-CONCENTRATION_STEPS = 4
-#: A squared distance that four normal variables exceed once in about ten million.
-LIMIT = 38.0
+#: Documents that a group counts as having beside its own, and their spread in each statistic.
+PRIOR, PRIOR_SPREAD = 4.0, {"word_length": 45.0, "symbols": 150.0, "dup_lines": 400.0, "repeats": 300.0}
+#: Concentration steps at most; two at a time, until no group's determinant changes.
+STEPS = 16
+#: Rings of distance to a unit of its logarithm, by which the closest share is counted.
+RINGS = 64
+#: How often four normal variables exceed the limit.
+TAIL = 1e-6
+
+
+def chi_squared_limit(tail: float) -> float:
+    """The value that a chi-squared variable with four degrees exceeds with a chance of ``tail``."""
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if math.exp(-middle / 2) * (1 + middle / 2) > tail else (low, middle)
+    return round(high, 6)
+
+
+LIMIT = chi_squared_limit(TAIL)
 
 
 def statistics(docs: DataFrame, text: str) -> DataFrame:
@@ -108,9 +129,11 @@ def _with_factor(sums: DataFrame) -> DataFrame:
     out = sums.select(*GROUP, "start", "n", *((F.col(f"s{i}").cast("double") / n).alias(f"m{i}") for i in range(len(NAMES))), *(f"p{i}{j}" for i, j in PAIRS))
     for i, j in PAIRS:
         own = CONSISTENCY * (F.col(f"p{i}{j}").cast("double") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
-        floor = FEATURES[NAMES[i]] ** 2 if i == j else 0.0
-        # The smallest spread is a prior: it never vanishes, and it weighs less the more documents a group has.
-        out = out.withColumn(f"c{i}{j}", F.greatest(own, F.lit(0.0)) + floor * (1 + PRIOR / (F.col("n") + PRIOR)) if i == j else own * F.col("n") / (F.col("n") + PRIOR))
+        # The prior's documents weigh less the more a group has of its own; the smallest spread stays.
+        own = own * F.col("n") / (F.col("n") + PRIOR)
+        if i == j:
+            own = F.greatest(own, F.lit(0.0)) + FEATURES[NAMES[i]] ** 2 + PRIOR_SPREAD[NAMES[i]] ** 2 * PRIOR / (F.col("n") + PRIOR)
+        out = out.withColumn(f"c{i}{j}", own)
     for j in range(len(NAMES)):  # Cholesky
         for i in range(j, len(NAMES)):
             rest = reduce(lambda x, k: x - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{j}{i}"))
@@ -147,20 +170,29 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     )
     by_median = spread.select(
         *GROUP, F.lit(0).alias("start"), F.lit(0.0).alias("log_det"), *(f"m{i}" for i in range(len(x))),
-        *(F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + FEATURES[NAMES[i]] ** 2).alias(f"l{i}{i}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for j in range(len(x)) for i in range(j, len(x))),
+        *(F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + FEATURES[NAMES[i]] ** 2 + PRIOR_SPREAD[NAMES[i]] ** 2 * PRIOR / (F.col("n") + PRIOR)).alias(f"l{i}{i}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for j in range(len(x)) for i in range(j, len(x))),
     )
     by_all = _with_factor(_sums(vectors.withColumn("start", F.lit(1))))
-    estimate = written(by_median.unionByName(by_all), "estimates")
-    for _ in range(CONCENTRATION_STEPS):
-        near = _matched(vectors, estimate).select(*GROUP, *x, "w", "start", F.floor(16 * F.log(_distance() + 1e-6)).cast("int").alias("ring"))
-        # The closest share, by rings of distance: a few hundred rings a group.
+
+    def step(estimate: DataFrame) -> DataFrame:
+        near = _matched(vectors, estimate).select(*GROUP, *x, "w", "start", F.floor(RINGS * F.log(_distance() + 1e-6)).cast("int").alias("ring"))
+        # The closest share, by rings of distance: about a thousand rings a group.
         rings = near.groupBy(*GROUP, "start", "ring").agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * F.col(c)).alias(f"s{i}") for i, c in enumerate(x)),
             *(F.sum(F.col("w") * F.col(x[i]) * F.col(x[j])).alias(f"p{i}{j}") for i, j in PAIRS))
         own = Window.partitionBy(*GROUP, "start")
         inner = rings.withColumn("before", F.sum("n").over(own.orderBy("ring")) - F.col("n")).withColumn("all", F.sum("n").over(own))
         kept = inner.where(F.col("before") < SUPPORT * F.col("all"))
         sums = kept.groupBy(*GROUP, "start").agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(len(x))), *(F.sum(f"p{i}{j}").alias(f"p{i}{j}") for i, j in PAIRS))
-        estimate = written(_with_factor(sums), "estimates")
+        return _with_factor(sums)
+
+    estimate = written(by_median.unionByName(by_all), "estimates")
+    for _ in range(STEPS // 2):
+        # Steps come in twos, so a table is written and looked at half as often.
+        now = written(step(step(estimate)), "estimates")
+        same = _matched(now, estimate.select(*GROUP, F.col("start").alias("_start"), F.col("log_det").alias("_was"))).where("start = _start")
+        moved, estimate = same.where("abs(log_det - _was) > 1e-9"), now
+        if moved.isEmpty():
+            break
     best = Window.partitionBy(*GROUP).orderBy("log_det", "start")
     return estimate.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn", "start", "log_det")
 
@@ -199,7 +231,8 @@ def oracle() -> str:
     sums = ", ".join([*(f"sum(n * x{i})::bigint as s{i}" for i in d), *(f"sum(n * x{i} * x{j})::bigint as p{i}{j}" for i, j in PAIRS)])
     again = ", ".join([*(f"sum(s{i})::bigint as s{i}" for i in d), *(f"sum(p{i}{j})::bigint as p{i}{j}" for i, j in PAIRS)])
     own = {(i, j): f"({CONSISTENCY}::double * (p{i}{j}::double / n - m{i} * m{j}))" for i, j in PAIRS}
-    cov = [f"greatest({own[i, j]}, 0.0::double) + {floors[i]} * {floors[i]} * (1 + {PRIOR}::double / (n + {PRIOR}::double)) as c{i}{j}" if i == j else f"{own[i, j]} * n / (n + {PRIOR}::double) as c{i}{j}" for i, j in PAIRS]
+    spread = lambda i: f"{floors[i]} * {floors[i]} + {list(PRIOR_SPREAD.values())[i] ** 2}::double * {PRIOR}::double / (n + {PRIOR}::double)"
+    cov = [f"greatest({own[i, j]} * n / (n + {PRIOR}::double), 0.0::double) + {spread(i)} as c{i}{j}" if i == j else f"{own[i, j]} * n / (n + {PRIOR}::double) as c{i}{j}" for i, j in PAIRS]
     low = []
     for j in d:
         for i in range(j, len(NAMES)):
@@ -210,10 +243,10 @@ def oracle() -> str:
     z = ", ".join(f"(x{i} - m{i}" + "".join(f" - l{i}{k} * z{k}" for k in range(i)) + f") / l{i}{i} as z{i}" for i in d)
     distance = " + ".join(f"z{i} * z{i}" for i in d)
     group = "v.lang is not distinct from e.lang and v.source is not distinct from e.source"
-    diagonal = ", ".join([*(f"med{i}::double as m{i}" for i in d), *(f"sqrt((1.4826::double * d{i}) * (1.4826::double * d{i}) + {floors[i]} * {floors[i]}) as l{i}{i}" if i == j else f"0.0::double as l{i}{j}" for j in d for i in range(j, len(NAMES)))])
+    diagonal = ", ".join([*(f"med{i}::double as m{i}" for i in d), *(f"sqrt((1.4826::double * d{i}) * (1.4826::double * d{i}) + {spread(i)}) as l{i}{i}" if i == j else f"0.0::double as l{i}{j}" for j in d for i in range(j, len(NAMES)))])
     steps = []
-    for k in range(1, CONCENTRATION_STEPS + 1):
-        steps.append(f"""r{k} as (select v.lang, v.source, start, n, {", ".join(f"x{i}" for i in d)}, {z}, floor(16 * ln({distance} + 1e-6::double)) as ring from v join e{k - 1} e on {group}),
+    for k in range(1, STEPS + 1):
+        steps.append(f"""r{k} as (select v.lang, v.source, start, n, {", ".join(f"x{i}" for i in d)}, {z}, floor({RINGS} * ln({distance} + 1e-6::double)) as ring from v join e{k - 1} e on {group}),
   q{k} as (select lang, source, start, ring, sum(n)::bigint as n, {sums} from (select lang, source, start, ring, n, {", ".join(f"x{i}" for i in d)} from r{k}) group by lang, source, start, ring),
   k{k} as (select *, sum(n) over (partition by lang, source, start order by ring) - n as before, sum(n) over (partition by lang, source, start) as total from q{k}),
   t{k} as (select lang, source, start, sum(n)::bigint as n, {again} from k{k} where before < {SUPPORT}::double * total group by lang, source, start),
@@ -230,11 +263,11 @@ def oracle() -> str:
   v as (select lang, source, {", ".join(f"x{i}" for i in d)}, count(*) as n from f where not base_failed group by all),
   docs as (select lang, source, {", ".join(f"x{i}" for i in d)} from f where not base_failed),
   md as (select lang, source, {", ".join(f"median(x{i}) as med{i}" for i in d)} from docs group by lang, source),
-  sp as (select v.lang, v.source, {", ".join(f"any_value(med{i}) as med{i}, median(round(abs(x{i} - med{i}))) as d{i}" for i in d)} from docs v join md e on {group} group by v.lang, v.source),
+  sp as (select v.lang, v.source, {", ".join(f"any_value(med{i}) as med{i}, median(round(abs(x{i} - med{i}))) as d{i}" for i in d)}, count(*) as n from docs v join md e on {group} group by v.lang, v.source),
   t0 as (select lang, source, sum(n)::bigint as n, 1 as start, {sums} from v group by lang, source),
   e0 as (select lang, source, 0 as start, 0.0::double as log_det, {diagonal} from sp union all by name select {fields} from (select *, {factor} from t0)),
   {", ".join(steps)},
-  best as (select * from e{CONCENTRATION_STEPS} qualify row_number() over (partition by lang, source order by log_det, start) = 1),
+  best as (select * from e{STEPS} qualify row_number() over (partition by lang, source order by log_det, start) = 1),
   told as (select doc_id, {distance} as distance from (select v.doc_id, {z} from f v join best e on {group} where not base_failed))
   select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(distance, 0) <= {LIMIT}::double as kept, round(distance, 4) as distance from f left join told using (doc_id)"""
 
