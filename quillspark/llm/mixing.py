@@ -1,9 +1,9 @@
 """Mixing sources to target weights by systematic sampling, in DataFrame functions only.
 
 Targets are found by water filling over the table of sources.  Within a source each document is expected target/size
-times; the expected copies are summed along an order of the source's documents, one offset is added, and a document is emitted
-once for each integer boundary that its stretch crosses.  The order goes by bands of size, so that the words taken
-stay within about one document of the target, then by hash; of some offsets, the one that comes nearest is taken.
+times; the expected copies are summed along an order of the source's documents, one random offset is added, and a document is emitted
+once for each integer boundary that its stretch crosses.  The order goes by falling bands of size, then by hash: what a boundary takes too early
+or too late is then made up for by documents of nearly the same size, and the words taken stay near the target.
 
 All expected copies of a source are equal, so a prefix sum is a rank times that number.  Ranks are counted on three levels
 (bands of a source, SALTS shares of a band, rows of a share): only counts are summed along a source, in windows of at most
@@ -24,10 +24,6 @@ MOST = 3
 WEIGHTS = 3
 #: Bands of size to an octave, and shares of a band.
 BANDS, SALTS = 16, 256
-#: Offsets that a source tries, evenly apart from a random first one; it keeps the one that comes nearest to its target.
-OFFSETS = 16
-#: A document of more than this part of its source's target is large.
-LARGE = 64
 
 
 def n_words(text: Column) -> Column:
@@ -75,10 +71,15 @@ def _sized(docs: DataFrame) -> DataFrame:
     return written(docs.select(F.col("doc_id").alias("_key"), tie.alias("_tie"), F.col("source").alias("_source"), of.alias("_from"), n_words(F.col("text")).alias("_size")), "sizes")
 
 
-def _systematic(rows: DataFrame, seed: int) -> DataFrame:
-    """``rows`` with _copies, under _rate (expected copies, equal in a source) and as near as the offsets allow to _goal words a source."""
+def copies(sized: DataFrame, seed: int = 0, most: int = MOST) -> DataFrame:
+    """Of the rows of ``_sized``, once for all that are alike: _n (rows alike), _copies (of all of them), source_size and target."""
+    goal = targets(sized, "_source", "_size", most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = written(goal.select(F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))).alias("_from"), "source_size", "target", rate.alias("_rate")), "targets")
+    rows = sized.groupBy("_key", "_tie", "_source", "_from", "_size").agg(F.count("*").alias("_n"))
     draw = _share(F.col("_key"), F.col("_tie"), seed)
-    rows = rows.withColumn("_band", F.floor(BANDS * F.log2(F.col("_size") + 1.0)).cast("int")).withColumn("_draw", draw).withColumn("_salt", (F.col("_draw") % SALTS).cast("int"))
+    rows = rows.withColumn("_band", -F.floor(BANDS * F.log2(F.col("_size") + 1.0)).cast("int")).withColumn("_draw", draw).withColumn("_salt", (F.col("_draw") % SALTS).cast("int"))
+    rows = written(rows, "alike")
     cell = ("_from", "_band", "_salt")
     cells = written(rows.groupBy(*cell).agg(F.sum("_n").alias("n")), "cells")
     along = Window.partitionBy("_from").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,39 +88,10 @@ def _systematic(rows: DataFrame, seed: int) -> DataFrame:
     inside = Window.partitionBy("_from", "_band").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("_up", F.coalesce(F.sum("n").over(inside), F.lit(0))).drop("n").join(bands, ["_from", "_band"])
     own = Window.partitionBy(*cell).orderBy("_draw", "_size", "_key", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("_rank", F.sum("_n").over(own)).join(starts, list(cell))
-    placed = written(placed.withColumn("_end", F.col("_below") + F.col("_up") + F.col("_rank")).drop("_band", "_draw", "_salt", "_rank", "_below", "_up"), "placed")
-
-    def taken(k: Column) -> Column:
-        """Copies under the k-th offset."""
-        shifted = _offset(F.col("_source"), seed) + k / OFFSETS
-        offset = shifted - F.floor(shifted)
-        return F.floor(F.col("_end") * F.col("_rate") + offset) - F.floor((F.col("_end") - F.col("_n")) * F.col("_rate") + offset)
-
-    sums = placed.groupBy("_from").agg(F.first("_goal").alias("t"), *(F.sum(taken(F.lit(k)) * F.col("_size")).alias(f"k{k}") for k in range(OFFSETS)))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"k{k}") - F.col("t")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS))))
-    chosen = written(sums.select("_from", best["k"].alias("_k")), "offsets")
-    return placed.join(chosen, "_from").withColumn("_copies", taken(F.col("_k")).cast("long")).drop("_end", "_k", "_rate", "_goal")
-
-
-def copies(sized: DataFrame, seed: int = 0, most: int = MOST) -> DataFrame:
-    """Of the rows of ``_sized``, once for all that are alike: _n (rows alike), _copies (of all of them), source_size and target.
-
-    Large documents are drawn first, at the source's rate; the others' rate then makes up for what these took too much or too little.
-    """
-    goal = targets(sized, "_source", "_size", most)
-    goal = written(goal.select(F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))).alias("_from"), "source_size", "target"), "targets")
-    rows = sized.groupBy("_key", "_tie", "_source", "_from", "_size").agg(F.count("*").alias("_n"))
-    rows = written(rows.join(goal, "_from").withColumn("_large", F.col("_size") * LARGE > F.col("target")), "alike")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    sums = written(rows.groupBy("_from").agg(F.first(rate).alias("_rate"), F.first("target").alias("_t"), *(F.sum(F.when(c, F.col("_size") * F.col("_n")).otherwise(0)).alias(n) for n, c in (("_big", F.col("_large")), ("_small", ~F.col("_large"))))), "sums")
-    first = rows.where("_large").join(sums.select("_from", "_rate", (F.col("_big") * F.col("_rate")).alias("_goal")), "_from")
-    first = written(_systematic(first.drop("_large"), seed), "large")
-    got = first.groupBy("_from").agg(F.sum(F.col("_copies") * F.col("_size")).alias("_got"))
-    left = F.col("_t") - F.coalesce("_got", F.lit(0))
-    rest = F.when(F.col("_small") > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), left / F.col("_small")))).otherwise(F.lit(0.0))
-    rest = written(sums.join(got, "_from", "left").select("_from", rest.alias("_rate"), left.alias("_goal")), "rest")
-    return first.unionByName(_systematic(rows.where("not _large").drop("_large").join(rest, "_from"), seed))
+    placed = rows.withColumn("_rank", F.sum("_n").over(own)).join(starts, list(cell)).join(goal, "_from")
+    end, offset = F.col("_below") + F.col("_up") + F.col("_rank"), _offset(F.col("_source"), seed)
+    taken = F.floor(end * F.col("_rate") + offset) - F.floor((end - F.col("_n")) * F.col("_rate") + offset)
+    return placed.withColumn("_copies", taken.cast("long")).drop("_band", "_draw", "_salt", "_rank", "_below", "_up", "_rate")
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -160,35 +132,11 @@ with sized as (
 ), goal as (
   select source, source_size, least(coalesce(final * w, cap::double), cap::double) as target from levelled
 ), ranked as (
-  select r.*, g.source_size, g.target, size * {LARGE} > target as large, ('0x' || substr(md5('0|' || coalesce(doc_id::varchar, '') || '|' || tie), 1, 8))::bigint as draw, floor({BANDS} * log2(size + 1.0))::int as band,
-    ('0x' || substr(md5('0|' || coalesce(r.source, chr(0))), 1, 8))::bigint / 4294967296.0::double as offs
+  select r.*, g.source_size, g.target, case when source_size > 0 then target / source_size else 0.0::double end as rate, ('0x' || substr(md5('0|' || coalesce(doc_id::varchar, '') || '|' || tie), 1, 8))::bigint as draw,
+    -floor({BANDS} * log2(size + 1.0))::int as band, ('0x' || substr(md5('0|' || coalesce(r.source, chr(0))), 1, 8))::bigint / 4294967296.0::double as offs
   from sized r join goal g on r.source is not distinct from g.source
-), parts as (
-  select *, case when source_size > 0 then target / source_size else 0.0 end as r, (sum(size) filter (large) over (partition by source))::bigint as big, (sum(size) filter (not large) over (partition by source))::bigint as small from ranked
-), b_ranks as (
-  select *, r as rate, big * r as goal, row_number() over (partition by source order by band, draw % {SALTS}, draw, size, doc_id nulls first, tie) as rank from (select * from parts where large)
-), b_tried as (
-  select *, k, offs + k / {OFFSETS}.0::double as o, (floor(rank * rate + (o - floor(o))) - floor((rank - 1) * rate + (o - floor(o))))::bigint as c from b_ranks, unnest(range({OFFSETS})) r(k)
-), b_sums as (
-  select source, k, abs(sum(c * size)::bigint - any_value(goal)) as off from b_tried group by source, k
-), b_chosen as (
-  select source, arg_min(k, row(off, k)) as k from b_sums group by source
-), b_out as (
-  select doc_id, t.source, size, source_size, target, (c * size)::bigint as taken from b_tried t join b_chosen h on t.source is not distinct from h.source and t.k = h.k
-), got as (
-  select source, sum(taken)::bigint as got from b_out group by source
-), left_over as (
-  select p.*, target - coalesce(got, 0) as left_words from parts p left join got g on p.source is not distinct from g.source where not large
-), s_ranks as (
-  select *, case when small > 0 then least({MOST}.0::double, greatest(0.0::double, left_words / small)) else 0.0::double end as rate, left_words as goal, row_number() over (partition by source order by band, draw % {SALTS}, draw, size, doc_id nulls first, tie) as rank from left_over
-), s_tried as (
-  select *, k, offs + k / {OFFSETS}.0::double as o, (floor(rank * rate + (o - floor(o))) - floor((rank - 1) * rate + (o - floor(o))))::bigint as c from s_ranks, unnest(range({OFFSETS})) r(k)
-), s_sums as (
-  select source, k, abs(sum(c * size)::bigint - any_value(goal)) as off from s_tried group by source, k
-), s_chosen as (
-  select source, arg_min(k, row(off, k)) as k from s_sums group by source
-), s_out as (
-  select doc_id, t.source, size, source_size, target, (c * size)::bigint as taken from s_tried t join s_chosen h on t.source is not distinct from h.source and t.k = h.k
+), placed as (
+  select *, row_number() over (partition by source order by band, draw % {SALTS}, draw, size, doc_id nulls first, tie) as rank from ranked
 )
-select doc_id, size, source_size, target, taken from b_out union all select doc_id, size, source_size, target, taken from s_out
+select doc_id, size, source_size, target, ((floor(rank * rate + offs) - floor((rank - 1) * rate + offs)) * size)::bigint as taken from placed
 """

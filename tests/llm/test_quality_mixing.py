@@ -30,12 +30,17 @@ def grids(c):
     return [cut(512 * math.log(chars / n)), cut(quality.GRID * math.sqrt(c["n_symbols"] / (chars + c["n_symbols"]))), cut(quality.GRID * c["n_dup_lines"] / lines), cut(quality.GRID * c["n_repeat_words"] / n)]
 
 
+def spread(n):
+    """What is added to the variances: the smallest spread, and the prior's documents."""
+    floor, prior = (np.array(list(v.values())) ** 2 for v in (quality.FEATURES, quality.PRIOR_SPREAD))
+    return floor + prior * quality.PRIOR / (n + quality.PRIOR)
+
+
 def factor(x):
-    n, floor = len(x), np.array(list(quality.FEATURES.values())) ** 2
+    n = len(x)
     centre = x.mean(0)
-    own = quality.CONSISTENCY * ((x.T @ x) / n - np.outer(centre, centre))
-    cov = own * n / (n + quality.PRIOR)
-    np.fill_diagonal(cov, np.maximum(np.diag(own), 0) + floor * (1 + quality.PRIOR / (n + quality.PRIOR)))
+    cov = quality.CONSISTENCY * ((x.T @ x) / n - np.outer(centre, centre)) * n / (n + quality.PRIOR)
+    np.fill_diagonal(cov, np.maximum(np.diag(cov), 0) + spread(n))
     return centre, np.linalg.cholesky(cov)
 
 
@@ -46,14 +51,13 @@ def distances(x, centre, low):
 
 def brute_distances(x):
     x = x.astype(float)
-    floor = np.array(list(quality.FEATURES.values())) ** 2
     centre = np.median(x, 0)
     mad = np.median(np.floor(np.abs(x - centre) + 0.5), 0)
-    starts = [(centre, np.diag(np.sqrt((1.4826 * mad) ** 2 + floor))), factor(x)]
+    starts = [(centre, np.diag(np.sqrt((1.4826 * mad) ** 2 + spread(len(x))))), factor(x)]
     best = []
     for centre, low in starts:
-        for _ in range(quality.CONCENTRATION_STEPS):
-            rings = np.floor(16 * np.log(distances(x, centre, low) + 1e-6))
+        for _ in range(quality.STEPS):
+            rings = np.floor(quality.RINGS * np.log(distances(x, centre, low) + 1e-6))
             cum = 0
             inside = np.zeros(len(x), bool)
             for r in np.unique(rings):
@@ -99,6 +103,27 @@ def test_quality_against_brute_force(spark):
     compare(got, want)
 
 
+def test_the_estimate_decides(spark):
+    """One document, of longer words, among documents that vary little goes, and stays among documents that vary much."""
+    rng, rows = np.random.default_rng(8), []
+    for lang, narrow in (("narrow", 0.02), ("wide", 0.9)):
+        for i in range(120):
+            lengths = np.clip(np.round(rng.normal(5 * math.exp(rng.normal(0, narrow / 3)), 0.3, 400)), 1, 30).astype(int)
+            rows.append((len(rows), " ".join(f"{k:x}".zfill(n) for k, n in enumerate(lengths)), lang, "s", 1, "q", 0))
+        rows.append((len(rows), " ".join(f"{k:x}".zfill(6) for k in range(400)), lang, "s", 1, "q", 0))
+    got = quality.report(spark.createDataFrame(rows, SCHEMA)).toPandas().set_index("doc_id")
+    odd = [120, 241]
+    assert got.loc[odd, "kept"].tolist() == [False, True] and got["kept"].drop(odd).mean() > 0.98
+    # By the smallest and the prior's spread alone it would stay.
+    assert (512 * math.log(6 / 5)) ** 2 / quality.PRIOR_SPREAD["word_length"] ** 2 < quality.LIMIT
+    want = brute({r[0]: r[1:4] for r in rows})
+    assert all(got.loc[k, "kept"] == w["kept"] for k, w in want.items())
+
+
+def test_limit_is_a_quantile():
+    assert math.exp(-quality.LIMIT / 2) * (1 + quality.LIMIT / 2) == pytest.approx(quality.TAIL, rel=1e-4) and quality.chi_squared_limit(0.05) == pytest.approx(9.4877, abs=1e-3)
+
+
 def odd_rows():
     clean = " ".join(f"word{i % 97}x{i}" for i in range(120))
     rows = [(i, f"{clean} number {i} and some more words that differ {i * 7}", "en", "s", 1, "q", 0) for i in range(30)]
