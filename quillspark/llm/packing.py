@@ -105,6 +105,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[k : k + 4 * capacity]) for k in range(0, len(ids), 4 * capacity)])
             yield pd.DataFrame({"n": n, "crcs": crcs})
+        encode.rest()
 
     return docs.select("doc_id", cut(F.col("text")).alias("t")).select("doc_id", F.col("t.n").alias("doc_tokens"), F.col("t.crcs").alias("crcs"))
 

@@ -21,9 +21,9 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Rows of an Arrow batch that are turned into Python objects at a time.
-SLICE = 512
+SLICE = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:

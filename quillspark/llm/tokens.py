@@ -56,7 +56,7 @@ SAMPLE_FILES, SAMPLE_DOCS = 4, 2048
 #: Entries of the broadcast table, and the code points of a key at most: about 4 MB.
 FREQUENT, KEY_CHARS = 1 << 15, 32
 #: Entries of a worker's cache at most (it then starts again from the frequent ones), and the code points of a key that is kept.
-CACHE, CACHE_CHARS = 400_000, 64
+CACHE, CACHE_CHARS = 150_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -75,7 +75,7 @@ class _Cache(dict):
 
     def __missing__(self, word: str):
         value = self.encode(word)
-        if len(word) <= CACHE_CHARS and len(self) < 2 * CACHE:
+        if len(word) <= CACHE_CHARS and len(self) < CACHE + CACHE // 4:
             self[word] = value
         return value
 
@@ -117,6 +117,11 @@ class Encoder:
         """One pre-token by the library's model: its bytes' letters, merged."""
         return self._value([x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
 
+    def rest(self) -> None:
+        """Lets go of what the task's texts have left in the cache."""
+        if self.two_tier:
+            self.cache = _Cache(self.one, self.table)
+
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings."""
         return [text[a:b] for _, (a, b) in self.library_split(text)] if _RARE.search(text) else self.common(text)
@@ -180,6 +185,7 @@ def with_token_counts(docs: DataFrame, path: str, text: str = "text", out: str =
         encode = encoder(path, False, shared.value)
         for batch in batches:
             yield pd.Series([encode(t) for t in batch], dtype="int64")
+        encode.rest()
 
     return docs.withColumn(out, count(F.col(text)))
 
