@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from quillspark import schemas
 from quillspark.functions import text
 from quillspark.kernels import glyphs
+from quillspark.kernels.fusion import Recipe
 from quillspark.operators import ranking, splits, stages
 from quillspark.plans import pipelines
+from quillspark.scratch import written
 from quillspark.sources import annotations, delimited, images, listing, sinks
 
 COMMANDS = {}
@@ -100,12 +102,13 @@ def page_backgrounds(spark, a):
     """Background patches of annotated pages, the glyphs filled."""
     total = {}
     for name, folder in listing.parsed_sources(a.source, {}).items():
-        pixels = _pixels(spark, folder)
+        pixels = _pixels(spark, f"{folder}/{annotations.IMAGES}")
         notes = annotations.read_annotations(spark, folder, a.limit).withColumn("path", listing.plain_path(F.col("path"))).where(F.size("boxes") > 0)
         pages = annotations.with_image(notes, pixels.select("path")).select(F.col("path").alias("xml"), F.col("image").alias("path"), "boxes").join(pixels, "path")
         made = images.page_backgrounds(pages, a.patches, a.size, a.seed, crop=a.crop_method)
         place = F.concat(F.lit(f"{name}/"), text.stem(F.col("path")), F.lit("/patches/"), F.format_string("%04d.png", "patch_no"))
-        made = made.withColumn("name", place).withColumn("source", F.lit(name)).cache()
+        made = made.withColumn("name", place).withColumn("source", F.lit(name))
+        made = written(made, "patches")
         total[name] = _save(made, a.out, "name")
         manifest = made.groupBy("source", F.col("path").alias("image")).agg(F.count("*").alias("patches"), F.max("box_count").alias("boxes"), F.max("mask_ratio").alias("mask_ratio"), F.max("crop_box").alias("crop_box"), F.min("name").alias("background"))
         sinks.write_table(manifest.orderBy("image"), f"{a.out}/{name}/manifest.csv", schemas.names(schemas.BACKGROUNDS))
@@ -121,22 +124,25 @@ def char_backgrounds(spark, a):
     rows = splits.capped(rows, ["source", "char"], [F.col("image_path")], a.max_per_char)
     rows = splits.sampled(rows, ["source"], "image_path", a.limit_per_source, a.seed)
     made = images.char_backgrounds(rows, a.size, keep=["source", "char", "path"])
-    made = made.withColumn("char_code", text.code_label(F.col("char"))).withColumn("patch", F.concat("source", F.lit("/"), "char_code", F.lit("/patches/"), text.stem(F.col("path")), F.lit(".png"))).cache()
+    made = made.withColumn("char_code", text.code_label(F.col("char"))).withColumn("patch", F.concat("source", F.lit("/"), "char_code", F.lit("/patches/"), text.stem(F.col("path")), F.lit(".png")))
+    made = written(made, "patches")
     count = _save(made, a.out, "patch")
     sinks.write_table(made.withColumn("image", F.col("path")).drop("data").orderBy("patch"), f"{a.out}/manifest.csv", schemas.names(schemas.CHAR_BACKGROUNDS))
     return {"patches": count}
 
 
-@command(opt("train", required=True), opt("rare", required=True), opt("data_root", required=True), opt("backgrounds", required=True), opt("mode", default="none", choices=sorted(glyphs.MODES)), opt("per_char", type=int, default=20, help="samples that a class is to reach"), opt("strict_sources", action="store_true"), SEED, OUT)
+@command(opt("train", required=True), opt("rare", required=True), opt("data_root", required=True), opt("backgrounds", required=True), opt("mode", default="none", choices=sorted(glyphs.MODES)), opt("per_char", type=int, default=20, help="samples of a class, unless a target is given"), opt("target_count", type=int, help="samples that a class is to reach"), opt("image_size", type=int, help="side of the samples (their sources' size)"),
+    opt("background_source_policy", default=pipelines.POLICIES[0], choices=pipelines.POLICIES), opt("source_bg_strength", type=float, default=0.35), opt("no_prefuse", action="store_true"), opt("sample_attempts", type=int, default=20), opt("strict_sources", action="store_true"), SEED, OUT)
 def generate(spark, a):
     """Samples for rare classes, on backgrounds of all sources in turn."""
     train = _samples(spark, a.train, a.data_root)
     rare = delimited.typed(delimited.read_csv(spark, a.rare), schemas.RARE_CHARS)
     label = train.select("path", "source_label").distinct()
-    made = pipelines.generation_plan(train.select("char", "path", "height", "width", "channels", "data"), rare, _backgrounds(spark, a.backgrounds), a.mode, a.per_char, seed=a.seed, strict=a.strict_sources)
-    made = made.cache()
+    made = pipelines.generation_plan(train.select("char", "path", "height", "width", "channels", "data"), rare, _backgrounds(spark, a.backgrounds), a.mode, a.target_count, a.sample_attempts, a.seed, a.strict_sources, recipe=Recipe(mix=0.0 if a.no_prefuse else a.source_bg_strength), per_char=a.per_char, size=a.image_size, policy=a.background_source_policy)
+    made = written(made, "generated")
     count = _save(made, a.out, "path")
-    rows = made.drop("data").join(label.withColumnsRenamed({"path": "source_image"}), "source_image", "left").withColumns({"method": F.lit(a.mode), "output_width": F.col("width"), "output_height": F.col("height"), "source_width": F.col("width"), "source_height": F.col("height")})
+    _save(pipelines.layer_images(made), a.out, "path")
+    rows = made.drop("data").join(label.withColumnsRenamed({"path": "source_image"}), "source_image", "left").withColumns({"output_width": F.col("width"), "output_height": F.col("height")})
     sinks.write_table(rows.orderBy("path"), f"{a.out}/generated_samples.csv", schemas.names(schemas.GENERATED))
     return {"generated": count, "classes": made.select("char").distinct().count()}
 

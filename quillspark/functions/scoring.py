@@ -109,6 +109,17 @@ def glyph_gate(limits: Limits = Limits()) -> Column:
     return ok["alpha_ok"] & (F.col("component_count") >= 1) & ok["rectangle_ok"] & ok["darkness_ok"]
 
 
+def glyph_passes(m: dict[str, float], limits: Limits = Limits()) -> bool:
+    """The same gate on the measures of one glyph."""
+    filled = m["bbox_fill_ratio"] > limits.max_fill and m["bbox_area_ratio"] > limits.box_share
+    return limits.min_alpha <= m["alpha_ratio"] <= limits.max_alpha and m["component_count"] >= 1 and not filled and m["darkness_mean"] >= limits.min_darkness
+
+
+def size_match(width: Column, height: Column, other_width: Column, other_height: Column) -> Column:
+    """Whether two sizes are known and the same."""
+    return F.coalesce((width == other_width) & (height == other_height), F.lit(False))
+
+
 def patch_gate(max_mask: float = 0.02, max_white: float = 0.35, min_std: float = 4.0) -> Column:
     """Whether a background patch can be used, over mask_ratio, white_ratio and gray_std (defaults: pages)."""
     return (F.col("mask_ratio") <= max_mask) & (F.col("white_ratio") <= max_white) & (F.col("gray_std") >= min_std)
@@ -117,4 +128,4 @@ def patch_gate(max_mask: float = 0.02, max_white: float = 0.35, min_std: float =
 def difficulty_flags(baseline: Column, simple: Column, threshold: float, min_gain: float) -> dict[str, Column]:
     """Why a class is hard: it got worse, it is still low, or it gained nothing to speak of."""
     gain = simple - baseline
-    return {"worse_than_baseline": gain < 0, "still_low": simple <= threshold, "no_clear_gain": gain <= min_gain}
+    return {"worse_after_simple_fusion": gain < 0, "low_simple_fusion_accuracy": simple <= threshold, "no_clear_simple_fusion_gain": gain <= min_gain}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators import ranking
 from quillspark.operators.splits import seeded
 
 
@@ -19,15 +20,27 @@ def missing_sources(required: DataFrame, available: DataFrame, key: str) -> Data
     return required.join(available.select(key).distinct(), key, "left_anti")
 
 
-def round_robin(wanted: DataFrame, backgrounds: DataFrame, source: str, key: str, label: str, seed: int = 42) -> DataFrame:
+def at_random(wanted: DataFrame, backgrounds: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:
+    """Each slot with a seeded pick of all backgrounds, whatever their source."""
+    picks = ranking.numbered(backgrounds, [F.col(key)]).withColumnRenamed("group_no", "pick")
+    size = picks.agg(F.count("*").alias("size"))  # one row
+    draw = F.conv(F.substring(seeded(seed, label, "slot"), 1, 8), 16, 10).cast("long") % F.col("size")
+    return wanted.crossJoin(F.broadcast(size)).withColumn("pick", draw).join(picks, "pick").drop("size", "pick")
+
+
+def round_robin(wanted: DataFrame, backgrounds: DataFrame, source: str, key: str, label: str, seed: int = 42, order: list | None = None) -> DataFrame:
     """Each slot with a background: sources in turn, by slot, and a seeded pick inside of the source.
 
+    ``order``: the sources that take turns, in their order, as far as they have backgrounds; without any of them, all take turns by name.
     What is joined per slot is the number of the pick; the pick itself is an equi-join.
     """
-    order = Window.partitionBy(source).orderBy(key)
-    picks = backgrounds.withColumn("pick", F.row_number().over(order) - 1)
+    if order:
+        place = F.array_position(F.array(*map(F.lit, order)), F.col(source))
+        known = backgrounds.agg(F.coalesce(F.max(place > 0), F.lit(False)).alias("_known"))  # one row
+        backgrounds = backgrounds.crossJoin(F.broadcast(known)).where(~F.col("_known") | (place > 0)).drop("_known")
+    picks = backgrounds.withColumn("pick", F.row_number().over(Window.partitionBy(source).orderBy(key)) - 1)
     sources = backgrounds.groupBy(source).agg(F.count("*").alias("size"))
-    sources = sources.withColumn("turn", F.row_number().over(Window.orderBy(source)) - 1).withColumn("turns", F.count("*").over(Window.partitionBy(F.lit(1))))  # one row a source
+    sources = sources.withColumn("turn", F.row_number().over(Window.orderBy(*([place] if order else []), source)) - 1).withColumn("turns", F.count("*").over(Window.partitionBy(F.lit(1))))  # one row a source
     turns = sources.select(F.max("turns")).alias("t")
     placed = wanted.crossJoin(F.broadcast(turns.toDF("turns"))).withColumn("turn", F.col("slot") % F.col("turns")).drop("turns")
     placed = placed.join(sources.drop("turns"), "turn")
@@ -54,3 +67,9 @@ def accepted(tried: DataFrame, label: str, gate: Column) -> DataFrame:
 def first_classes(made: DataFrame, label: str, limit: int) -> DataFrame:
     """Samples of the first ``limit`` classes that have any; the limit counts classes with success only."""
     return made.join(made.select(label).distinct().orderBy(label).limit(limit), label, "left_semi")
+
+
+def first_of_group(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with is_first: whether a row is its group's first one, whose layers are kept for a look."""
+    least = rows.groupBy(group).agg(F.min(F.struct(*order)).alias("_least"))
+    return rows.join(least, group).withColumn("is_first", F.struct(*order) == F.col("_least")).drop("_least")

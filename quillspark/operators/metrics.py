@@ -59,13 +59,19 @@ def hard_classes(metrics: DataFrame, label: str, target: int, threshold: float,
     return short.where(F.col("accuracy") <= threshold) if k is None else short.orderBy(*order).limit(k)
 
 
+def last_of(rows: DataFrame, label: str, order: str = "_row") -> DataFrame:
+    """One row of each label: the last by ``order``, if there is such a column, else the greatest."""
+    row = F.struct(*rows.columns)
+    return rows.groupBy(label).agg((F.max_by(row, order) if order in rows.columns else F.max(row)).alias("_one")).select("_one.*")
+
+
 def hard_by_gain(baseline: DataFrame, simple: DataFrame, label: str, target: int, threshold: float, min_gain: float = 0.0, k: int | None = None) -> DataFrame:
-    """Classes that the second model made worse, or left low without a clear gain, with the reasons."""
-    first = baseline.dropDuplicates([label]).select(label, F.col("accuracy").alias("b"), F.col("support").alias("baseline_support"))
+    """Classes that the second model made worse, or left low without a clear gain, with the reasons; of baseline rows of one class the last counts."""
+    first = last_of(baseline, label).select(label, F.col("accuracy").alias("b"), F.col("support").alias("baseline_support"))
     both = simple.join(first, label).where((F.col("train_count") < target) & (F.col("support") > 0) & (F.col("baseline_support") > 0))
     gain = F.col("accuracy") - F.col("b")
     worse, low, flat = gain < 0, F.col("accuracy") <= threshold, gain <= min_gain
-    why = F.concat_ws("+", F.when(worse, "worse_than_baseline"), F.when(low, "still_low"), F.when(flat, "no_clear_gain"))
+    why = F.concat_ws("+", F.when(worse, "worse_after_simple_fusion"), F.when(low, "low_simple_fusion_accuracy"), F.when(flat, "no_clear_simple_fusion_gain"))
     out = both.where(worse | (low & flat)).select(
         label, F.col("train_count").alias("count"), F.greatest(F.lit(0), F.lit(target) - F.col("train_count")).alias("need_to_min_count"),
         F.round("b", 6).alias("baseline_accuracy"), F.round("accuracy", 6).alias("simple_accuracy"), F.round(gain, 6).alias("accuracy_delta"), "support", "baseline_support", why.alias("reason"),

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import or_unknown
+from quillspark.operators.splits import seeded
 from quillspark.scratch import written
+from quillspark.sources.listing import FIRST_METHOD
 
 
 def examples(rows: DataFrame, group: str, score: Column, tie: list[str], k: int) -> DataFrame:
@@ -46,13 +49,29 @@ def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
     return ranged.join(F.broadcast(before), "_p").withColumn("group_no", (F.col("_from") + F.col("_i")).cast("long")).drop("_p", "_i", "_from")
 
 
-def lineage(rows: DataFrame, groups: DataFrame, key: str, method: str, score: str, tie: list[str], per_method: int) -> DataFrame:
-    """Rows of the chosen groups, the best ``per_method`` of each method (all, if zero or less), numbered within their group by method."""
+def lineage(rows: DataFrame, groups: DataFrame, key: str, method: str, score: str, tie: list[str], per_method: int, background: str | None = None) -> DataFrame:
+    """Rows of the chosen groups, the best ``per_method`` of each method (all, if zero or less), numbered within their group by method, then by
+    background and falling score; a blank method or background counts as unknown."""
     own = rows.join(groups.select(key, "group_no"), key)
+    of = or_unknown(F.col(method))
     if per_method > 0:
-        best = F.row_number().over(Window.partitionBy(key, method).orderBy(F.col(score).desc(), *tie))
+        best = F.row_number().over(Window.partitionBy(key, of).orderBy(F.col(score).desc(), *tie))
         own = own.withColumn("_r", best).where(F.col("_r") <= per_method).drop("_r")
-    return own.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(method, F.col(score).desc(), *tie)))
+    place = [of, *([or_unknown(F.col(background))] if background else []), F.col(score).desc(), *tie]
+    return own.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*place)))
+
+
+def report_samples(originals: DataFrame, made: DataFrame, label: str, path: str, k: int, seed: int = 42, first: str = FIRST_METHOD) -> DataFrame:
+    """For each class, up to ``k`` drawn originals and as many drawn samples of each method: label, folder, method, path and place from 0.
+
+    Folders are numbered: originals, the first method, the others.  Only classes with generated samples are reported, or all, if there are none.
+    """
+    of_method = F.concat(F.when(F.col("method") == first, "01_").otherwise("02_"), "method")
+    rows = made.select(label, of_method.alias("folder"), "method", path)
+    wanted = made.select(label).union(originals.select(label).join(made.select(F.lit(True).alias("_any")).limit(1), F.lit(True), "left_anti")).where(F.col(label).isNotNull()).distinct()
+    real = originals.join(wanted, label, "left_semi").select(label, F.lit("00_original").alias("folder"), F.lit("real").alias("method"), path)
+    draw = Window.partitionBy(label, "folder").orderBy(seeded(seed, label, "folder", path), path)
+    return real.unionByName(rows).withColumn("place", F.row_number().over(draw) - 1).where(F.col("place") < k)
 
 
 def label_text(rows: DataFrame, key: str, label: str, shown: int = 3) -> DataFrame:

@@ -85,7 +85,7 @@ def difficult_threshold(spark, sf_dir):
 
 
 _GAIN = f"""{_FULL}, {_SMALL}, gain as (select s.label, s.train_count as count, greatest(0, 1000000 - s.train_count) as need_to_min_count, f.accuracy as baseline_accuracy, s.accuracy as simple_accuracy, round(s.accuracy - f.accuracy, 6) as accuracy_delta, s.support, f.support as baseline_support,
-    concat_ws('+', case when s.accuracy - f.accuracy < 0 then 'worse_than_baseline' end, case when s.accuracy <= 0.9 then 'still_low' end, case when s.accuracy - f.accuracy <= 0 then 'no_clear_gain' end) as reason
+    concat_ws('+', case when s.accuracy - f.accuracy < 0 then 'worse_after_simple_fusion' end, case when s.accuracy <= 0.9 then 'low_simple_fusion_accuracy' end, case when s.accuracy - f.accuracy <= 0 then 'no_clear_simple_fusion_gain' end) as reason
   from s_m s join f_m f using (label) where s.accuracy - f.accuracy < 0 or (s.accuracy <= 0.9 and s.accuracy - f.accuracy <= 0) order by accuracy_delta, simple_accuracy, s.support desc, s.label limit 5)"""
 
 

@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import scoring
 from quillspark.functions.text import code_label
+from quillspark.kernels.fusion import Recipe
 from quillspark.operators import generation, metrics, quality, ranking, routing, splits, stages
 from quillspark.scratch import written
 from quillspark.sources import images as im
 from quillspark.sources.listing import SOURCES
 
 
+# Names of the ways in which backgrounds are picked, and of the methods without and with the glyph's own surroundings.
+POLICIES = ("cycle_all_sources", "random")
+METHODS = ("preenhanced_opencv_grabcut_softmask_bg_fusion", "preenhanced_opencv_grabcut_softmask_source_bg_prefusion")
+
+
 def label_index(labels: DataFrame, listing: DataFrame, exclude: list[str] = (), min_count: int = 20) -> dict[str, DataFrame]:
     """Kept, excluded and missing rows, class counts, rare classes and a summary, from label rows (char, image_path, ..)."""
     there = listing.select(F.col("path").alias("image_path"))
@@ -53,25 +59,41 @@ def trained(real: DataFrame, more: list[DataFrame], evaluation: DataFrame, size:
     return {"per_class": metrics.per_class(got, "char", routing.class_counts(real, "char")), "overall": metrics.overall(got, "char")}
 
 
-def generation_plan(train: DataFrame, rare: DataFrame, backgrounds: DataFrame, mode: str = "none", target: int = 20, tries: int = 20, seed: int = 42, strict: bool = True, limits: scoring.Limits = scoring.Limits()) -> DataFrame:
-    """Generated samples for classes that are short: attempts from usable sources, backgrounds in turn, one sample a slot.
+def generation_plan(train: DataFrame, rare: DataFrame, backgrounds: DataFrame, mode: str = "none", target: int | None = 20, tries: int = 20, seed: int = 42, strict: bool = True, limits: scoring.Limits = scoring.Limits(), recipe: Recipe = Recipe(), per_char: int = 20, size: int | None = None, policy: str = POLICIES[0]) -> DataFrame:
+    """Generated samples for classes that are short of ``target`` (None: ``per_char`` for each class): attempts from usable sources, one sample a slot,
+    backgrounds of the sources in turn or at random, samples as large as their sources or ``size`` squared.
 
     ``train``: char, path, height, width, channels, data; ``backgrounds``: source and the same.
     """
+    if policy not in POLICIES:
+        raise ValueError(f"policy {policy!r}: one of {POLICIES}")
     required = train.sparkSession.createDataFrame([(s,) for s in SOURCES.values()], "source string")
-    if strict and not (gone := generation.missing_sources(required, backgrounds, "source")).isEmpty():
+    if strict and policy == POLICIES[0] and not (gone := generation.missing_sources(required, backgrounds, "source")).isEmpty():
         raise ValueError(f"sources without backgrounds: {sorted(r.source for r in gone.collect())}")
     rows = train.join(rare.select("char"), "char", "left_semi")
-    wanted = generation.slots(routing.class_counts(rows, "char"), "char", "count", target)
+    counts = routing.class_counts(rows, "char")
+    wanted = generation.slots(counts.withColumn("count", F.lit(0)) if target is None else counts, "char", "count", per_char if target is None else target)
     # Whether a glyph can be used does not depend on the attempt: it is found once for each source image.
     gate = im.glyph_usable(rows, mode, ["char", "path"]).withColumn("good", scoring.glyph_gate(limits)).select("char", "path", "good")
     picks = generation.accepted(generation.attempts(wanted, written(gate, "gate"), "char", "path", tries, seed), "char", F.col("good")).select("char", "slot", "path")
-    turns = generation.round_robin(picks.select("char", "slot"), backgrounds.select("source", F.col("path").alias("background")), "source", "background", "char", seed)
+    grounds = backgrounds.select("source", F.col("path").alias("background"))
+    if policy == POLICIES[0]:
+        turns = generation.round_robin(picks.select("char", "slot"), grounds, "source", "background", "char", seed, list(SOURCES.values()))
+    else:
+        turns = generation.at_random(picks.select("char", "slot"), grounds, "background", "char", seed)
     slots = picks.join(turns.select("char", "slot", F.col("source").alias("background_source"), "background"), ["char", "slot"])
     slots = slots.join(rows.drop("char"), "path").join(backgrounds.select(F.col("path").alias("background"), *(F.col(c).alias(f"bg_{c}") for c in ("height", "width", "channels", "data"))), "background")
-    made = im.generated(slots, mode, seed, keep=["char", "slot", "path", "background_source", "background"])
+    made = im.generated(slots, mode, seed, recipe, ["char", "slot", "path", "background_source", "background"], size, tries, limits)
     name = F.concat(code_label(F.col("char")), F.format_string("_%04d.png", "slot"))
-    return made.withColumnsRenamed({"path": "source_image"}).withColumns({"path": F.concat(F.lit("images/"), "char", F.lit("/"), name), "char_code": code_label(F.col("char")), "pre_extract_enhance": F.lit(mode), "channels": F.lit(3)})
+    return made.withColumnsRenamed({"path": "source_image"}).withColumns({"path": F.concat(F.lit("images/"), "char", F.lit("/"), name), "char_code": code_label(F.col("char")), "pre_extract_enhance": F.lit(mode), "method": F.lit(METHODS[recipe.mix > 0]), "channels": F.lit(3)})
+
+
+def layer_images(made: DataFrame) -> DataFrame:
+    """Alpha and darkness of each class's first sample, as gray images with a path, to be looked at."""
+    rows = generation.first_of_group(made, "char", ["slot"]).where("is_first")
+    layers = F.explode(F.array(*(F.struct(F.lit(n).alias("layer"), F.col(n).alias("data")) for n in ("alpha", "darkness")))).alias("l")
+    rows = rows.select("char", F.col("source_height").alias("height"), F.col("source_width").alias("width"), layers)
+    return rows.select(F.concat(F.lit("debug/"), "char", F.lit("_"), "l.layer", F.lit(".png")).alias("path"), "height", "width", F.lit(1).alias("channels"), "l.data")
 
 
 def difficulty_experiment(real: DataFrame, evaluation: DataFrame, simple: DataFrame, by_method: DataFrame, size: int, target: int = 20, threshold: float = 0.8, min_gain: float = 0.0, k: int | None = None) -> dict[str, DataFrame]:

@@ -40,10 +40,14 @@ def lineage_all_groups(spark, sf_dir):
     return ranking.ranked_groups(made(spark, sf_dir), "l_orderkey", "score", "min_score").withColumn("avg_score", F.round("avg_score", 6))
 
 
-@Q.add("lineage_rows", f"""with {_GROUPS}, b as (select m.*, group_no from m join top using (l_orderkey) qualify row_number() over (partition by l_orderkey, method order by score desc, l_linenumber, l_partkey, l_suppkey) <= 2)
-  select *, row_number() over (partition by l_orderkey order by method, score desc, l_linenumber, l_partkey, l_suppkey) as seq from b""")
+_GROUND = "case when l_suppkey % 3 > 0 then 's' || l_suppkey % 3 else '' end"
+
+
+@Q.add("lineage_rows", f"""with {_GROUPS}, b as (select m.*, {_GROUND} as ground, group_no from m join top using (l_orderkey) qualify row_number() over (partition by l_orderkey, method order by score desc, l_linenumber, l_partkey, l_suppkey) <= 2)
+  select *, row_number() over (partition by l_orderkey order by method, coalesce(nullif(ground, ''), 'unknown'), score desc, l_linenumber, l_partkey, l_suppkey) as seq from b""")
 def lineage_rows(spark, sf_dir):
-    return ranking.lineage(made(spark, sf_dir), top_groups(spark, sf_dir), "l_orderkey", "method", "score", TIE[1:], 2)
+    ground = F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("s"), F.col("l_suppkey") % 3)).otherwise(F.lit(""))
+    return ranking.lineage(made(spark, sf_dir).withColumn("ground", ground), top_groups(spark, sf_dir), "l_orderkey", "method", "score", TIE[1:], 2, "ground")
 
 
 @Q.add("lineage_labels", f"""with l as (select l_orderkey, list_sort(list(distinct method)) as l from ({_MADE}) group by l_orderkey)
@@ -60,14 +64,36 @@ def oversample_slots(spark, sf_dir):
     return generation.slots(routing.class_counts(table(spark, sf_dir, "part"), "p_brand"), "p_brand", "count", 1000)
 
 
-_RR = f"""w as (select p_brand, unnest(range(1000 - count))::int as slot from ({_SHORT}) where count < 1000), b as (select n_regionkey, n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as pick, count(*) over (partition by n_regionkey) as size from nation),
-  s as (select n_regionkey, row_number() over (order by n_regionkey) - 1 as turn, count(*) over () as turns, any_value(size) as size from b group by n_regionkey)"""
+_RR = f"""w as (select p_brand, unnest(range(1000 - count))::int as slot from ({_SHORT}) where count < 1000), b as (select n_regionkey, n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) - 1 as pick, count(*) over (partition by n_regionkey) as size from nation where n_regionkey in (3, 0, 4)),
+  s as (select n_regionkey, row_number() over (order by list_position([3, 0, 4], n_regionkey)) - 1 as turn, count(*) over () as turns, any_value(size) as size from b group by n_regionkey)"""
 
 
 @Q.add("round_robin_backgrounds", f"with {_RR} select w.p_brand, w.slot, s.n_regionkey, b.n_nationkey from w join s on w.slot % s.turns = s.turn join b on b.n_regionkey = s.n_regionkey and b.pick = ('0x' || substr(md5('42|' || p_brand || '|' || slot), 1, 8))::bigint % s.size")
 def round_robin_backgrounds(spark, sf_dir):
     wanted = oversample_slots(spark, sf_dir)
-    return generation.round_robin(wanted, table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey"), "n_regionkey", "n_nationkey", "p_brand").select("p_brand", "slot", "n_regionkey", "n_nationkey")
+    return generation.round_robin(wanted, table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey"), "n_regionkey", "n_nationkey", "p_brand", order=[3, 0, 4]).select("p_brand", "slot", "n_regionkey", "n_nationkey")
+
+
+@Q.add("random_backgrounds", f"""with w as (select p_brand, unnest(range(1000 - count))::int as slot from ({_SHORT}) where count < 1000), b as (select n_regionkey, n_nationkey, row_number() over (order by n_nationkey) - 1 as pick, count(*) over () as size from nation)
+  select w.p_brand, w.slot, b.n_regionkey, b.n_nationkey from w join b on b.pick = ('0x' || substr(md5('42|' || p_brand || '|' || slot), 1, 8))::bigint % b.size""")
+def random_backgrounds(spark, sf_dir):
+    return generation.at_random(oversample_slots(spark, sf_dir), table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey"), "n_nationkey", "p_brand").select("p_brand", "slot", "n_regionkey", "n_nationkey")
+
+
+@Q.add("first_of_group", f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, row(l_linenumber, l_partkey, l_suppkey) = min(row(l_linenumber, l_partkey, l_suppkey)) over (partition by l_orderkey) as is_first from ({_MADE})")
+def first_of_group(spark, sf_dir):
+    return generation.first_of_group(made(spark, sf_dir), "l_orderkey", TIE[1:]).select(*TIE, "is_first")
+
+
+@Q.add("report_samples", f"""with o as (select distinct l_orderkey % 40 as char, l_orderkey from lineitem), a as (select l_orderkey % 40 as char, l_orderkey, l_linenumber, l_partkey, l_suppkey, method from ({_MADE})),
+  every as (select char, '00_original' as folder, 'real' as method, l_orderkey::varchar as path from o union all select char, case when method = 'A_F' then '01_' else '02_' end || method, method, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) from (select *, substr(method, 1, 1) || '_' || substr(method, 2) as m2 from a) s(char, l_orderkey, l_linenumber, l_partkey, l_suppkey, m1, method))
+  select char, folder, method, path, row_number() over (partition by char, folder order by md5('42|' || char || '|' || folder || '|' || path), path) - 1 as place from every qualify place < 3""")
+def report_samples(spark, sf_dir):
+    rows = made(spark, sf_dir).withColumn("char", F.col("l_orderkey") % 40)
+    originals = rows.select("char", F.col("l_orderkey").cast("string").alias("path")).distinct()
+    named = F.concat_ws("_", F.substring("method", 1, 1), F.substring("method", 2, 9))
+    more = rows.select("char", F.concat_ws("-", *TIE).alias("path"), named.alias("method"))
+    return ranking.report_samples(originals, more, "char", "path", 3, 42, first="A_F")
 
 
 @Q.add("rejection_loop", """with c as (select p_mfgr, count(*) as n from (select substr(p_brand, 1, 7) as p_mfgr from part) group by 1), need as (select p_mfgr, greatest(0, 120 - n % 120) as need, n as size from c),

@@ -16,26 +16,14 @@ KEY_STRETCH = 1 << 16
 _CODE = "case when t = '' then 'unknown' else array_to_string(list_transform(string_split(t, ''), lambda c: 'U' || case when ord(c) < 65536 then printf('%04X', ord(c)) else printf('%X', ord(c)) end), '_') end"
 
 
-@Q.add("char_code_label", f"select doc_id, {_CODE} as code from (select doc_id, substr(text, 1, 3) as t from documents)")
+@Q.add("char_code_label", f"select doc_id, {_CODE} as code from (select doc_id, text as t from documents)")
 def char_code_label(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.code_label(F.substring("text", 1, 3)).alias("code"))
-
-
-@Q.add("file_label", f"""with s as (select doc_id, t, regexp_replace(t, '[ .]+$', '') as e from (select doc_id, regexp_replace(substr(text, 3, 9), '^\\s+|\\s+$', '', 'g') as t from documents))
-  select doc_id, case when t = '' or regexp_matches(t, '[<>:"/\\\\|?*\\x00-\\x1f]') or e = '' then {_CODE} else e end as label from s""")
-def file_label(spark, sf_dir):
-    part = text.strip(F.substring("text", 3, 9))
-    return table(spark, sf_dir, "documents").select("doc_id", text.file_label(part).alias("label"))
-
-
-@Q.add("char_code_label_whole", f"select doc_id, {_CODE} as code from (select doc_id, text as t from documents)")
-def char_code_label_whole(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.code_label(F.col("text")).alias("code"))
 
 
-@Q.add("file_label_whole", f"""with s as (select doc_id, t, regexp_replace(t, '[ .]+$', '') as e from (select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from documents))
+@Q.add("file_label", f"""with s as (select doc_id, t, regexp_replace(t, '[ .]+$', '') as e from (select doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t from documents))
   select doc_id, case when t = '' or regexp_matches(t, '[<>:"/\\\\|?*\\x00-\\x1f]') or e = '' then {_CODE} else e end as label from s""")
-def file_label_whole(spark, sf_dir):
+def file_label(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.file_label(text.strip(F.col("text"))).alias("label"))
 
 
@@ -64,17 +52,9 @@ def group_key(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy(text.or_unknown(key).alias("grp")).agg(F.count("*").alias("rows"))
 
 
-@Q.add("serial_names", "select o_orderkey, o_orderstatus || '_' || printf('%04d', row_number() over (partition by o_orderstatus order by o_orderkey)) || '.png' as name from orders where o_orderkey <= 400")
+@Q.add("serial_names", "select o_orderkey, o_orderstatus || '_' || printf('%04d', row_number() over (partition by o_orderstatus order by o_orderkey)) || '.png' as name from orders")
 def serial_names(spark, sf_dir):
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey"))
-    return table(spark, sf_dir, "orders").where("o_orderkey <= 400").select("o_orderkey", text.serial_name(F.col("o_orderstatus"), number).alias("name"))
-
-
-@Q.add("serial_names_whole", "select o_orderkey, o_orderstatus || '_' || printf('%04d', row_number() over (partition by o_orderstatus order by o_orderkey)) || '.png' as name from orders")
-def serial_names_whole(spark, sf_dir):
-    """All orders; a status is numbered by stretches of keys, so that no task holds all of its rows."""
+    """Orders named by status; a status is numbered by stretches of keys, so that no task holds all of its rows."""
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.floor(F.col("o_orderkey") / KEY_STRETCH).alias("stretch"))
@@ -135,16 +115,10 @@ def box_shift(spark, sf_dir):
     return moved.select("l_orderkey", F.size("boxes").cast("long").alias("boxes"), F.aggregate(F.transform("boxes", boxes.area), F.lit(0).cast("long"), lambda s, x: s + x).alias("total_area"))
 
 
-@Q.add("box_mask_ratio", f"""with b as (select l_orderkey, greatest(0, least(x1 - 2, 64)) as x1, greatest(0, least(y1 - 2, 48)) as y1, greatest(0, least(x2 + 2, 64)) as x2, greatest(0, least(y2 + 2, 48)) as y2 from ({_BOX_ROWS}) where l_orderkey <= 300),
+@Q.add("box_mask_ratio", f"""with b as (select l_orderkey, greatest(0, least(x1 - 2, 64)) as x1, greatest(0, least(y1 - 2, 48)) as y1, greatest(0, least(x2 + 2, 64)) as x2, greatest(0, least(y2 + 2, 48)) as y2 from ({_BOX_ROWS})),
   px as (select distinct l_orderkey, x, y from b, unnest(range(x1, x2)) a(x), unnest(range(y1, y2)) c(y)) select o.l_orderkey, round(count(px.x) / (64.0 * 48), 9) as mask_ratio from (select distinct l_orderkey from b) o left join px using (l_orderkey) group by 1""")
 def box_mask_ratio(spark, sf_dir):
-    grouped = _box_rows(spark, sf_dir).where("l_orderkey <= 300").select("l_orderkey", boxes.padded(F.col("b"), 2, F.lit(64), F.lit(48)).alias("b")).groupBy("l_orderkey").agg(F.collect_list("b").alias("boxes"))
-    return grouped.select("l_orderkey", F.round(boxes.covered_area(F.col("boxes")) / (64.0 * 48), 9).alias("mask_ratio"))
-
-
-@Q.add("box_mask_ratio_whole")
-def box_mask_ratio_whole(spark, sf_dir):
-    """All of lineitem; SQL that expands pixels is for small tables, so brute force checks this one."""
+    """The share of a page that each order's boxes cover."""
     grouped = _box_rows(spark, sf_dir).select("l_orderkey", boxes.padded(F.col("b"), 2, F.lit(64), F.lit(48)).alias("b")).groupBy("l_orderkey").agg(F.collect_list("b").alias("boxes"))
     return grouped.select("l_orderkey", F.round(boxes.covered_area(F.col("boxes")) / (64.0 * 48), 9).alias("mask_ratio"))
 

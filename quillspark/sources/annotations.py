@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import boxes as bx
 from quillspark.functions.text import stem
+from quillspark.sources.listing import exists
 
 
 def decoded(content: Column) -> Column:
@@ -47,9 +48,19 @@ def parsed(rows: DataFrame, content: str) -> DataFrame:
     return rows.withColumn("filename", name).withColumn("boxes", good)
 
 
-def read_annotations(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """path, filename and boxes of the annotation files under ``path`` in path order; a limit counts files, with or without boxes."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", "true").load(path).select("path", "content")
+#: Folders of a source's annotations and of its images.
+LABELS, IMAGES = "label", "img"
+
+
+def read_annotations(spark: SparkSession, source: str, limit: int | None = None) -> DataFrame:
+    """path, filename and boxes of the annotation files in a source's folder of labels, in path order; a limit counts files, with or without boxes.
+
+    Folders within are not looked into; a source without such a folder is an error.
+    """
+    folder = f"{source.rstrip('/')}/{LABELS}"
+    if not exists(spark, folder):
+        raise FileNotFoundError(f"no folder of annotations: {folder}")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(folder).select("path", "content")
     files = files.orderBy("path").limit(limit) if limit is not None else files
     return parsed(files.select("path", decoded(F.col("content")).alias("content")), "content").drop("content")
 
@@ -61,9 +72,9 @@ EXTENSIONS = (".bmp", ".png", ".jpg")
 def with_image(found: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
     """Annotations with the image that belongs to them: the named file, else one of the same stem; without any, they go.
 
-    ``listing`` has a column path; images lie beside their annotations.
+    ``listing`` has a column path; images lie in the source's folder of images, beside that of labels.
     """
-    folder = F.regexp_replace(path, "[^/]*$", "")
+    folder = F.concat(F.regexp_replace(path, "[^/]*/[^/]*$", ""), F.lit(f"{IMAGES}/"))
     names = F.array(F.col("filename"), *(F.concat(stem(F.col(path)), F.lit(e)) for e in EXTENSIONS))
     wanted = found.select(path, folder.alias("_folder"), F.posexplode(names).alias("_order", "_name")).where("_name <> ''")
     wanted = wanted.withColumn("_image", F.concat("_folder", "_name"))

@@ -6,14 +6,16 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import schemas
+from quillspark.functions.scoring import Limits, glyph_passes
+from quillspark.kernels import fusion
 from quillspark.kernels import glyphs as gl
 
-#: Images of an Arrow batch at most, where a plan sends images to Python.
+#: Images of an Arrow batch that are Python objects at a time.
 BATCH = 64
 
 
@@ -40,22 +42,27 @@ def seeded(seed: int, *keys: object) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(digest[:8], "little"))
 
 
-def _mapped(images: DataFrame, keep: list[str], schema: str, f: Callable[[pd.Series], Iterator[tuple]]) -> DataFrame:
-    """Rows that ``f`` makes of each row, after its columns ``keep``; images are not passed on."""
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<float>": pa.list_(pa.float32())}
+
+
+def _mapped(images: DataFrame, keep: list[str], schema: str, f: Callable[[dict], Iterator[tuple]]) -> DataFrame:
+    """Rows that ``f`` makes of each row, after its columns ``keep``; images are not passed on.  Few images are Python objects at a time."""
     kinds = dict(images.dtypes)
     full = ", ".join([*(f"{c} {kinds[c]}" for c in keep), schema])
     names = [x.rsplit(" ", 1)[0].split()[0] for x in full.split(", ")]
+    arrow = pa.schema([(n, _ARROW[x.rsplit(" ", 1)[1]]) for n, x in zip(names, full.split(", "), strict=True)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                rows = [(*(r[c] for c in keep), *made) for _, r in batch.iloc[at : at + BATCH].iterrows() for made in f(r)]
-                yield pd.DataFrame(rows, columns=names)
+            for at in range(0, batch.num_rows, BATCH):
+                rows = [(*(r[c] for c in keep), *out) for r in batch.slice(at, BATCH).to_pylist() for out in f(r)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
 
-    return images.mapInPandas(run, full)
+    return images.mapInArrow(run, full)
 
 
-def _image(r: pd.Series, prefix: str = "") -> np.ndarray:
+def _image(r: dict, prefix: str = "") -> np.ndarray:
     return pixels(r[f"{prefix}data"], r[f"{prefix}height"], r[f"{prefix}width"], r[f"{prefix}channels"])
 
 
@@ -63,7 +70,7 @@ def measured(images: DataFrame, keep: list[str] = ("path",), options: gl.MaskOpt
     """The measures of every image, rounded; an unreadable one has none."""
     names = schemas.names(schemas.MEASURES)
 
-    def f(r: pd.Series) -> Iterator[tuple]:
+    def f(r: dict) -> Iterator[tuple]:
         m = gl.measures(_image(r), options) if r["height"] > 0 else {}
         yield (bool(m), *(round(m[n], 6) if n in m else None for n in names))
 
@@ -76,7 +83,7 @@ def compared(images: DataFrame, references: DataFrame, reference: str, keep: lis
     both = images.join(other, images[reference] == other["_ref"], "left").drop("_ref")
     names = schemas.names(schemas.COMPARISON)
 
-    def f(r: pd.Series) -> Iterator[tuple]:
+    def f(r: dict) -> Iterator[tuple]:
         m = gl.comparison(_image(r), _image(r, "ref_"), options) if r["height"] > 0 and r["ref_data"] is not None else {}
         yield tuple(round(m[n], 6) if m.get(n) is not None else None for n in names)
 
@@ -91,7 +98,7 @@ def vectors(images: DataFrame, side: int, keep: list[str]) -> DataFrame:
 def extracted(images: DataFrame, options: gl.MaskOptions = gl.MaskOptions(), box: gl.Box | None = None) -> DataFrame:
     """path, alpha (bytes by row), area and ratio of the glyph of every readable image; without a box, inside of the inset."""
 
-    def f(r: pd.Series) -> Iterator[tuple]:
+    def f(r: dict) -> Iterator[tuple]:
         alpha = gl.glyph_mask(_image(r), box or gl.inset_box(r["width"], r["height"]), options)
         area = int((alpha > 8).sum())
         yield alpha.tobytes(), area, area / alpha.size
@@ -105,7 +112,7 @@ def page_backgrounds(pages: DataFrame, count: int = 4, size: int = 128, seed: in
     if crop not in crops:
         raise ValueError(f"crop {crop!r}: one of {sorted(crops)}")
 
-    def f(r: pd.Series) -> Iterator[tuple]:
+    def f(r: dict) -> Iterator[tuple]:
         image = _image(r)
         x1, y1, x2, y2 = crops[crop](image)
         moved = [(max(b["xmin"] - x1, 0), max(b["ymin"] - y1, 0), min(b["xmax"], x2) - x1, min(b["ymax"], y2) - y1) for b in r["boxes"]]
@@ -124,7 +131,7 @@ def page_backgrounds(pages: DataFrame, count: int = 4, size: int = 128, seed: in
 def char_backgrounds(images: DataFrame, size: int = 128, grow: int = 3, max_mask: float = 0.65, max_white: float = 0.85, min_std: float = 2.0, keep: list[str] = ("path",)) -> DataFrame:
     """A background patch of every single glyph's image: the glyph filled, cut to size, and kept if it can be used."""
 
-    def f(r: pd.Series) -> Iterator[tuple]:
+    def f(r: dict) -> Iterator[tuple]:
         image = _image(r)
         on = gl.fx.dilate(np.where(gl.glyph_mask(image, gl.inset_box(r["width"], r["height"])) > 8, 255, 0).astype(np.uint8), 2 * grow + 1)
         patch = gl.cover(gl.fx.filled(image, on), size, size)
@@ -141,17 +148,25 @@ def glyph_usable(images: DataFrame, mode: str = "none", keep: list[str] = ("path
     return _mapped(readable(images), list(keep), "alpha_ratio double, darkness_mean double, bbox_fill_ratio double, bbox_area_ratio double, component_count int", lambda r: iter([tuple(gl.mask_measures(gl.enhanced(_image(r), mode))[n] for n in fields)]))
 
 
-def generated(slots: DataFrame, mode: str = "none", seed: int = 42, prefuse: float = 0.35, keep: list[str] = ("char", "slot")) -> DataFrame:
-    """A sample for each row with a glyph image and a background image (bg_ columns): same size as the glyph's."""
+def generated(slots: DataFrame, mode: str = "none", seed: int = 42, recipe: fusion.Recipe = fusion.Recipe(), keep: list[str] = ("char", "slot"), size: int | None = None, tries: int = 20, limits: Limits = Limits()) -> DataFrame:
+    """A sample for each row with a glyph image and a background image (bg_ columns), as large as the glyph's or ``size`` squared.
 
-    def f(r: pd.Series) -> Iterator[tuple]:
-        image, rng = gl.enhanced(_image(r), mode), seeded(seed, *(r[k] for k in keep))
-        h, w = image.shape[:2]
-        alpha = gl.glyph_mask(image, gl.inset_box(w, h))
-        own, weight = gl.context(image, alpha)
-        (dark, alpha, own, weight), angle, scale = gl.shaken([(gl.ink(image, alpha), False), (alpha, False), (own, True), (weight, False)], rng)
-        ground = gl.fused(gl.cover(_image(r, "bg_"), w, h), own, weight, prefuse)
-        out = gl.composed(dark, gl.fainter_on_white(alpha, weight, 0.5), ground, rng)
-        yield h, w, out.tobytes(), round(angle, 6), round(scale, 6)
+    Poses are drawn until the moved glyph passes the gate once more, ``tries`` at most; a row whose poses all fail gives none.
+    """
+
+    def f(r: dict) -> Iterator[tuple]:
+        source, rng = _image(r), seeded(seed, *(r[k] for k in keep))
+        layers = fusion.stack(gl.enhanced(source, mode), source, recipe)
+        for _ in range(tries):
+            pose = fusion.Pose.drawn(rng, recipe)
+            moved = fusion.without_rims(pose.apply(layers), recipe)
+            if fusion.usable(moved, lambda m: glyph_passes(m, limits)):
+                break
+        else:
+            return
+        h, w = (size, size) if size else source.shape[:2]
+        out = fusion.inked(fusion.grounded(gl.cover(_image(r, "bg_"), w, h), moved, recipe), moved, rng, recipe)
+        look = lambda x: x.astype(np.uint8).tobytes()
+        yield h, w, out.tobytes(), round(pose.angle, 6), round(pose.scale, 6), *source.shape[:2], look(moved.alpha), look(np.clip(moved.darkness, 0, 1) * 255)
 
-    return _mapped(slots, list(keep), "height int, width int, data binary, angle double, scale double", f)
+    return _mapped(slots, list(keep), "height int, width int, data binary, angle double, scale double, source_height int, source_width int, alpha binary, darkness binary", f)

@@ -125,13 +125,15 @@ def export_files(files: DataFrame, root: str, path: str, content: str) -> int:
 
 
 def copied(rows: DataFrame, listing: DataFrame, path: str, root: str, target: str) -> DataFrame:
-    """Rows with whether their file is there; those that are, are copied to their target under ``root``."""
+    """Rows with whether their file is there; those that are, are copied to their target under ``root``, all in one pass over their contents."""
     spark = rows.sparkSession
     there = listing.select(F.col("path").alias("_p")).distinct().withColumn("_there", F.lit(True))
     out = rows.join(there, rows[path] == there["_p"], "left").withColumn("copied", F.col("_there").isNotNull()).drop("_p", "_there")
-    contents = spark.read.format("binaryFile")
-    for r in out.where("copied").select(path, target).toLocalIterator():
-        _put(spark, f"{root.rstrip('/')}/{r[1]}", iter([bytes(contents.load(r[0]).select("content").first()[0])]))
+    wanted = out.where("copied").select(F.col(path).alias("_from"), F.col(target).alias("_to"))
+    sources = sorted({r[0] for r in wanted.select("_from").distinct().toLocalIterator()})  # the samples of a report
+    if sources:
+        contents = spark.read.format("binaryFile").load(sources).select(F.regexp_replace("path", "^file:/+", "/").alias("_from"), "content")
+        export_files(wanted.withColumn("_from", F.regexp_replace("_from", "^file:/+", "/")).join(contents, "_from"), root, "_to", "content")
     return out
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from quillspark.__main__ import main
-from quillspark.plans.pipelines import SOURCES
+from quillspark.plans.pipelines import METHODS, SOURCES
 from quillspark.sources.delimited import read_csv
 from quillspark.sources.sinks import png
 from tests.test_pipelines import ground, stroke
@@ -24,10 +24,11 @@ def root(tmp_path_factory):
         for k in range(2):
             (at / f"grounds/{SOURCES[source]}/page/patches").mkdir(parents=True, exist_ok=True)
             (at / f"grounds/{SOURCES[source]}/page/patches/{k}.png").write_bytes(png(ground(10 * s + k)))
-    (at / "toy").mkdir()
+    (at / "toy/img").mkdir(parents=True)
+    (at / "toy/label").mkdir()
     page = np.clip(np.random.default_rng(3).normal(160, 20, (256, 256, 3)), 0, 255).astype(np.uint8)
-    (at / "toy/1.png").write_bytes(png(page))
-    (at / "toy/1.xml").write_text("<a><filename>1.png</filename><bndbox><xmin>80</xmin><ymin>70</ymin><xmax>165</xmax><ymax>190</ymax></bndbox></a>")
+    (at / "toy/img/1.png").write_bytes(png(page))
+    (at / "toy/label/1.xml").write_text("<a><filename>1.png</filename><bndbox><xmin>80</xmin><ymin>70</ymin><xmax>165</xmax><ymax>190</ymax></bndbox></a>")
     return at
 
 
@@ -39,9 +40,11 @@ def test_from_labels_to_lineage(spark, root, tmp_path):
     clean = tmp_path / "index/clean_samples.csv"
     assert {r.source_label for r in read_csv(spark, str(clean)).collect()} == set(SOURCES)
     assert run("split", "--clean_samples", clean, "--out", tmp_path / "splits", "--target_count", 6) == {"train": 12, "val": 3, "test": 3, "rare": 3}
-    got = run("generate", "--train", tmp_path / "splits/train.csv", "--rare", tmp_path / "splits/train_rare_chars.csv", "--data_root", root, "--backgrounds", root / "grounds", "--per_char", 5, "--strict_sources", "--out", tmp_path / "exp/augment/simple_fusion")
+    got = run("generate", "--train", tmp_path / "splits/train.csv", "--rare", tmp_path / "splits/train_rare_chars.csv", "--data_root", root, "--backgrounds", root / "grounds", "--target_count", 5, "--strict_sources", "--out", tmp_path / "exp/augment/simple_fusion")
     assert got == {"generated": 3, "classes": 3}
     assert len(list((tmp_path / "exp/augment/simple_fusion/images/甲").glob("*.png"))) == 1
+    assert len(list((tmp_path / "exp/augment/simple_fusion/debug").glob("*.png"))) == 6
+    assert {r.method for r in read_csv(spark, str(tmp_path / "exp/augment/simple_fusion/generated_samples.csv")).collect()} == {METHODS[1]}
     got = run("score", "--clean_samples", clean, "--data_root", root, "--experiment", tmp_path / "exp", "--out", tmp_path / "quality")
     assert got["sources"] == 18 and got["generated"] == 3
     table = tmp_path / "quality/generated_image_quality.csv"

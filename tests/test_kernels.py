@@ -1,7 +1,11 @@
+import dataclasses
+
 import numpy as np
 import pytest
 
 from quillspark.kernels import filters as fx
+from quillspark.functions.scoring import glyph_passes
+from quillspark.kernels import fusion
 from quillspark.kernels import glyphs as gl
 
 
@@ -131,17 +135,41 @@ def test_enhancement_modes(mode):
         gl.enhanced(glyph_image(), "none of these")
 
 
-def test_composition():
-    image, rng = glyph_image(), np.random.default_rng(2)
-    alpha = gl.glyph_mask(image, gl.inset_box(96, 96))
-    dark = gl.ink(image, alpha)
-    own, weight = gl.context(image, alpha)
-    assert weight.max() == pytest.approx(1) and own[46, 48].mean() > 150
-    (dark, alpha, own, weight), angle, scale = gl.shaken([(dark, False), (alpha, False), (own, True), (weight, False)], rng)
-    assert abs(angle) <= 6 and 0.92 <= scale <= 1.08
+def test_samples_from_stacks():
+    image, rng, recipe = glyph_image(), np.random.default_rng(2), fusion.Recipe(mix=0.5)
+    layers = fusion.stack(image, image, recipe)
+    assert layers.trust.max() == pytest.approx(1) and layers.around[46, 48].mean() > 150
+    pose = fusion.Pose.drawn(rng, recipe)
+    assert abs(pose.angle) <= 6 and 0.92 <= pose.scale <= 1.08
+    moved = fusion.without_rims(pose.apply(layers), recipe)
     page = np.clip(rng.normal(180, 10, (96, 96, 3)), 0, 255).astype(np.uint8)
-    ground = gl.fused(gl.cover(page, 96, 96), own, weight, 0.5)
-    out = gl.composed(dark, gl.fainter_on_white(alpha, weight, 0.5), ground, rng)
-    on = alpha > 200
-    assert out.shape == page.shape and out[on].mean() < ground[on].mean() - 20 and np.abs(out[alpha == 0].astype(int) - ground[alpha == 0]).mean() < 3
+    ground = fusion.grounded(gl.cover(page, 96, 96), moved, recipe)
+    out = fusion.inked(ground, moved, rng, recipe)
+    on = moved.alpha > 200
+    assert out.shape == page.shape and out[on].mean() < ground[on].mean() - 20 and np.abs(out[moved.alpha == 0].astype(int) - ground[moved.alpha == 0]).mean() < 3
+    assert fusion.usable(moved, glyph_passes) and not fusion.usable(dataclasses.replace(moved, alpha=np.zeros_like(moved.alpha)), glyph_passes)
     assert gl.cover(page, 30, 60).shape == (60, 30, 3) and len(gl.feature_vector(image, 16)) == 256
+
+
+def test_poses_keep_the_middle():
+    for angle, scale, shift in ((0, 1, (0, 0)), (30, 0.5, (0, 0)), (-6, 1.08, (0.1, -0.2))):
+        m = fusion.Pose(angle, scale, shift).matrix(40, 20)
+        assert m @ [20, 10, 1] == pytest.approx([20 + 40 * shift[0], 10 + 20 * shift[1]])
+        assert np.linalg.det(m[:, :2]) == pytest.approx(scale**2)
+    still = fusion.Pose(0, 1, (0, 0)).apply(layers := fusion.stack(glyph_image(), glyph_image()))
+    assert (still.alpha == layers.alpha).all() and np.allclose(still.darkness, layers.darkness)
+
+
+def test_tones_and_blends():
+    rng, recipe = np.random.default_rng(5), fusion.Recipe()
+    a, b = (np.clip(rng.normal(m, s, (30, 30, 3)), 0, 255).astype(np.uint8) for m, s in ((90, 12), (170, 14)))
+    where = np.ones((30, 30), bool)
+    tone = fusion.Tone.between(a, b, where, recipe)
+    # Three quarters of the way, less what the gain takes from the rest.
+    assert tone.apply(a).mean() == pytest.approx(b.mean() - 0.25 * tone.gain * (b.mean() - a.mean()), abs=1) and 0.75 <= tone.gain <= 1.35
+    assert fusion.Tone.between(b, np.full_like(b, 100), where, recipe).gain == 0.75
+    assert (fusion.blend(a, b, np.zeros((30, 30))) == a).all() and (fusion.blend(a, b, np.ones((30, 30))) == b).all()
+    blank = fusion.Stack(np.zeros((30, 30)), np.zeros((30, 30), np.uint8), a, np.zeros((30, 30), np.float32))
+    assert fusion.grounded(b, blank, recipe) is b and (fusion.without_rims(blank, fusion.Recipe(rim=0)).alpha == 0).all()
+    white = np.full((30, 30, 3), 255, np.uint8)
+    assert fusion.stack(white, white).trust.max() == 0

@@ -103,7 +103,7 @@ def test_hard_classes(spark):
     assert {r.char for r in metrics.hard_classes(m, "char", 20, 0.5).collect()} == {"a", "b"}
     better = m.withColumn("accuracy", F.when(F.col("char") == "a", 0.1).otherwise(F.col("accuracy")))
     got = metrics.hard_by_gain(m, better, "char", 20, 0.3).collect()
-    assert {r.char: r.reason for r in got} == {"a": "worse_than_baseline+still_low+no_clear_gain", "b": "still_low+no_clear_gain"}
+    assert {r.char: r.reason for r in got} == {"a": "worse_after_simple_fusion+low_simple_fusion_accuracy+no_clear_simple_fusion_gain", "b": "low_simple_fusion_accuracy+no_clear_simple_fusion_gain"}
     none = metrics.subset(m, m.where("false"), "char").first()
     assert tuple(none) == (0, 0, 0.0, 0.0)
 
@@ -114,6 +114,12 @@ def test_slots_turns_and_rejection(spark):
     grounds = spark.createDataFrame([("s1", "p"), ("s1", "q"), ("s2", "r")], "source string, path string")
     got = generation.round_robin(wanted, grounds, "source", "path", "char").orderBy("slot").collect()
     assert [r.source for r in got] == ["s1", "s2", "s1", "s2", "s1"]
+    turns = generation.round_robin(wanted, grounds, "source", "path", "char", order=["s2", "none", "s1"]).orderBy("slot").collect()
+    assert [r.source for r in turns] == ["s2", "s1", "s2", "s1", "s2"]
+    assert {r.source for r in generation.round_robin(wanted, grounds, "source", "path", "char", order=["none"]).collect()} == {"s1", "s2"}
+    assert {r.source for r in generation.round_robin(wanted, grounds, "source", "path", "char", order=["s2"]).collect()} == {"s2"}
+    drawn = generation.at_random(wanted, grounds, "path", "char").collect()
+    assert len(drawn) == 5 and {(r.source, r.path) for r in drawn} <= {("s1", "p"), ("s1", "q"), ("s2", "r")}
     tried = generation.attempts(wanted, spark.createDataFrame([("x", "i1", True), ("x", "i2", False)], "char string, path string, good boolean"), "char", "path", 20)
     made = generation.accepted(tried, "char", F.col("good"))
     assert tried.count() == 100 and [r.slot for r in made.orderBy("slot").collect()] == list(range(5)) and {r.path for r in made.collect()} == {"i1"}

@@ -67,16 +67,19 @@ def test_images_round_trip(spark, tmp_path):
 
 def test_annotations(spark, tmp_path):
     good = "<annotation><filename>1.bmp</filename><OBJECT><bndbox><xmin>1</xmin><ymin> 2 </ymin><xmax>5</xmax><ymax>9</ymax></bndbox><bndbox><xmin>1.5</xmin><ymin>2</ymin><xmax>5</xmax><ymax>9</ymax></bndbox><BNDBOX><xmin>7</xmin><ymin>2</ymin><xmax>5</xmax><ymax>9</ymax></BNDBOX></OBJECT>"
-    put(tmp_path / "x/1.xml", good)
-    put(tmp_path / "x/2.xml", "<filename>竹简.png</filename>".encode("gb18030"))
-    put(tmp_path / "x/3.xml", b"\xff\xfe<filename>z.png</filename>\x81")
+    put(tmp_path / "x/label/1.xml", good)
+    put(tmp_path / "x/label/2.xml", "<filename>竹简.png</filename>".encode("gb18030"))
+    put(tmp_path / "x/label/3.xml", b"\xff\xfe<filename>z.png</filename>\x81")
     for n in ("1.png", "2.jpg", "竹简.png"):
-        put(tmp_path / f"x/{n}", b"")
+        put(tmp_path / f"x/img/{n}", b"")
+    put(tmp_path / "x/label/deeper/4.xml", good)
+    with pytest.raises(FileNotFoundError):
+        annotations.read_annotations(spark, str(tmp_path / "x/img"))
     found = annotations.read_annotations(spark, str(tmp_path / "x"))
     rows = {r.path[-5:]: r for r in found.collect()}
     assert [tuple(b) for b in rows["1.xml"].boxes] == [(1, 2, 5, 9)] and rows["2.xml"].filename == "竹简.png" and rows["3.xml"].filename == "z.png"
     assert annotations.read_annotations(spark, str(tmp_path / "x"), 1).count() == 1
-    matched = {r.path[-5:]: r.image.rsplit("/", 1)[1] for r in annotations.with_image(found, spark.createDataFrame([(str(r.path).rsplit("/", 1)[0] + "/" + n,) for r in [rows["1.xml"]] for n in ("1.png", "2.jpg", "竹简.png")], "path string")).collect()}
+    matched = {r.path[-5:]: r.image.rsplit("/", 1)[1] for r in annotations.with_image(found, spark.createDataFrame([(str(r.path).rsplit("/", 2)[0] + "/img/" + n,) for r in [rows["1.xml"]] for n in ("1.png", "2.jpg", "竹简.png")], "path string")).collect()}
     assert matched == {"1.xml": "1.png", "2.xml": "竹简.png"}
 
 
