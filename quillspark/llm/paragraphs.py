@@ -396,3 +396,65 @@ def strip(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kinds = dict(docs.dtypes)
     columns = [(new[c].cast(kinds[c]) if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
     return apart.unionByName(less.select(*columns))
+
+
+# The same in SQL, over a table documents whose ids are distinct, with all pairs of lines and short texts that share a shingle in place of bands.
+ORACLE = f"""
+with recursive pieces as (
+  select doc_id, unnest(p) as x, generate_subscripts(p, 1) as i from (select doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as p from documents where text is not null)
+), placed as (
+  select doc_id, i, x, regexp_matches(x, '[^\\x20\\x09-\\x0D]') as word, octet_length(encode(x)) as size, (sum(octet_length(encode(x))) over w)::bigint as stop, (sum(length(x) - length(replace(x, chr(10), ''))) over w)::bigint as line
+  from pieces window w as (partition by doc_id order by i rows unbounded preceding)
+), words as (
+  select doc_id, row_number() over (partition by doc_id order by i) - 1 as k, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, stop - size as begin, stop, line from placed where word
+), docs as (
+  select doc_id, list(w order by k) as ws, list(begin order by k) as begins, list(stop order by k) as stops, count(*) as n from words group by doc_id
+), least as (
+  select doc_id, k, n - {BLOCK - 1} as places, min(('0x' || substr(md5(w), 1, 8))::bigint * 16777216 + k) over (partition by doc_id order by k rows between current row and {REACH - 1} following) as m
+  from words join (select doc_id, n from docs) using (doc_id) where k <= n - {BLOCK}
+), units as (
+  select doc_id, a, m, bool_or(near) as near from (
+    select doc_id, m % 16777216 as a, {BLOCK} as m, false as near from least where k <= places - {REACH} or (k = 0 and places < {REACH})
+    union all select doc_id, min(k), count(*), true from words group by doc_id, line having count(*) >= {BLOCK}
+    union all select doc_id, 0, n, true from docs where n < {BLOCK}) group by doc_id, a, m
+), sets as (
+  select doc_id, a, m, near, list_sort(list_distinct(list_transform(range(a, a + greatest(1, m - {WIDTH - 1})), lambda i: array_to_string(ws[i + 1:i + least(m, {WIDTH})], ' ')))) as s from units join docs using (doc_id)
+), classed as (
+  select doc_id, a, m, md5(array_to_string(s, '|')) as id, near, s from sets
+), classes as (
+  select id, any_value(s) as s, any_value(len(s)) as n, bool_or(near) as near, min(row(doc_id, a, m)) as f, count(*) as c from classed group by id
+), tokens as (
+  select id, n, unnest(s) as s from classes where near
+), pairs as (
+  select x.id as x, y.id as y, x.n as n, y.n as m, count(*) as c from tokens x join tokens y using (s) where x.id < y.id and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) group by all
+), linked as (
+  select x, y from pairs where 100 * c >= {PERCENT} * (n + m - c)
+), ways as (
+  select x, y from linked union all select y, x from linked
+), reach(id, other) as (
+  select x, x from ways union select r.id, b.y from reach r join ways b on b.x = r.other
+), labels as (
+  select id, min(other) as label from reach group by id
+), of as (
+  select id, coalesce(label, id) as label, f, c from classes left join labels using (id)
+), keep as (
+  select label, min(f) as f from of group by label having sum(c) > 1
+), leaves as (
+  select u.doc_id, u.a, u.m, keep.f[1] as kd, keep.f[2] as kp, keep.f[3] as kw from classed u join (select id, label from of) o using (id) join keep using (label)
+), beside as (
+  select l.*, d.ws as dw, k.ws as ks, least({REACH - 1}, a, kp, case when l.doc_id = kd then a - kp - kw else a end) as most_left, least({REACH - 1}, d.n - a - m, k.n - kp - kw) as most_right
+  from (select doc_id, a, m, kd, kp, kw from leaves where not (doc_id = kd and a < kp + kw)) l join docs d using (doc_id) join docs k on k.doc_id = l.kd
+), wide as (
+  select doc_id, a - coalesce(list_position(list_transform(range(1, most_left + 1), lambda j: dw[a - j + 1] = ks[kp - j + 1]), false) - 1, most_left) as x,
+    a + m + coalesce(list_position(list_transform(range(1, most_right + 1), lambda j: dw[a + m + j] = ks[kp + kw + j]), false) - 1, most_right) as y, kd from beside
+), ends as (
+  select doc_id, x, max(row(y, kd)) as e from wide group by doc_id, x
+), marked as (
+  select *, coalesce(x > max(e[1]) over (partition by doc_id order by x rows between unbounded preceding and 1 preceding), true) as new from ends
+), islands as (
+  select *, sum(new::int) over (partition by doc_id order by x) as island from marked
+), spans as (
+  select doc_id, min(x) as x, max(e[1]) as y, arg_min(e[2], x) as kd from islands group by doc_id, island
+)
+select doc_id, begins[x + 1]::bigint as begin_byte, stops[y]::bigint as end_byte, (y - x)::bigint as n_words, kd as kept_doc_id from spans join docs using (doc_id)
+"""
