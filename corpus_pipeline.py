@@ -2,6 +2,9 @@
 
 Each stage takes all that its predecessor kept, as Parquet, and its decisions take effect in what it returns.  All stages but
 the last return the columns of ``documents``.
+
+Cases, for every stage: other columns stay, whatever their names; a null in them is kept; a very long text is read whole; the result does not
+depend on the order of rows; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,30 +41,46 @@ def stage(f: Stage) -> Stage:
 
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie far outside of their language and source go."""
+    """Documents that fail the base rules or lie far outside of their language and source go.
+
+    A null, empty or wordless text fails; a null language or source is one like others; rows alike get the same verdict; what lies at
+    the limit stays.
+    """
     return quality.keep_good(docs)
 
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the smallest id (null last, then by the text's hash).
+
+    Texts without words are no copies of any; of rows alike one stays.
+    """
     return setjoin.keep_one(docs)
 
 
 @stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Paragraphs that were there before go from the texts."""
+    """Passages that were there before go from the texts; the first stays, by document id (null first), text hash and place.
+
+    A text that loses every word goes with its document; one that had none stays; rows alike in id and text are one document.
+    """
     return paragraphs.strip(docs)
 
 
 @stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are taken as often as their source's target asks for."""
+    """Documents are taken as often as their source's target asks for, three times at most.
+
+    A null source is a source; texts without words weigh nothing and are taken like others of their source; rows alike share their copies.
+    """
     return mixing.mix(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents' ids, packed into sequences.  Nothing follows, so its own table stays until the driver ends."""
+    """The pieces of the documents' ids, packed into sequences.  Nothing follows, so its own table stays until the driver ends.
+
+    A null or empty text is the end id alone; repeated rows are packed each; ties go by document id.
+    """
     scratch.drop(_before)
     _before.clear()
     return packing.pack(docs, byte_bpe())
