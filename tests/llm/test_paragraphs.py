@@ -195,3 +195,21 @@ def test_odd_rows(spark):
 def test_bands_reach_the_recall():
     assert (1 - 0.8**paragraphs.ROWS) ** paragraphs.bands() <= paragraphs.MISS
     assert paragraphs.bands(50, 1, 0.25) == 2
+
+
+def test_long_lists_are_dealt_anew(spark, monkeypatch):
+    """Many lines with a passage in common, which no pair of them makes alike, and some near copies among them."""
+    from quillspark.llm import linking
+
+    asked, real = [], linking.by_rarest
+    monkeypatch.setattr(linking, "by_rarest", lambda *a: asked.append(1) or real(*a))
+    rnd = random.Random(9)
+    common, rows = line(rnd, 40), []
+    for d in range(300):
+        rows.append((d, f"{line(rnd, 9)} {common} {line(rnd, 9)}"))
+    for d in range(0, 60, 3):
+        words = rows[d][1].split()
+        words[rnd.choice([0, 57])] = "changed"
+        rows.append((1000 + d, " ".join(words)))
+    compare(paragraphs.report(spark.createDataFrame([(d, t, 1, "g", "t") for d, t in rows], SCHEMA)).collect(), rows)
+    assert asked

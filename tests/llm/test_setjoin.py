@@ -2,10 +2,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm import components, queries, setjoin, shingles
+from quillspark.llm import components, linking, queries, setjoin, shingles
 
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("id", T.StringType()), ("th", T.LongType()))])
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,3 +108,26 @@ def test_components(spark, links):
             of[a] = of[b] = min(of[a], of[b])
     got = components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()
     assert sorted(map(tuple, got)) == sorted(of.items())
+
+
+def test_links_without_ends_or_rows(spark):
+    links = [(1, 2), (None, 3), (4, None), (5, 5), (2, 1), (1, 2)]
+    assert sorted(map(tuple, components.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect())) == [(1, 1), (2, 1)]
+    none = spark.createDataFrame([], "key long, gid long, n long, pos long, far long")
+    sets = lambda ids: ids.select("id").withColumn("tokens", F.lit(b"")).where("false")
+    assert linking.link(none, None, sets).count() == linking.link(none, spark.createDataFrame([], "gid long, id long"), sets).count() == 0
+
+
+def test_packed_tokens_come_back():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (3, 70_000, 1)]
+    sets.append(sets[1][:500])
+    columns = linking.packed(np.array([7, -8, 9, 10]), np.array([len(s) for s in sets]), np.concatenate(sets), 5)
+    table, found = pa.table(columns), {}
+    for b in range(5):
+        own, keys, counts, again = linking.shared(table.filter(pc.equal(table.column("bucket"), b)))
+        assert (counts == 2).all() and not len(again)
+        for i, k in zip(own.tolist(), keys.tolist(), strict=True):
+            found.setdefault(k, set()).add(i)
+    assert len(found) == 500 and all(v == {-8, 10} for v in found.values())
+    assert not len(linking.packed(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), 5)["ids"])
