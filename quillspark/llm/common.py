@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.scratch import scratch, shared_dir, written
+from quillspark.scratch import mark, scratch, settled, shared_dir, written
 
-__all__ = ["BLANKS", "FILTER_SLOTS", "WORD", "likely_in", "partitions", "scratch", "shared_dir", "table", "written"]
+__all__ = ["BLANKS", "FILTER_SLOTS", "WORD", "likely_in", "mark", "partitions", "scratch", "settled", "shared_dir", "table", "written"]
 
 #: The characters between words, as SQL writes them in btrim and in patterns.
 BLANKS = " \t\n\x0b\f\r"

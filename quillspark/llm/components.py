@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import mark, settled, written
 
 MAX_ROUNDS = 100
 
@@ -27,12 +27,13 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """id and label (the component's smallest id) of every node that has a link; nodes are longs.  ``links`` is read several times."""
     now = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and u <> v")
+    begin = mark()
     for _ in range(MAX_ROUNDS):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = written(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct(), "links")
+        now = settled(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m")).distinct(), "links", begin)
         if _is_forest_of_stars(now):
             break
     else:

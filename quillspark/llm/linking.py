@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, written
+from quillspark.llm.common import mark, partitions, settled, written
 from quillspark.llm.components import components
+from quillspark.scratch import drop, since
 
 PERCENT = 80
 #: Further stars that are tried before pairs are.
@@ -163,6 +164,12 @@ def by_rarest(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link(postings: DataFrame, members: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT, banded: bool = False) -> DataFrame:
+    """``linked``, as a table that is all that stays in the shared folder."""
+    begin = mark()
+    return settled(linked(postings, members, sets_of, percent, banded), "labels", begin)
+
+
+def linked(postings: DataFrame, members: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], percent: int, banded: bool) -> DataFrame:
     """id and label of every class that is linked with another.
 
     ``postings``: key, gid, n (size), pos (place of the key in the set's order, or null), far (the less, the more the set is expected
@@ -186,36 +193,43 @@ def link(postings: DataFrame, members: DataFrame | None, sets_of: Callable[[Data
         inside = members.join(first, "gid").select(F.col("first").alias("a"), F.col("id").alias("b"))
         across = star.join(first.select(F.col("gid").alias("hg"), F.col("first").alias("a")), "hg").join(first.withColumnsRenamed({"first": "b"}), "gid").select("a", "b")
         pairs = inside.union(across)
-    links = [written(verified(pairs, sets_of, percent), "links")]
+    begin = mark()
+    links = [settled(verified(pairs, sets_of, percent), "links", begin)]
 
     def labelled(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
         """The labels so far, every class's group and component, the rows of lists in which components meet (with the list's largest one), and
         how many pairs and rows these are."""
-        labels = written(components(reduce(DataFrame.union, links), "a", "b"), "labels")
+        begin = mark()
+        labels = settled(components(reduce(DataFrame.union, links), "a", "b"), "labels", begin)
         if members is None:
             rows = postings.join(labels.withColumnsRenamed({"id": "gid"}), "gid", "left").withColumn("comp", F.coalesce("label", "gid")).drop("label")
             rows, placed = rows.withColumn("some", F.col("gid")), None
         else:
             placed = written(members.join(labels, "id", "left").select("gid", "id", F.coalesce("label", "id").alias("comp")), "placed")
             rows = postings.join(placed.groupBy("gid", "comp").agg(F.min("id").alias("some")), "gid")
+        begin = mark()
         rows = written(rows, "rows")
         tally = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"))
         tally = tally.where("comps > 1").select("key", F.col("top.comp").alias("major"), (F.col("all") - F.col("top.c")).alias("apart"))
-        mixed = written(rows.join(tally, "key"), "mixed")
+        mixed = settled(rows.join(tally, "key"), "mixed", begin)
         work, size = mixed.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.count("*")).first()
         return labels, placed, mixed, work, size
 
     labels, placed, mixed, work, size = labelled(postings)
     if banded and work > FEW_PAIRS * size:
+        begin = mark()
         facts = written(mixed.select(*own, "far").dropDuplicates(["gid"]), "facts")
         sets = written(sets_of(facts.select(F.col("gid").alias("id"))), "sets")
         lists = by_rarest(sets, percent).join(facts.drop("pos"), "gid")
+        done = since(begin)
         labels, placed, mixed, work, size = labelled(lists.select(*postings.columns))
+        drop(done)
     for k in range(MORE_STARS if work > FEW_PAIRS * size else 0):  # where pairs are few for each row, they are tried at once
         inner = mixed.where("comp = major").groupBy("key", band).agg(F.min(F.struct((F.xxhash64(F.lit(k), "gid") if k else F.col("far")).alias("draw"), *own, "some")).alias("h"))
         inner = inner.select("key", "band", F.col("h.some").alias("a"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in own))
         again = mixed.where("comp <> major").select("*", band).join(inner, ["key", "band"]).where(_fits("", "h_", bits, percent)).select("a", F.col("some").alias("b"))
-        found = written(verified(again, sets_of, percent), "links")
+        begin = mark()
+        found = settled(verified(again, sets_of, percent), "links", begin)
         if found.isEmpty():
             break
         links.append(found)
@@ -234,5 +248,6 @@ def link(postings: DataFrame, members: DataFrame | None, sets_of: Callable[[Data
         cross = cross.select("l_gid", "l_comp", "r_gid", "r_comp").distinct()
         of = lambda side: placed.select(F.col("gid").alias(f"{side}_gid"), F.col("comp").alias(f"{side}_comp"), F.col("id").alias("a" if side == "l" else "b"))
         more = cross.join(of("l"), ["l_gid", "l_comp"]).join(of("r"), ["r_gid", "r_comp"]).select("a", "b")
-    last = written(verified(more, sets_of, percent), "links")
+    begin = mark()
+    last = settled(verified(more, sets_of, percent), "links", begin)
     return labels if last.isEmpty() else components(reduce(DataFrame.union, [*links, last]), "a", "b")

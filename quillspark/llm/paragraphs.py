@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import BLANKS, FILTER_SLOTS, likely_in, written
+from quillspark.llm.common import BLANKS, FILTER_SLOTS, likely_in, mark, settled, written
 from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared
 from quillspark.llm.setjoin import SALTS, WIDTH, class_numbers
 from quillspark.llm.shingles import mix, slices, steps, windows, word_hashes
@@ -267,7 +267,8 @@ _BESIDE = "doc_id long, th long, pos int, words int, kept boolean, kd long, kt l
 
 def gone(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, th and the stretches of words (first, behind the last, document where they stay) that go from each text."""
-    rows = written(clustered(docs, percent), "clustered")
+    begin = mark()
+    rows = settled(clustered(docs, percent), "clustered", begin)
     own = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt"))
     # What stays, and what overlaps it.
     rows = rows.withColumn("room", F.when(own, F.col("pos") - F.col("kp") - F.col("kw"))).withColumn("kept", own & (F.col("pos") == F.col("kp")) & (F.col("words") == F.col("kw")))
@@ -293,7 +294,7 @@ def gone(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     texts = likely_in(_texts(docs), "th", asked, "th").alias("t")
     both = texts.join(asked.alias("u"), (F.col("t.th") == F.col("u.th")) & F.col("t.doc_id").eqNullSafe(F.col("u.doc_id")))
-    beside = written(both.select("t.doc_id", "t.th", "t.text", "u.units").mapInArrow(look, _BESIDE), "beside")
+    beside = settled(both.select("t.doc_id", "t.th", "t.text", "u.units").mapInArrow(look, _BESIDE), "beside", begin)
     key = ["kd", "kt", "kp", "kw"]
     stays = beside.where("kept").dropDuplicates(key).select(*key, F.col("before").alias("k_before"), F.col("after").alias("k_after"))
     same = F.col("l.kd").eqNullSafe(F.col("k.kd")) & (F.col("l.kt") == F.col("k.kt")) & (F.col("l.kp") == F.col("k.kp")) & (F.col("l.kw") == F.col("k.kw"))
@@ -316,7 +317,7 @@ def gone(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wide = leaves.select("l.doc_id", "l.th", "l.pos", "l.words", "l.room", "l.before", "l.after", "k.k_before", "k.k_after", "l.kd").mapInArrow(widen, "doc_id long, th long, a long, b long, kd long")
     # A stretch within another one says nothing more.
     wide = wide.groupBy("doc_id", "th", "a").agg(F.max(F.struct("b", "kd")).alias("m")).select("doc_id", "th", "a", "m.b", "m.kd")
-    return written(wide.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b", "kd"))).alias("gone")), "gone")
+    return settled(wide.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b", "kd"))).alias("gone")), "gone", begin)
 
 
 _NAMES = [f.split()[0] for f in _BESIDE.split(", ")]

@@ -62,8 +62,27 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+#: Shuffle files go when the execution that made them ends, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage cut, safe from lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(df: DataFrame, what: str, begin: int) -> DataFrame:
+    """Like ``written``; the tables made since the mark ``begin``, of which nothing but ``df`` may be needed, go."""
+    done = since(begin)
+    out = written(df, what)
+    drop(done)
+    _written[begin:] = [x for x in since(begin) if x not in done]
+    return out
