@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from quillspark.llm.common import BLANKS, FILTER_SLOTS, likely_in, mark, settled, written
 from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared
 from quillspark.llm.setjoin import SALTS, WIDTH, class_numbers
-from quillspark.llm.shingles import mix, slices, steps, windows, word_hashes
+from quillspark.llm.shingles import mix, released, slices, steps, windows, word_hashes
 
 BLOCK, REACH = 20, 30
 ROWS = 2
@@ -202,6 +202,7 @@ def _scan(docs: DataFrame, percent: int) -> DataFrame:
 
     names = [f.split()[0] for f in _FOUND.split(", ")]
 
+    @released
     def find(table: pa.Table) -> pa.Table:
         told = table.column("units").is_valid()
         rows = np.concatenate([np.empty(0, _UNIT), *(np.frombuffer(x.as_buffer(), _UNIT) for x in table.column("units").drop_null())])

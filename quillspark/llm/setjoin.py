@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import FILTER_SLOTS, likely_in, written
 from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared
-from quillspark.llm.shingles import mix, slices, steps, token_sets
+from quillspark.llm.shingles import mix, released, slices, steps, token_sets
 
 WIDTH = 5
 #: Shares that a class's documents are dealt into where they meet their component.
@@ -96,6 +96,7 @@ def scan(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
 
     names = [f.split()[0] for f in _SCANNED.split(", ")]
 
+    @released
     def find(table: pa.Table) -> pa.Table:
         told = table.column("docs").is_valid()
         rows = np.concatenate([np.empty(0, _DOC), *(np.frombuffer(x.as_buffer(), _DOC) for x in table.column("docs").drop_null())])

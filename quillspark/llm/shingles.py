@@ -8,9 +8,12 @@ Two different word sequences collide with a probability of about 2**-60 a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -67,10 +70,33 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and an executor's memory counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
+def released(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``f``, with the memory it has freed given back."""
+
+    @wraps(f)
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            release()
+
+    return run
+
+
 def slices(batch):
     """An Arrow batch in parts of SLICE rows, so that few texts are Python objects at a time."""
     for at in range(0, batch.num_rows, SLICE):
         yield batch.slice(at, SLICE)
+    release()
 
 
 def steps(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
