@@ -33,8 +33,15 @@ def tile(values: np.ndarray) -> np.ndarray:
     return gl.to_colour(np.pad(big, RIM, constant_values=255))
 
 
-def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path (the number of the vector), label and an image of every embedding."""
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path (the number of the vector), label and embedding of every tile."""
+    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    return rows.select(F.col("vec_id").cast("string").alias("path"), F.col("label").cast("string").alias("label"), "embedding")
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """The rows with an image in place of their embedding."""
+    keep = [c for c in rows.columns if c != "embedding"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -42,10 +49,14 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
                 part = batch.slice(at, im.BATCH)
                 data = [tile(np.array(v)).tobytes() for v in part.column("embedding").to_pylist()]
                 n = len(data)
-                yield pa.record_batch([part.column("path"), part.column("label"), pa.array([SIDE] * n, pa.int32()), pa.array([SIDE] * n, pa.int32()), pa.array([3] * n, pa.int32()), pa.array(data, pa.binary())], names=["path", "label", "height", "width", "channels", "data"])
+                yield pa.record_batch([*(part.column(c) for c in keep), pa.array([SIDE] * n, pa.int32()), pa.array([SIDE] * n, pa.int32()), pa.array([3] * n, pa.int32()), pa.array(data, pa.binary())], names=[*keep, "height", "width", "channels", "data"])
 
-    rows = table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
-    return rows.select(F.col("vec_id").cast("string").alias("path"), F.col("label").cast("string").alias("label"), "embedding").mapInArrow(make, "path string, label string, height int, width int, channels int, data binary")
+    return rows.mapInArrow(make, ", ".join([*(f"{c} string" for c in keep), "height int, width int, channels int, data binary"]))
+
+
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path (the number of the vector), label and an image of every embedding."""
+    return drawn(vectors(spark, sf_dir))
 
 
 def first_of_label(rows: DataFrame) -> DataFrame:
@@ -118,9 +129,13 @@ def usable_glyphs(spark, sf_dir):
 @Q.add("generated_samples")
 def generated_samples(spark, sf_dir):
     """A sample of every tile on its label's first tile as the ground, if a pose of it can be used."""
-    rows = tiles(spark, sf_dir)
-    ground = rows.select(F.col("path").alias("reference"), *(F.col(c).alias(f"bg_{c}") for c in ("height", "width", "channels", "data")))
-    made = im.generated(rows.join(first_of_label(rows), "label").join(ground, "reference"), keep=["path", "reference"])
+    rows, keep = vectors(spark, sf_dir), ["path", "reference"]
+    head = first_of_label(rows)
+    # Images are made where they are used; only those that may give a sample meet their ground.
+    slots = im.posable(drawn(rows.join(head, "label")), keep=keep)
+    ground = drawn(rows.join(head.select(F.col("reference").alias("path")), "path", "left_semi"))
+    ground = ground.select(F.col("path").alias("reference"), *(F.col(c).alias(f"bg_{c}") for c in ("height", "width", "channels", "data")))
+    made = im.generated(slots.join(ground, "reference"), keep=keep)
     return made.select("path", "reference", "angle", "scale", *(F.crc32(c).alias(f"{c}_crc32") for c in ("data", "alpha", "darkness")))
 
 

@@ -148,6 +148,26 @@ def glyph_usable(images: DataFrame, mode: str = "none", keep: list[str] = ("path
     return _mapped(readable(images), list(keep), "alpha_ratio double, darkness_mean double, bbox_fill_ratio double, bbox_area_ratio double, component_count int", lambda r: iter([tuple(gl.mask_measures(gl.enhanced(_image(r), mode))[n] for n in fields)]))
 
 
+def posable(slots: DataFrame, mode: str = "none", seed: int = 42, recipe: fusion.Recipe = fusion.Recipe(), keep: list[str] = ("char", "slot"), tries: int = 20, limits: Limits = Limits()) -> DataFrame:
+    """The rows, with all columns, but for those of which ``generated`` with the same arguments would make nothing for certain: too much ink in every
+    pose.  Backgrounds are not asked for, so they need only be joined to what is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                rows, stay, sizes = part.select(list(dict.fromkeys([*keep, "height", "width", "channels", "data"]))).to_pylist(), np.ones(part.num_rows, bool), {}
+                for k, r in enumerate(rows):
+                    sizes.setdefault((r["height"], r["width"]), []).append(k)
+                for some in sizes.values():
+                    draws = np.stack([seeded(seed, *(rows[k][c] for c in keep)).random((tries, 4)) for k in some])
+                    stay[some] = ~fusion.hopeless(np.stack([gl.enhanced(_image(rows[k]), mode) for k in some]), draws, limits.max_alpha, recipe)
+                if stay.any():
+                    yield part.filter(pa.array(stay))
+
+    return slots.mapInArrow(run, slots.schema)
+
+
 def generated(slots: DataFrame, mode: str = "none", seed: int = 42, recipe: fusion.Recipe = fusion.Recipe(), keep: list[str] = ("char", "slot"), size: int | None = None, tries: int = 20, limits: Limits = Limits()) -> DataFrame:
     """A sample for each row with a glyph image and a background image (bg_ columns), as large as the glyph's or ``size`` squared.
 
@@ -156,7 +176,10 @@ def generated(slots: DataFrame, mode: str = "none", seed: int = 42, recipe: fusi
 
     def f(r: dict) -> Iterator[tuple]:
         source, rng = _image(r), seeded(seed, *(r[k] for k in keep))
-        layers = fusion.stack(gl.enhanced(source, mode), source, recipe)
+        image = gl.enhanced(source, mode)
+        if fusion.hopeless(image[None], seeded(seed, *(r[k] for k in keep)).random((1, tries, 4)), limits.max_alpha, recipe)[0]:
+            return
+        layers = fusion.stack(image, source, recipe)
         for _ in range(tries):
             pose = fusion.Pose.drawn(rng, recipe)
             moved = fusion.without_rims(pose.apply(layers), recipe)

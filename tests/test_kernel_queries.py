@@ -88,3 +88,38 @@ def test_samples(spark, tiles):
                 break
         else:
             assert k not in got
+
+
+def samples_by_hand(pages, seed=42):
+    """path and crc32 of the sample of each page on itself, without any shortcut."""
+    recipe = fusion.Recipe()
+    for k, x in pages.items():
+        rng, layers = im.seeded(seed, k), fusion.stack(x, x, recipe)
+        for _ in range(20):
+            moved = fusion.without_rims(fusion.Pose.drawn(rng, recipe).apply(layers), recipe)
+            if fusion.usable(moved, glyph_passes):
+                yield k, zlib.crc32(fusion.inked(fusion.grounded(gl.cover(x, *x.shape[1::-1]), moved, recipe), moved, rng, recipe).tobytes())
+                break
+
+
+def test_rows_without_hope_go_before_their_grounds_and_no_others(spark, tiles):
+    pages, rng = {k: x for k, (_, x) in list(tiles.items())[:4]}, np.random.default_rng(1)
+    for side in (10, 20, 28, 30, 31, 32, 33, 34, 36):  # ink from little to too much, around the limit
+        x = np.full((48, 48, 3), 200, np.uint8) + rng.integers(0, 9, (48, 48, 1), np.uint8)
+        x[5 : 5 + side, 6 : 6 + side] = 30
+        x[5 : 5 + side : 7, 6 : 6 + side] = 200
+        pages[f"square{side}"] = x
+    pages["wide"] = np.full((40, 64, 3), 220, np.uint8)
+    pages["wide"][10:30:3, 8:50] = 20
+    rows = spark.createDataFrame([(k, *x.shape, bytearray(x.tobytes())) for k, x in pages.items()], "path string, height int, width int, channels int, data binary")
+    left = {r.path for r in im.posable(rows, keep=["path"]).collect()}
+    want = dict(samples_by_hand(pages))
+    assert want and want.keys() <= left and not left & tiles.keys()
+    both = rows.selectExpr("*", *(f"{c} as bg_{c}" for c in ("height", "width", "channels", "data")))
+    assert {r.path: zlib.crc32(bytes(r.data)) for r in im.generated(both, keep=["path"]).collect()} == want
+
+
+def test_sure_ink_is_ink(tiles):
+    for _, x in list(tiles.values())[:40]:
+        sure = fusion.sure_ink(fx.gray(x)[None])[0]
+        assert sure.any() and (gl.glyph_mask(x, gl.inset_box(*x.shape[1::-1]))[sure] == 255).all()
