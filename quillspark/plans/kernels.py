@@ -131,8 +131,9 @@ def generated_samples(spark, sf_dir):
     """A sample of every tile on its label's first tile as the ground, if a pose of it can be used."""
     rows, keep = vectors(spark, sf_dir), ["path", "reference"]
     head = first_of_label(rows)
-    # Images are made where they are used; only those that may give a sample meet their ground.
-    slots = im.posable(drawn(rows.join(head, "label")), keep=keep)
+    # Images are made where they are used, dealt anew as a small file is one task; only those that may give a sample meet their ground.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    slots = im.posable(drawn(rows.join(head, "label").repartition(tasks, "path")), keep=keep)
     ground = drawn(rows.join(head.select(F.col("reference").alias("path")), "path", "left_semi"))
     ground = ground.select(F.col("path").alias("reference"), *(F.col(c).alias(f"bg_{c}") for c in ("height", "width", "channels", "data")))
     made = im.generated(slots.join(ground, "reference"), keep=keep)
