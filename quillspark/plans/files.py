@@ -8,10 +8,12 @@ from quillspark.functions import scoring
 from quillspark.operators import routing
 from quillspark.plans import kernels
 from quillspark.plans.base import Queries, table
-from quillspark.scratch import scratch
+from quillspark.scratch import scratch, written
 from quillspark.sources import delimited, images, listing, sinks
 
 Q = Queries()
+#: Files that lie in a folder, about.
+FOLDER_FILES = 100_000
 
 
 def _written(spark, sf_dir, name, fields, sep=","):
@@ -73,13 +75,24 @@ def wide_round_trip(spark, sf_dir):
 
 @Q.add("image_round_trip", "select vec_id, 48::int as height, 48::int as width, 3::int as channels, true as alike from embeddings where len(embedding) = 64")
 def image_round_trip(spark, sf_dir):
-    """Every tile as a PNG file, listed and read back, against its pixels."""
+    """Every tile as a PNG file, listed and read back, against its pixels (by their SHA-256, so that no pixels are shuffled).
+
+    Files lie in folders of some FOLDER_FILES, by hash, and folders are read one after another.
+    """
     root = scratch(spark, "images")
-    made = kernels.tiles(spark, sf_dir).withColumn("path", F.concat("label", F.lit("/"), "path", F.lit(".png")))
-    sinks.export_files(sinks.encoded(made, ["path"]), root, "path", "png")
-    read = images.read_images(spark, root).withColumn("path", F.regexp_extract("path", "[^/]*/[^/]*$", 0))
-    want = made.select("path", F.col("data").alias("want"))
-    return read.join(want, "path").select(F.regexp_extract("path", r"/(\d+)\.png", 1).cast("long").alias("vec_id"), "height", "width", "channels", (F.col("data") == F.col("want")).alias("alike"))
+    rows = kernels.vectors(spark, sf_dir)
+    count = -(-rows.count() // FOLDER_FILES)
+    # A file or row group may hold many tiles; they are dealt before they are drawn.
+    tasks = max(spark.sparkContext.defaultParallelism, 4 * count)
+    made = kernels.drawn(rows.repartition(tasks)).withColumn("path", F.concat(F.coalesce("label", F.lit("null")), F.lit("/"), "path", F.lit(".png")))
+    folder = F.pmod(F.xxhash64("path"), F.lit(max(count, 1)))
+    files = sinks.encoded(made.withColumn("want", F.sha2("data", 256)).withColumn("file", F.concat(folder, F.lit("/"), "path")), ["file", "want"])
+    want = sinks.exported(files, root, "file", "png")
+    want = written(want.select(F.substring_index("file", "/", -2).alias("path"), "want"), "wanted")
+    if not count:
+        return want.select(F.lit(0).cast("long").alias("vec_id"), *(F.lit(0).alias(c) for c in ("height", "width", "channels")), F.lit(True).alias("alike"))
+    read = images.digests_of_folders(spark, listing.folders(spark, root), "read").withColumn("path", F.regexp_extract("path", "[^/]*/[^/]*$", 0))
+    return read.join(want, "path").select(F.regexp_extract("path", r"/(\d+)\.png", 1).cast("long").alias("vec_id"), "height", "width", "channels", (F.col("digest") == F.col("want")).alias("alike"))
 
 
 @Q.add("file_listing", "select n_regionkey as region, count(*) as files, sum(length(trim(n_name))) as bytes from nation group by 1")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +16,11 @@ from quillspark import schemas
 from quillspark.functions.scoring import Limits, glyph_passes
 from quillspark.kernels import fusion
 from quillspark.kernels import glyphs as gl
+from quillspark.scratch import scratch
 
+#: Bytes that opening a small file is taken to cost where a folder of them is dealt to tasks.
+OPEN_BYTES, _OPEN_COST = 1 << 16, "spark.sql.files.openCostInBytes"
+_DIGESTS = "path string, height int, width int, channels int, digest string"
 #: Images of an Arrow batch that are Python objects at a time.
 BATCH = 64
 
@@ -25,6 +31,84 @@ def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select(F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
+def decoded(data: bytes) -> tuple[int, int, int, bytes]:
+    """height, width, channels and pixels (blue, green, red, alpha) of a PNG file of 8 bits, gray, colour or colour and alpha, row by row."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG file")
+    at, parts, head = 8, [], None
+    while at < len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        body = data[at + 8 : at + 8 + size]
+        if zlib.crc32(kind + body) != struct.unpack_from(">I", data, at + 8 + size)[0]:
+            raise ValueError("a PNG chunk's checksum is wrong")
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"IDAT":
+            parts.append(body)
+        at += 12 + size
+    width, height, depth, colour, _, _, interlaced = head
+    if depth != 8 or colour not in (0, 2, 6) or interlaced:
+        raise ValueError(f"a PNG file of a kind that is not read: depth {depth}, colour {colour}, interlaced {interlaced}")
+    n = {0: 1, 2: 3, 6: 4}[colour]
+    rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(height, 1 + width * n)
+    x = rows[:, 1:].reshape(height, width, n)
+    if rows[:, 0].any():
+        x = _unfiltered(rows[:, 0], x)
+    return height, width, n, (x if n == 1 else x[..., [2, 1, 0, *([3] if n == 4 else [])]]).tobytes()
+
+
+def _unfiltered(kinds: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Pixels from those that are told by their neighbours."""
+    out = np.zeros((x.shape[0] + 1, x.shape[1] + 1, x.shape[2]), np.int32)  # a row above and a column to the left
+    for i, kind in enumerate(kinds.tolist(), 1):
+        row, above = x[i - 1], out[i - 1]
+        if kind in (0, 2):
+            out[i, 1:] = (row + (above[1:] if kind else 0)) & 255
+        elif kind == 1:
+            out[i, 1:] = np.cumsum(row, 0, dtype=np.int64) & 255
+        elif kind in (3, 4):
+            for j in range(1, x.shape[1] + 1):
+                a, b, c = out[i, j - 1], above[j], above[j - 1]
+                if kind == 3:
+                    guess = (a + b) // 2
+                else:
+                    da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+                out[i, j] = (row[j - 1] + guess) & 255
+        else:
+            raise ValueError(f"a PNG row's filter {kind}")
+    return out[1:, 1:].astype(np.uint8)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            part = batch.slice(at, BATCH)
+            height, width, channels, data = zip(*(decoded(x.as_py()) for x in part.column("content")), strict=True)
+            sizes = (pa.array(x, pa.int32()) for x in (height, width, channels))
+            digest = pa.array([hashlib.sha256(x).hexdigest() for x in data])
+            yield pa.record_batch([part.column("path"), *sizes, digest], names=["path", "height", "width", "channels", "digest"])
+
+
+def digests_of_folders(spark: SparkSession, folders: list[str], name: str) -> DataFrame:
+    """path, height, width, channels and digest (SHA-256 of the pixels) of the PNG files of each folder, as a table: one folder after another, so that
+    the driver never holds the listing of more than one.
+
+    Spark's image source compiles code for every file, some 10 ms each, so these are read as they are and decoded in Arrow batches; and small
+    files are dealt by the thousand to a task, not as if each were of 4 MB.  A file that is no PNG of ``decoded`` is an error.
+    """
+    path, cost = scratch(spark, name), spark.conf.get(_OPEN_COST)
+    spark.conf.set(_OPEN_COST, str(OPEN_BYTES))
+    try:
+        for folder in folders:
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+            made = found.mapInArrow(_decoded, _DIGESTS)
+            made.write.mode("append").parquet(path)
+    finally:
+        spark.conf.set(_OPEN_COST, cost)
+    return spark.read.schema(_DIGESTS).parquet(path)
+
+
 def readable(images: DataFrame) -> DataFrame:
     return images.where("height > 0")
 

@@ -18,6 +18,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """The folders right under ``root``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return sorted(x.getPath().toString() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if x.isDirectory())
+
+
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path and length of the files under ``root``; their contents are not read.  A missing root is an error."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)

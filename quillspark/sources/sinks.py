@@ -1,7 +1,7 @@
 """What leaves the engine: Parquet between stages; delimited files, JSON, images and archives at the end.
 
-Single files are streamed through the driver row by row, never held there; they are for exports of bounded size.  Large tables are
-written by the executors.
+Single files are streamed through the driver row by row, never held there; they are for exports of bounded size.  Large tables, and
+many files in folders that all executors see, are written by the executors.
 """
 
 from __future__ import annotations
@@ -9,13 +9,17 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,14 +118,81 @@ def encoded(images: DataFrame, keep: list[str]) -> DataFrame:
     return images.select(*keep, "height", "width", "data").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", png binary")
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme; a local one as its plain path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "/" + full[5:].lstrip("/") if full.startswith("file:") else full
+
+
+def _reach(spark: SparkSession, root: str) -> bool:
+    """Whether the executors' Python can write under ``root``, where all see it: a scheme that Arrow has; a local folder if there is one machine
+    only, or if it lies in the shared one."""
+    at, master = _qualified(spark, root), spark.sparkContext.master
+    if not at.startswith("/"):
+        try:
+            return bool(fs.FileSystem.from_uri(at))
+        except (ValueError, OSError, NotImplementedError):
+            return False
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return (master.startswith("local") and not master.startswith("local-cluster")) or bool(shared) and f"{at}/".startswith(_qualified(spark, shared).rstrip("/") + "/")
+
+
+def _bytes(content: object) -> bytes:
+    return bytes(content) if isinstance(content, bytes | bytearray) else str(content or "").encode()
+
+
+def _save_local(to: str, data: bytes) -> None:
+    """A whole file or none: a task that runs twice or is killed leaves no part of one, and names that begin with a dot are no data."""
+    own = os.path.join(os.path.dirname(to), f".{uuid.uuid4().hex}")
+    try:
+        out = open(own, "wb")
+    except FileNotFoundError:
+        os.makedirs(os.path.dirname(to), exist_ok=True)
+        out = open(own, "wb")
+    try:
+        with out:
+            out.write(data)
+        os.replace(own, to)
+    except BaseException:
+        os.unlink(own)
+        raise
+
+
+def exported(files: DataFrame, root: str, path: str, content: str) -> DataFrame:
+    """The rows without their content, which the executors write to each row's path under ``root`` as the rows are made; where they cannot, it is
+    streamed through the driver first.  Paths are distinct: of rows with one path any content stays.
+    """
+    keep = [c for c in files.columns if c != content]
+    if not _reach(files.sparkSession, root):
+        for r in files.select(path, content).toLocalIterator():
+            _put(files.sparkSession, f"{root.rstrip('/')}/{r[0]}", iter([_bytes(r[1])]))
+        return files.select(*keep)
+    at = _qualified(files.sparkSession, root).rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far, base = (None, at) if at.startswith("/") else fs.FileSystem.from_uri(at)
+        made: set[str] = set()
+        for batch in batches:
+            for name, data in zip(batch.column(path), batch.column(content), strict=True):
+                to = f"{base}/{name.as_py()}"
+                if far is None:
+                    _save_local(to, _bytes(data.as_py()))
+                    continue
+                folder = to.rsplit("/", 1)[0]
+                if folder not in made:
+                    far.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with far.open_output_stream(to) as out:
+                    out.write(_bytes(data.as_py()))
+            yield batch.select(keep)
+
+    return files.mapInArrow(run, files.select(*keep).schema)
+
+
 def export_files(files: DataFrame, root: str, path: str, content: str) -> int:
-    """Writes each row's content to its path under ``root``; an export of bounded size, streamed."""
-    spark, count = files.sparkSession, 0
-    for r in files.select(path, content).toLocalIterator():
-        data = r[1] if isinstance(r[1], bytes | bytearray) else str(r[1] or "").encode()
-        _put(spark, f"{root.rstrip('/')}/{r[0]}", iter([bytes(data)]))
-        count += 1
-    return count
+    """Writes each row's content to its path under ``root``: by the executors where they can, else through the driver."""
+    return exported(files.select(path, content), root, path, content).count()
 
 
 def copied(rows: DataFrame, listing: DataFrame, path: str, root: str, target: str) -> DataFrame:

@@ -118,3 +118,50 @@ def test_exports_and_archives(spark, tmp_path):
     with pytest.raises(Exception):
         listing.files(spark, str(tmp_path / "missing")).collect()
     assert tuple(sinks.kept_by_manifest(spark.createDataFrame([("m", True), ("m", False)], "m string, ok boolean"), "m", "ok").first()) == ("m", 2, 1)
+
+
+def test_executors_write_many_files(spark, tmp_path, monkeypatch):
+    def through_driver(*_):
+        raise AssertionError("a file went through the driver")
+
+    monkeypatch.setattr(sinks, "_put", through_driver)
+    rows = spark.range(500).select(F.concat(F.col("id") % 7, F.lit("/"), "id", F.lit(".txt")).alias("p"), F.col("id").cast("string").alias("t"))
+    assert sinks.export_files(rows, str(tmp_path / "many"), "p", "t") == 500
+    assert sorted(int(f.read_text()) for f in (tmp_path / "many").rglob("*") if f.is_file()) == list(range(500))
+    from quillspark.plans import files
+
+    monkeypatch.setattr(files, "FOLDER_FILES", 150)
+    data = [(k, [((k * 31 + i) % 64) / 32 - 1 for i in range(64 if k % 10 else 63)], None if k == 1 else k % 3) for k in range(400)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = files.image_round_trip(spark, str(tmp_path)).collect()
+    assert sorted(r.vec_id for r in got) == [k for k in range(400) if k % 10] and {tuple(r)[1:] for r in got} == {(48, 48, 3, True)}
+
+
+def test_an_export_that_executors_cannot_reach_is_streamed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "_reach", lambda *_: False)
+    rows = spark.createDataFrame([("a/1", b"x", 1), ("2", b"", 2)], "p string, c binary, k int")
+    assert sorted(map(tuple, sinks.exported(rows, str(tmp_path), "p", "c").collect())) == [("2", 2), ("a/1", 1)]
+    assert (tmp_path / "a/1").read_bytes() == b"x" and (tmp_path / "2").read_bytes() == b""
+
+
+def test_decoded_against_the_image_source(spark, tmp_path):
+    """Files of this engine, and rows of every filter."""
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(5)
+    for name, shape in (("gray", (5, 7)), ("colour", (6, 4, 3)), ("alpha", (3, 9, 4))):
+        put(tmp_path / f"{name}.png", sinks.png(rng.integers(0, 256, shape).astype(np.uint8)))
+    chunk = lambda n, d: struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d))
+    for kind in range(5):
+        rows = b"".join(bytes([kind if i else min(kind, 4)]) + rng.integers(0, 256, 5 * 3).astype(np.uint8).tobytes() for i in range(6))
+        put(tmp_path / f"filter{kind}.png", b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 6, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+    for r in images.read_images(spark, str(tmp_path)).collect():
+        made = images.decoded((tmp_path / r.path.rsplit("/", 1)[1]).read_bytes())
+        assert made == (r.height, r.width, r.channels, bytes(r.data)), r.path
+    with pytest.raises(ValueError):
+        images.decoded(b"no image")
+    broken = bytearray((tmp_path / "gray.png").read_bytes())
+    broken[45] ^= 1
+    with pytest.raises(ValueError):
+        images.decoded(bytes(broken))
