@@ -34,13 +34,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import BLANKS, FILTER_SLOTS, likely_in, mark, settled, written
 from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared
-from quillspark.llm.setjoin import SALTS, WIDTH, class_numbers
+from quillspark.llm.setjoin import WIDTH, class_numbers
 from quillspark.llm.shingles import mix, released, slices, steps, windows, word_hashes
 
 BLOCK, REACH = 20, 30
@@ -128,6 +128,22 @@ class Paragraphs:
         self.begin, self.stop = begin, stop
         self.text = np.searchsorted(w.cut[1:], begin, "right")
         self.pos, self.words = begin - w.cut[self.text], stop - begin
+        self.seq, self.next = np.zeros(len(begin), np.uint32), np.zeros(len(begin), np.uint32)
+        self.seq[: len(blocks)], self.next[: len(blocks)] = self._following(blocks)
+
+    def _following(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each block, a hash of its words in order; and how far on the next block of its text begins (in 5 bits, 0: there is none) with
+        a hash of the words between the two."""
+        if not len(blocks):
+            return (np.empty(0, np.uint32),) * 2
+        hashes, text = self.of.hashes, self.text[: len(blocks)]
+        power = np.multiply.accumulate(np.full(BLOCK, _SEQUENCE))
+        seq = mix((hashes[blocks[:, None] + np.arange(BLOCK)] * power).sum(1)) >> np.uint64(32)
+        far = np.r_[np.where(text[1:] == text[:-1], np.diff(blocks), 0), 0]
+        behind = np.minimum(blocks[:, None] + np.arange(BLOCK, REACH), len(hashes) - 1)
+        between = np.where(np.arange(BLOCK, REACH) < far[:, None], hashes[behind] * power[: REACH - BLOCK], np.uint64(0)).sum(1)
+        following = np.where(far > 0, mix(between + np.uint64(1)) >> np.uint64(37) << np.uint64(5) | far.astype(np.uint64), np.uint64(0))
+        return seq.astype(np.uint32), following.astype(np.uint32)
 
     def banded_only(self, count: int) -> tuple[np.ndarray, np.ndarray]:
         """Band keys and bitmaps of the lines and short texts."""
@@ -158,63 +174,150 @@ class Paragraphs:
         return out
 
 
-_CLASS = np.uint64(0x94D049BB133111EB)
-_UNIT = np.dtype([("known", "u1"), ("doc_id", "i8"), ("th", "i8"), ("pos", "i4"), ("words", "i4"), ("id", "i8"), ("n", "i4"), ("banded", "u1"), *((b, "i8") for b in BITS)])
-_FOUND = "doc_id long, th long, pos int, words int, id long, n int, b0 long, c0 long, c1 long, c2 long, key long"
+_SEQUENCE = np.uint64(0x9E3779B97F4A7C15)
+#: Copies of a block in a step from which they are dealt by their texts, not by their class.
+MANY = 8
+_PLACE = [("known", "u1"), ("doc_id", "i8"), ("th", "i8"), ("pos", "i4")]
+_BLOCK = np.dtype([*_PLACE, ("id", "i8"), ("seq", "u4"), ("next", "u4")])
+_LINE = np.dtype([*_PLACE, ("id", "i8"), ("words", "i4"), ("n", "i4"), *((b, "i8") for b in BITS)])
+_HOT = np.dtype([("id", "i8"), ("c", "i8")])
+_DEALT = f"{PACKED}, blocks binary, lines binary, hot binary, apart binary"
+#: What the rows of a scan are.
+LEAVES, PLACE, CLASS, KEY = range(4)
+_FOUND = "kind int, doc_id long, th long, pos int, words int, id long, seq int, next int, kd long, kt long, kp int, same boolean, far int, n long, c long, b0 long, c0 long, c1 long, c2 long, key long"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
+def _fields(rows: np.ndarray) -> bytes:
+    """Rows field by field, as that compresses better."""
+    return b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names)
+
+
+def _rows(packed_rows: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    """The rows of all ``_fields``."""
+    out = []
+    for x in packed_rows.drop_null():
+        data, at = x.as_buffer(), 0
+        rows = np.empty(len(data) // kind.itemsize, kind)
+        for f in kind.names:
+            rows[f] = np.frombuffer(data, kind[f], len(rows), at)
+            at += len(rows) * kind[f].itemsize
+        out.append(rows)
+    return np.concatenate([np.empty(0, kind), *out])
+
+
+def _in_order(rows: np.ndarray, *last: np.ndarray) -> np.ndarray:
+    """The order by class, document (null first), text hash, place."""
+    return np.lexsort((*last, rows["pos"], rows["th"], rows["doc_id"], rows["known"], rows["id"]))
+
+
 def _scan(docs: DataFrame, percent: int) -> DataFrame:
-    """In one pass over the texts, three kinds of rows: each paragraph's place, class and bitmaps; id and key of the band keys that two
-    classes or more have; and the ids alone of classes that occur again."""
+    """In one pass over the texts, four kinds of rows.
+
+    LEAVES: a block that goes, with the first one of its class (kd, kt, kp), whether the words of both are the same in order, and how far on both
+    go on alike to a next block (0: they do not).  PLACE: the place and class of any paragraph whose class has lines, short texts or very many copies;
+    CLASS: such a class's first paragraph, its number of paragraphs, the set's size and bitmaps; KEY: id and key of the band keys that two classes or more have.
+
+    Blocks meet in the bucket of their class, so that those of classes without lines are settled there.
+    """
     n, many = buckets(docs), bands(percent)
-    schema = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in f"{PACKED}, units binary".split(", ")])
+    kinds = {f.split()[0]: {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[f.split()[1]] for f in f"{_DEALT}, {_FOUND}".split(", ")}
+    schema = pa.schema([(f.split()[0], kinds[f.split()[0]]) for f in _DEALT.split(", ")])
+
+    def dealt(buckets_of: np.ndarray, rows: np.ndarray, name: str) -> pa.RecordBatch:
+        order = np.argsort(buckets_of, kind="stable")
+        rows, of = rows[order], buckets_of[order]
+        edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else np.zeros(1, np.int64)
+        own = {"bucket": pa.array(of[edges[:-1]].astype(np.int32)), name: pa.array([_fields(rows[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())}
+        return pa.record_batch([own[f.name] if f.name in own else pa.nulls(len(edges) - 1, f.type) for f in schema], schema=schema)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_class = lambda rows: (rows["id"].view(np.uint64) >> np.uint64(32)) % np.uint64(n)
         for batch in (x for batch in batches for x in slices(batch)):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
+            known, ids, hashes = np.asarray(batch.column("doc_id").is_valid()), np.asarray(batch.column("doc_id").fill_null(0)), np.asarray(batch.column("th"))
             for a, b in steps(texts):
                 p = Paragraphs(texts[a:b])
                 if not len(p.ids):
                     continue
-                rows, own = np.zeros(len(p.ids), _UNIT), p.text + a
-                rows["known"], rows["doc_id"] = np.asarray(batch.column("doc_id").is_valid())[own], np.asarray(batch.column("doc_id").fill_null(0))[own]
-                rows["th"], rows["pos"], rows["words"], rows["id"], rows["n"], rows["banded"] = np.asarray(batch.column("th"))[own], p.pos, p.words, p.ids, p.sizes, p.banded
-                # A class that comes often in a step is packed twice, which says that it comes again; lines come before blocks.
-                order = np.lexsort((~p.banded, p.ids))
-                begin = np.maximum.accumulate(np.where(np.r_[True, p.ids[order][1:] != p.ids[order][:-1]], np.arange(len(order)), 0))
-                taken = order[np.arange(len(order)) - begin < 2]
-                own_bands, bitmaps = p.banded_only(many)
-                rows["b0"][p.banded], rows["c0"][p.banded], rows["c1"][p.banded], rows["c2"][p.banded] = bitmaps.T
-                # Beside its bands, each class has a key of its own.
-                keys = np.zeros((len(p.ids), 1 + many), np.uint64)
-                keys[:, 0] = mix(p.ids.view(np.uint64) ^ _CLASS)
-                keys[p.banded, 1:] = own_bands
-                count = np.where(p.banded, 1 + many, 1)[taken]
-                columns = packed(p.ids[taken], count, keys[taken][np.arange(1 + many) < count[:, None]], n)
-                columns["units"] = pa.nulls(len(columns["bucket"]), pa.binary())
-                yield pa.record_batch([columns[f.name] for f in schema], schema=schema)
-                row = {"bucket": pa.array([int(mix(rows["th"][:1].view(np.uint64))[0] % np.uint64(n))], pa.int32()), "units": pa.array([rows.tobytes()], pa.binary())}
-                yield pa.record_batch([row.get(f.name, pa.nulls(1, f.type)) for f in schema], schema=schema)
-
-    names = [f.split()[0] for f in _FOUND.split(", ")]
+
+                def filled(which: np.ndarray, kind: np.dtype, own: np.ndarray = p.text + a, p: Paragraphs = p) -> np.ndarray:
+                    rows = np.zeros(int(which.sum()), kind)
+                    rows["known"], rows["doc_id"], rows["th"], rows["pos"], rows["id"] = known[own[which]], ids[own[which]], hashes[own[which]], p.pos[which], p.ids[which]
+                    return rows
+
+                blocks, lines = filled(~p.banded, _BLOCK), filled(p.banded, _LINE)
+                blocks["seq"], blocks["next"] = p.seq[~p.banded], p.next[~p.banded]
+                lines["words"], lines["n"] = p.words[p.banded], p.sizes[p.banded]
+                keys, bitmaps = p.banded_only(many)
+                for k, f in enumerate(BITS):
+                    lines[f] = bitmaps[:, k]
+                blocks = blocks[_in_order(blocks)]
+                begin = np.flatnonzero(np.r_[True, blocks["id"][1:] != blocks["id"][:-1]]) if len(blocks) else np.empty(0, np.int64)
+                count = np.diff(np.r_[begin, len(blocks)])
+                apart = np.repeat(count > MANY, count)
+                apart[begin] = False  # the first one stands for them in the bucket of its class
+                hot = np.zeros(int((count > MANY).sum()), _HOT)
+                hot["id"], hot["c"] = blocks["id"][begin[count > MANY]], count[count > MANY] - 1
+                first = np.unique(lines["id"], return_index=True)[1]  # copies in a step are packed once
+                columns = packed(lines["id"][first], np.full(len(first), many), keys[first].ravel(), n)
+                yield pa.record_batch([columns.get(f.name, pa.nulls(len(columns["bucket"]), f.type)) for f in schema], schema=schema)
+                yield dealt(by_class(blocks[~apart]), blocks[~apart], "blocks")
+                yield dealt(by_class(lines), lines, "lines")
+                yield dealt(by_class(hot), hot, "hot")
+                yield dealt(mix(blocks["th"][apart].view(np.uint64)) % np.uint64(n), blocks[apart], "apart")
 
     @released
     def find(table: pa.Table) -> pa.Table:
-        told = table.column("units").is_valid()
-        rows = np.concatenate([np.empty(0, _UNIT), *(np.frombuffer(x.as_buffer(), _UNIT) for x in table.column("units").drop_null())])
-        plain = {f: pa.array(np.ascontiguousarray(rows[f])) for f in ("th", "pos", "words", "id", "n")}
-        plain |= {f: pa.array(np.ascontiguousarray(rows[f]), mask=(rows["banded"] == 0) | ((rows["n"] < LARGE) if f != "b0" else False)) for f in BITS}
-        plain["doc_id"] = pa.array(np.ascontiguousarray(rows["doc_id"]), mask=rows["known"] == 0)
-        own, full, _, again = shared(table.filter(pc.invert(told)))
-        keyed = {"id": pa.array(np.r_[own, again]), "key": pa.array(np.r_[full, np.zeros(len(again), np.int64)], mask=np.r_[np.zeros(len(own), bool), np.ones(len(again), bool)])}
-        kinds = [pa.int32() if f.endswith("int") else pa.int64() for f in _FOUND.split(", ")]
-        return pa.concat_tables([pa.table([of.get(f, pa.nulls(size, k)) for f, k in zip(names, kinds, strict=True)], names=names) for of, size in ((plain, len(rows)), (keyed, len(own) + len(again)))])
-
-    return _texts(docs).mapInArrow(make, f"{PACKED}, units binary").groupBy("bucket").applyInArrow(find, _FOUND)
+        def told(kind: int, size: int, **of) -> pa.Table:
+            of = {"kind": np.full(size, kind, np.int32), **of}
+            # Unsigned hashes keep their bits.
+            cast = lambda x: x if isinstance(x, pa.Array) else pa.array(np.ascontiguousarray(x.view(np.int32) if x.dtype == np.uint32 else x))
+            return pa.table({f: cast(of[f]).cast(kinds[f]) if f in of else pa.nulls(size, kinds[f]) for f in (x.split()[0] for x in _FOUND.split(", "))})
+
+        ids_of = lambda rows, known="known", doc="doc_id": pa.array(np.ascontiguousarray(rows[doc]), mask=rows[known] == 0)
+        blocks, lines, hot, apart = _rows(table.column("blocks"), _BLOCK), _rows(table.column("lines"), _LINE), _rows(table.column("hot"), _HOT), _rows(table.column("apart"), _BLOCK)
+        slow = np.union1d(lines["id"], hot["id"])
+        later = np.isin(blocks["id"], slow)
+        out = []
+        for rows in (blocks[later], apart):
+            out.append(told(PLACE, len(rows), doc_id=ids_of(rows), th=rows["th"], pos=rows["pos"], words=np.full(len(rows), BLOCK), id=rows["id"], seq=rows["seq"], next=rows["next"]))
+        out.append(told(PLACE, len(lines), doc_id=ids_of(lines), th=lines["th"], pos=lines["pos"], words=lines["words"], id=lines["id"], seq=np.zeros(len(lines), np.uint32), next=np.zeros(len(lines), np.uint32)))
+        # The first paragraph of each class, by words and a block before a line where places are the same.
+        every = np.zeros(int(later.sum()) + len(lines), np.dtype([*_BLOCK.descr, ("words", "i4"), ("line", "i4")]))
+        for rows, part in ((blocks[later], every[: int(later.sum())]), (lines, every[int(later.sum()) :])):
+            for f in set(rows.dtype.names) & set(every.dtype.names):
+                part[f] = rows[f]
+        every["words"][: int(later.sum())], every["line"] = BLOCK, np.r_[np.full(int(later.sum()), -1), np.arange(len(lines))]
+        order = _in_order(every, every["line"], every["words"])
+        every = every[order]
+        begin = np.flatnonzero(np.r_[True, every["id"][1:] != every["id"][:-1]]) if len(every) else np.empty(0, np.int64)
+        firsts, count = every[begin], np.diff(np.r_[begin, len(every)])
+        np.add.at(count, np.searchsorted(firsts["id"], hot["id"]), hot["c"])
+        line = np.maximum.reduceat(every["line"], begin) if len(every) else begin
+        facts = {"n": lines["n"][line] * (line >= 0)} if len(lines) else {"n": np.zeros(len(line), np.int64)}
+        for f in BITS if len(lines) else []:
+            facts[f] = pa.array(lines[f][line], mask=(line < 0) | ((facts["n"] < LARGE) if f != "b0" else False))
+        out.append(told(CLASS, len(firsts), doc_id=ids_of(firsts), th=firsts["th"], pos=firsts["pos"], words=firsts["words"], id=firsts["id"], seq=firsts["seq"], next=firsts["next"], c=count, **facts))
+        # Classes of blocks only are settled here.
+        rows = blocks[~later]
+        rows = rows[_in_order(rows)]
+        if len(rows):
+            new = np.r_[True, rows["id"][1:] != rows["id"][:-1]]
+            twice = np.r_[False, rows[1:][list(_BLOCK.names[:5])] == rows[:-1][list(_BLOCK.names[:5])]]
+            kept = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+            own = (rows["known"] == kept["known"]) & (rows["doc_id"] == kept["doc_id"]) & (rows["th"] == kept["th"])
+            goes = ~new & ~twice & ~(own & (rows["pos"] < kept["pos"] + BLOCK))
+            rows, kept = rows[goes], kept[goes]
+            out.append(told(LEAVES, len(rows), doc_id=ids_of(rows), th=rows["th"], pos=rows["pos"], kd=ids_of(kept), kt=kept["th"], kp=kept["pos"], same=rows["seq"] == kept["seq"], far=np.where(rows["next"] == kept["next"], rows["next"] & np.uint32(31), np.uint32(0))))
+        own, full, _, _ = shared(table.filter(table.column("ids").is_valid()))
+        out.append(told(KEY, len(own), id=own, key=full))
+        return pa.concat_tables(out)
+
+    return _texts(docs).mapInArrow(make, _DEALT).groupBy("bucket").applyInArrow(find, _FOUND)
 
 
 def _sets_from(docs: DataFrame, classes: DataFrame, width: int = WIDTH):
@@ -242,39 +345,60 @@ def _sets_from(docs: DataFrame, classes: DataFrame, width: int = WIDTH):
     return sets_of
 
 
-def clustered(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Every paragraph of the clusters: doc_id, th, pos, words, and kd, kt, kp, kw, the same of the one that stays."""
+def leaving(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every paragraph that goes: doc_id, th, pos, words; kd, kt, kp, kw, the same of the one that stays; same and far as in a scan."""
     scanned = written(_scan(docs, percent), "paragraphs")
-    found = scanned.where("pos is not null")
-    asked = scanned.where("pos is null").select("id").distinct()
-    classes = found.groupBy("id").agg(F.first("n").cast("long").alias("n"), *(F.max(b).alias(b) for b in BITS), F.min(F.struct("doc_id", "th", "pos", "words")).alias("f"), F.count("*").alias("c"))
-    classes = written(classes.join(asked, "id"), "classes")
-    postings = scanned.where("key is not null").select("id", "key").join(classes.select("id", "n", "c", *BITS), "id")
+    first = F.struct("doc_id", "th", "pos", "words").alias("f")
+    classes = scanned.where(f"kind = {CLASS}").select("id", "n", "c", *BITS, first, "seq", "next")
+    postings = scanned.where(f"kind = {KEY}").select("id", "key").join(classes.select("id", "n", "c", *BITS), "id")
     # Of near copies, the text that occurs most often is the likeliest to be what the others were made from.
     postings = postings.select("key", F.col("id").alias("gid"), "n", F.lit(None).cast("long").alias("pos"), (-F.col("c")).alias("far"), *BITS)
     labels = link(postings, None, _sets_from(docs, classes), percent, banded=True)
-    of = classes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "f", "c")
+    of = classes.join(labels, "id", "left").where("label is not null or c > 1").select("id", F.coalesce("label", "id").alias("label"), F.struct("f.*", "seq", "next").alias("f"))
     of = written(of, "clusters")
-    keep = of.groupBy("label").agg(F.min("f").alias("k"), F.sum("c").alias("total")).where("total > 1")
-    told = written(of.join(keep, "label").select("id", F.col("k.doc_id").alias("kd"), F.col("k.th").alias("kt"), F.col("k.pos").alias("kp"), F.col("k.words").alias("kw")), "told")
-    # A paragraph that very many documents share is dealt by salts.
-    rows = likely_in(found, "id", told, "id").withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
-    salted = told.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    return rows.join(salted, ["id", "salt"]).select("doc_id", "th", "pos", "words", "kd", "kt", "kp", "kw")
+    keep = of.groupBy("label").agg(F.min("f").alias("k"))
+    told = of.join(keep, "label").select("id", *(F.col(f"k.{x}").alias(y) for x, y in (("doc_id", "kd"), ("th", "kt"), ("pos", "kp"), ("words", "kw"), ("seq", "kseq"), ("next", "knext"))))
+    rows = scanned.where(f"kind = {PLACE}").select("doc_id", "th", "pos", "words", "id", "seq", "next").join(told, "id")
+    # Neither what stays, nor what overlaps it.
+    rows = rows.where(~(F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt")) & (F.col("pos") < F.col("kp") + F.col("kw"))))
+    both = (F.col("words") == BLOCK) & (F.col("kw") == BLOCK) & (F.col("seq") != 0)
+    same, far = both & (F.col("seq") == F.col("kseq")), F.when(both & (F.col("next") == F.col("knext")), F.col("next").bitwiseAND(31)).otherwise(0)
+    rows = rows.select("doc_id", "th", "pos", "words", "kd", "kt", "kp", "kw", same.alias("same"), far.alias("far"))
+    size = F.lit(BLOCK).alias
+    return rows.unionByName(scanned.where(f"kind = {LEAVES}").select("doc_id", "th", "pos", size("words"), "kd", "kt", "kp", size("kw"), "same", "far"))
+
+
+def runs(rows: DataFrame) -> DataFrame:
+    """What leaves, blocks that go on alike to the next one as one: doc_id, th, pos, words, kd, kt, kp, kw; room, the words that may go before it in the
+    text of the one that stays (null: it stays elsewhere); and places, those of its paragraphs that begin with its first REACH words.
+
+    The words of such blocks and between them are the same as in the text of the one that stays, at the same distance: only the run's ends have others beside them.
+    """
+    own = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt"))
+    rows = rows.withColumn("room", F.when(own, F.col("pos") - F.col("kp") - F.col("kw"))).withColumn("apart", F.col("pos") - F.col("kp"))
+    line = ["doc_id", "th", "kd", "kt", "apart", "same", "room", F.when(~F.col("same"), F.struct("words", "kw")).alias("odd")]
+    names = ["doc_id", "th", "kd", "kt", "apart", "same", "room", "odd"]
+    rows = rows.select(*line, "pos", "words", "kp", "kw", "far")
+    order = Window.partitionBy(*names).orderBy("pos")
+    on = F.col("same") & (F.lag("far").over(order) == F.col("pos") - F.lag("pos").over(order))
+    rows = rows.withColumn("new", (~F.coalesce(on, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(order))
+    of = rows.groupBy(*names, "run").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("words")).alias("stop"), F.min("kp").alias("kp"), F.max(F.col("kp") + F.col("kw")).alias("kstop"), F.collect_list("pos").alias("all"))
+    places = F.filter("all", lambda p: p < F.col("pos") + REACH)
+    return of.select("doc_id", "th", "pos", (F.col("stop") - F.col("pos")).alias("words"), "kd", "kt", "kp", (F.col("kstop") - F.col("kp")).alias("kw"), "room", F.when(F.col("same"), places).alias("places"))
 
 
-_BESIDE = "doc_id long, th long, pos int, words int, kept boolean, kd long, kt long, kp int, kw int, room int, before binary, after binary"
+_BESIDE = "doc_id long, th long, pos array<int>, words int, kept boolean, kd long, kt long, kp int, kw int, room int, places array<int>, before binary, after binary"
 
 
 def gone(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, th and the stretches of words (first, behind the last, document where they stay) that go from each text."""
     begin = mark()
-    rows = settled(clustered(docs, percent), "clustered", begin)
-    own = F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt"))
-    # What stays, and what overlaps it.
-    rows = rows.withColumn("room", F.when(own, F.col("pos") - F.col("kp") - F.col("kw"))).withColumn("kept", own & (F.col("pos") == F.col("kp")) & (F.col("words") == F.col("kw")))
-    rows = rows.where(F.col("kept") | F.col("room").isNull() | (F.col("room") >= 0))
-    asked = rows.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "words", "kept", "kd", "kt", "kp", "kw", "room")).alias("units"))
+    rows = settled(runs(leaving(docs, percent)), "runs", begin)
+    none = lambda kind: F.lit(None).cast(kind)
+    stay = rows.select(F.col("kd").alias("doc_id"), F.col("kt").alias("th"), F.col("kp").alias("pos"), F.col("kw").alias("words")).distinct()
+    stay = stay.select("*", F.lit(True).alias("kept"), F.col("doc_id").alias("kd"), F.col("th").alias("kt"), F.col("pos").alias("kp"), F.col("words").alias("kw"), none("int").alias("room"), none("array<int>").alias("places"))
+    asked = rows.withColumn("kept", F.lit(False)).unionByName(stay)
+    asked = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "words", "kept", "kd", "kt", "kp", "kw", "room", "places")).alias("units"))
     side = REACH - 1
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,22 +408,26 @@ def gone(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for a, b in steps(texts):
                 w = Words(texts[a:b])
                 short = w.hashes.astype(np.uint32)
-                out = []
+                out: dict[tuple, list[int]] = {}
                 for t in range(a, b):
                     begin, end = int(w.cut[t - a]), int(w.cut[t - a + 1])
                     for u in every[t]:
                         first = begin + u["pos"]
                         last = first + u["words"]
-                        out.append((ids[t], hashes[t], u["pos"], u["words"], u["kept"], u["kd"], u["kt"], u["kp"], u["kw"], u["room"], short[max(begin, first - side) : first][::-1].tobytes(), short[last : min(end, last + side)].tobytes()))
-                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in out], schema=_KINDS)
+                        # Repeated lines have the same words beside them again and again: one row says where.
+                        room = None if u["room"] is None else min(u["room"], side)
+                        places = None if u["places"] is None else tuple(x - u["pos"] for x in u["places"])
+                        row = (ids[t], hashes[t], u["words"], u["kept"], u["kd"], u["kt"], u["kp"], u["kw"], room, places, short[max(begin, first - side) : first][::-1].tobytes(), short[last : min(end, last + side)].tobytes())
+                        out.setdefault(row, []).append(u["pos"])
+                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, (*x[:2], at, *x[2:]), strict=True)) for x, at in out.items()], schema=_KINDS)
 
     texts = likely_in(_texts(docs), "th", asked, "th").alias("t")
     both = texts.join(asked.alias("u"), (F.col("t.th") == F.col("u.th")) & F.col("t.doc_id").eqNullSafe(F.col("u.doc_id")))
     beside = settled(both.select("t.doc_id", "t.th", "t.text", "u.units").mapInArrow(look, _BESIDE), "beside", begin)
     key = ["kd", "kt", "kp", "kw"]
-    stays = beside.where("kept").dropDuplicates(key).select(*key, F.col("before").alias("k_before"), F.col("after").alias("k_after"))
+    stays = beside.where("kept").select(*key, F.col("before").alias("k_before"), F.col("after").alias("k_after"))
     same = F.col("l.kd").eqNullSafe(F.col("k.kd")) & (F.col("l.kt") == F.col("k.kt")) & (F.col("l.kp") == F.col("k.kp")) & (F.col("l.kw") == F.col("k.kw"))
-    leaves = beside.where("not kept").dropDuplicates(["doc_id", "th", "pos", "words"]).alias("l").join(stays.alias("k"), same)
+    leaves = beside.where("not kept").alias("l").join(stays.alias("k"), same)
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def alike(x: pa.Array, y: pa.Array) -> np.ndarray:
@@ -310,19 +438,35 @@ def gone(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             return np.cumprod(agree, axis=1).sum(1)
 
         for batch in batches:
-            pos, words = np.asarray(batch.column("pos")).astype(np.int64), np.asarray(batch.column("words"))
-            left = np.minimum(alike(batch.column("before"), batch.column("k_before")), np.asarray(batch.column("room").fill_null(side)))
+            words = np.asarray(batch.column("words")).astype(np.int64)
+            room = np.asarray(batch.column("room").fill_null(side))
+            left = np.minimum(alike(batch.column("before"), batch.column("k_before")), room)
             right = alike(batch.column("after"), batch.column("k_after"))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(pos - left, pa.int64()), pa.array(pos + words + right, pa.int64()), batch.column("kd")], names=["doc_id", "th", "a", "b", "kd"])
-
-    wide = leaves.select("l.doc_id", "l.th", "l.pos", "l.words", "l.room", "l.before", "l.after", "k.k_before", "k.k_after", "l.kd").mapInArrow(widen, "doc_id long, th long, a long, b long, kd long")
+            # How far from its own place the last of a run's blocks stands whose stretch begins at the run's first word.
+            places = batch.column("places")
+            flat, of = np.asarray(places.flatten()).astype(np.int64), np.repeat(np.arange(len(words)), np.asarray(pc.list_value_length(places).fill_null(0)))
+            last = np.zeros(len(words), np.int64)
+            np.maximum.at(last, of, np.where(flat + left[of] <= np.minimum(side, room)[of], flat, 0))
+            own = np.where(np.asarray(places.is_valid()), np.minimum(last + BLOCK + side, words + right), words + right)
+            pos = batch.column("pos")
+            at, of = np.asarray(pos.flatten()).astype(np.int64), np.repeat(np.arange(len(words)), np.asarray(pc.list_value_length(pos)))
+            order = np.lexsort((at, of))
+            at, of = at[order], of[order]
+            a, b, e = at - left[of], at + (words + right)[of], at + own[of]
+            # Of a row's stretches that touch or overlap, only the first one's beginning counts; all have one length.
+            new = np.r_[True, (of[1:] != of[:-1]) | (a[1:] > b[:-1])] if len(of) else np.empty(0, bool)
+            ends = np.r_[np.flatnonzero(new)[1:], len(of)] - 1 if len(of) else np.empty(0, np.int64)
+            of = pa.array(of[new])
+            yield pa.record_batch([batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(a[new], pa.int64()), pa.array(b[ends], pa.int64()), pa.array(e[new], pa.int64()), batch.column("kd").take(of)], names=["doc_id", "th", "a", "b", "e", "kd"])
+
+    wide = leaves.select("l.doc_id", "l.th", "l.pos", "l.words", "l.room", "l.places", "l.before", "l.after", "k.k_before", "k.k_after", "l.kd").mapInArrow(widen, "doc_id long, th long, a long, b long, e long, kd long")
     # A stretch within another one says nothing more.
-    wide = wide.groupBy("doc_id", "th", "a").agg(F.max(F.struct("b", "kd")).alias("m")).select("doc_id", "th", "a", "m.b", "m.kd")
+    wide = wide.groupBy("doc_id", "th", "a").agg(F.max("b").alias("b"), F.max(F.struct("e", "kd")).alias("m")).select("doc_id", "th", "a", "b", "m.kd")
     return settled(wide.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b", "kd"))).alias("gone")), "gone", begin)
 
 
 _NAMES = [f.split()[0] for f in _BESIDE.split(", ")]
-_KINDS = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in _BESIDE.split(", "))])
+_KINDS = pa.schema([(n, {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in _BESIDE.split(", "))])
 
 
 def merged(stretches: list[dict]) -> list[tuple[int, int, int | None]]:

@@ -213,3 +213,27 @@ def test_long_lists_are_dealt_anew(spark, monkeypatch):
         rows.append((1000 + d, " ".join(words)))
     compare(paragraphs.report(spark.createDataFrame([(d, t, 1, "g", "t") for d, t in rows], SCHEMA)).collect(), rows)
     assert asked
+
+
+def test_long_copies_and_repeated_lines_are_few_rows(spark):
+    """Blocks of a long copy meet as one run, repeated lines as one row; what goes is what goes block by block."""
+    rnd = random.Random(11)
+    text, cry = line(rnd, 900), line(rnd, 25)
+    rows = [(1, text), (2, f"{line(rnd, 40)} {text}"), (3, "\n".join([cry] * 80)), (4, f"{line(rnd, 31)}\n" + "\n".join([cry] * 50)), (None, text.upper())]
+    docs = spark.createDataFrame([(d, t, 1, "g", "t") for d, t in rows], SCHEMA)
+    left = paragraphs.leaving(docs)
+    blocks = left.where("doc_id = 2 and words = 20")
+    assert paragraphs.runs(blocks).count() == 1 and blocks.count() > 20
+    compare(paragraphs.report(docs.where("doc_id is not null")).collect(), rows[:-1])
+    assert {r.doc_id for r in paragraphs.report(docs).collect()} == {1, 2, 3, 4}
+
+
+def test_blocks_with_very_many_copies_in_a_step(spark):
+    """Such blocks are dealt by their texts; the first one of all is found all the same."""
+    rnd = random.Random(12)
+    words = line(rnd, 70)
+    rows = [(d, " ".join([line(rnd, 12), *[words, line(rnd, 7)] * 4])) for d in range(12)]
+    docs = spark.createDataFrame([(d, t, 1, "g", "t") for d, t in rows], SCHEMA).coalesce(1)
+    compare(paragraphs.report(docs).collect(), rows)
+    scanned = paragraphs._scan(docs, paragraphs.PERCENT)
+    assert scanned.where(f"kind = {paragraphs.PLACE} and seq <> 0").count() > 0

@@ -131,3 +131,12 @@ def test_packed_tokens_come_back():
             found.setdefault(k, set()).add(i)
     assert len(found) == 500 and all(v == {-8, 10} for v in found.values())
     assert not len(linking.packed(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), 5)["ids"])
+
+
+def test_components_in_memory_and_by_rounds_agree(spark, monkeypatch):
+    rnd = random.Random(3)
+    links = [(rnd.randrange(400) - 200, rnd.randrange(400) - 200) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1040)] + [(None, 5), (5, 5)]
+    df = spark.createDataFrame(links, "a long, b long")
+    memory = sorted(map(tuple, components.components(df, "a", "b").collect()))
+    monkeypatch.setattr(components, "FEW", 3)
+    assert memory == sorted(map(tuple, components.components(df, "a", "b").collect())) and len(memory) > 100
