@@ -26,11 +26,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import mark, partitions, settled, written
 from quillspark.llm.components import components
+from quillspark.llm.shingles import release, released
 from quillspark.scratch import drop, since
 
 PERCENT = 80
@@ -41,6 +43,8 @@ FEW_PAIRS = 8
 #: Bytes of the table that a bucket of tokens stands for, and the bounds of the number of buckets: beyond the upper one a step's
 #: tokens would be rows of their own.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 64, 1 << 18
+#: Tokens of sets that are packed at a time, or those of one set.
+STEP_TOKENS = 1 << 18
 #: A run of a packed row is as long as two bytes can say.
 LONGEST_RUN = 65535
 
@@ -110,6 +114,29 @@ def shared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return own[count > 1], key[count > 1].view(np.int64), count[count > 1].astype(np.int32), again
 
 
+def dealt(own: np.ndarray, keys: np.ndarray, counts: np.ndarray, parts: int) -> list[pa.Array]:
+    """Columns of (part, ids, keys, counts): what ``shared`` has found, packed and dealt by class."""
+    part = (own.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    own, keys, counts, part = own[order], keys[order], counts[order], part[order]
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.empty(0, np.int64)
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+    return [pa.array(part[edges[:-1]], pa.int32()), cut(own), cut(keys), cut(counts)]
+
+
+def by_class(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` with the part that ``dealt`` gives its class (id)."""
+    return df.withColumn("part", F.expr(f"cast(case when id >= 0 then id % {parts} else pmod(id % {parts} + {2**64 % parts}, {parts}) end as int)"))
+
+
+def undealt(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, keys and counts of a part, by id, the rarest keys first."""
+    join = lambda n, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table.column(n))])
+    own, keys, counts = join("ids", np.int64), join("keys", np.int64), join("counts", np.int32)
+    order = np.lexsort((keys, counts, own))
+    return own[order], keys[order], counts[order]
+
+
 def _fits(left: str, right: str, bits: list[str], percent: int, place: bool = True) -> Column:
     """Bounds that no pair as similar as asked for fails, on columns with these prefixes.
 
@@ -148,19 +175,45 @@ def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percen
 
 
 def by_rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """gid, key and pos of the rarest tokens of each set (id, tokens): two sets as similar as asked for share one of them."""
+    """gid, key and pos of the rarest tokens of each set (id, tokens): two sets as similar as asked for share one of them.
+
+    Tokens are packed by bucket to be counted, and those that two sets or more have come back packed by set: no token is a row.
+    """
+    n = buckets(sets)
+    schema = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in PACKED.split(", ")])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t in zip(batch.column("id"), batch.column("tokens"), strict=True):
-                t = np.frombuffer(t.as_buffer(), np.int64)
-                yield pa.record_batch([pa.array(np.full(len(t), i.as_py())), pa.array(np.full(len(t), len(t))), pa.array(t)], names=["gid", "n", "key"])
-
-    rows = written(sets.select("id", "tokens").mapInArrow(tokens, "gid long, n long, key long"), "tokens")
-    held = rows.join(rows.groupBy("key").agg(F.count("*").alias("held")), "key")
-    own = Window.partitionBy("gid").orderBy("held", "key")
-    ranked = held.withColumn("pos", F.row_number().over(own).cast("long") - 1)
-    return ranked.where((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)) & (F.col("held") > 1)).select("gid", "key", "pos")
+            ids, sizes = np.asarray(batch.column("id")), np.asarray(pc.binary_length(batch.column("tokens"))) // 8
+            step = np.cumsum(sizes) // STEP_TOKENS
+            edges = np.flatnonzero(np.r_[True, step[1:] != step[:-1], True]) if len(ids) else np.empty(0, np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                tokens = np.frombuffer(b"".join(batch.column("tokens").slice(a, b - a).to_pylist()), np.uint64)
+                columns = packed(ids[a:b], sizes[a:b], tokens, n)
+                yield pa.record_batch([columns[f.name] for f in schema], schema=schema)
+
+    @released
+    def find(table: pa.Table) -> pa.Table:
+        own, keys, counts, _ = shared(table)
+        return pa.table(dealt(own, keys, counts, n), names=["part", "ids", "keys", "counts"])
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, keys, _ = undealt(left)
+        begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+        held = np.diff(np.r_[begin, len(own)])
+        order = np.argsort(np.asarray(right.column("id")))
+        at = order[np.searchsorted(np.asarray(right.column("id")), own[begin], sorter=order)]
+        size = np.asarray(right.column("n"))[at]
+        # Tokens of this set only come first.
+        pos = np.arange(len(own)) + np.repeat(size - held - begin, held)
+        some = pos <= np.repeat(size - -(-percent * size // 100), held)
+        out = pa.table({"gid": own[some], "key": keys[some], "pos": pos[some]})
+        release()
+        return out
+
+    keys = sets.select("id", "tokens").mapInArrow(pack, PACKED).groupBy("bucket").applyInArrow(find, "part int, ids binary, keys binary, counts binary")
+    sizes = by_class(sets.select("id", F.expr("octet_length(tokens) div 8").alias("n")), n)
+    return keys.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(rank, "gid long, key long, pos long")
 
 
 def link(postings: DataFrame, members: DataFrame | None, sets_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT, banded: bool = False) -> DataFrame:

@@ -34,11 +34,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import BLANKS, FILTER_SLOTS, likely_in, mark, settled, written
+from quillspark.llm.common import BLANKS, likely_in, mark, settled, told_apart, written
 from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared
 from quillspark.llm.setjoin import WIDTH, class_numbers
 from quillspark.llm.shingles import mix, released, slices, steps, windows, word_hashes
@@ -77,10 +77,17 @@ class Words:
 
     def digests(self) -> np.ndarray:
         """32 bits of a digest of each word, made once for each different one."""
-        _, first, of = np.unique(self.hashes, return_index=True, return_inverse=True)
-        raw = self.data.tobytes()
-        each = [hashlib.md5(raw[a:b].translate(_LOWER), usedforsecurity=False).digest()[:4] for a, b in zip(self.start[first].tolist(), self.stop[first].tolist(), strict=True)]
-        return np.frombuffer(b"".join(each), ">u4").astype(np.uint64)[of]
+        words, first, of = np.unique(self.hashes, return_index=True, return_inverse=True)
+        known, held = _digested
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        out, new = held[at], known[at] != words
+        raw = self.data.tobytes().translate(_LOWER)
+        each = [hashlib.md5(raw[a:b], usedforsecurity=False).digest()[:4] for a, b in zip(self.start[first[new]].tolist(), self.stop[first[new]].tolist(), strict=True)]
+        out[new] = np.frombuffer(b"".join(each), ">u4")
+        if len(known) < DIGESTED and new.any():
+            known, at = np.unique(np.concatenate([known, words[new]]), return_index=True)
+            _digested[:] = known, np.concatenate([held, out[new]])[at]
+        return out.astype(np.uint64)[of]
 
     def anchors(self) -> np.ndarray:
         """The words that blocks begin with."""
@@ -99,6 +106,9 @@ class Words:
         return np.unique(np.concatenate(found) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+#: Words from which on a worker keeps no more digests: with those of one more step, some 2 MB.  The first entry stands for the empty word.
+DIGESTED = 1 << 17
+_digested = [np.zeros(1, np.uint64), np.frombuffer(hashlib.md5(usedforsecurity=False).digest()[:4], ">u4").astype(np.uint32)]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -191,6 +201,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
+def _document() -> list[Column]:
+    """What tells documents apart, without nulls, so that rows that are gathered by it lie where they are joined."""
+    return [F.col("th"), F.coalesce("doc_id", F.lit(0)).alias("known_id"), F.isnull("doc_id").alias("nil")]
+
+
+_DOCUMENT = ["th", "known_id", "nil"]
+
+
+def _told(docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The documents' texts with the columns of ``facts``, which has _DOCUMENT; other texts are passed by a bounded filter."""
+    return likely_in(_texts(docs).select("*", *_document()[1:]), _DOCUMENT, facts).join(facts, _DOCUMENT)
+
+
 def _fields(rows: np.ndarray) -> bytes:
     """Rows field by field, as that compresses better."""
     return b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names)
@@ -325,7 +348,7 @@ def _sets_from(docs: DataFrame, classes: DataFrame, width: int = WIDTH):
 
     def sets_of(ids: DataFrame) -> DataFrame:
         places = F.collect_list(F.struct("id", "f.pos", "f.words")).alias("places")
-        wanted = written(classes.join(ids, "id").groupBy("f.doc_id", "f.th").agg(places), "wanted")
+        wanted = written(likely_in(classes, ["id"], ids).join(ids, "id").groupBy("f.doc_id", "f.th").agg(places), "wanted")
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (x for batch in batches for x in slices(batch)):
@@ -339,8 +362,8 @@ def _sets_from(docs: DataFrame, classes: DataFrame, width: int = WIDTH):
                             rows.append((u["id"], (np.unique(shingles[at : at + n - width + 1]) if n >= width else windows(w.hashes[at : at + n], n)).tobytes()))
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["id", "tokens"])
 
-        texts = likely_in(_texts(docs), "th", wanted, "th").alias("t").join(wanted.alias("w"), (F.col("t.th") == F.col("w.th")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
-        return texts.select("t.text", "w.places").mapInArrow(make, "id long, tokens binary").dropDuplicates(["id"])
+        # Rows alike in id and text lie together after the join: one of them is taken there, and the sets need no shuffle.
+        return _told(docs, wanted.select(*_document(), "places")).dropDuplicates(_DOCUMENT).select("text", "places").mapInArrow(make, "id long, tokens binary")
 
     return sets_of
 
@@ -350,11 +373,13 @@ def leaving(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scanned = written(_scan(docs, percent), "paragraphs")
     first = F.struct("doc_id", "th", "pos", "words").alias("f")
     classes = scanned.where(f"kind = {CLASS}").select("id", "n", "c", *BITS, first, "seq", "next")
-    postings = scanned.where(f"kind = {KEY}").select("id", "key").join(classes.select("id", "n", "c", *BITS), "id")
+    keys = scanned.where(f"kind = {KEY}").select("id", "key")
+    postings = keys.join(likely_in(classes, ["id"], keys).select("id", "n", "c", *BITS), "id")
     # Of near copies, the text that occurs most often is the likeliest to be what the others were made from.
     postings = postings.select("key", F.col("id").alias("gid"), "n", F.lit(None).cast("long").alias("pos"), (-F.col("c")).alias("far"), *BITS)
     labels = link(postings, None, _sets_from(docs, classes), percent, banded=True)
-    of = classes.join(labels, "id", "left").where("label is not null or c > 1").select("id", F.coalesce("label", "id").alias("label"), F.struct("f.*", "seq", "next").alias("f"))
+    of = classes.where("c > 1").union(likely_in(classes.where("c = 1"), ["id"], labels))
+    of = of.join(labels, "id", "left").where("label is not null or c > 1").select("id", F.coalesce("label", "id").alias("label"), F.struct("f.*", "seq", "next").alias("f"))
     of = written(of, "clusters")
     keep = of.groupBy("label").agg(F.min("f").alias("k"))
     told = of.join(keep, "label").select("id", *(F.col(f"k.{x}").alias(y) for x, y in (("doc_id", "kd"), ("th", "kt"), ("pos", "kp"), ("words", "kw"), ("seq", "kseq"), ("next", "knext"))))
@@ -398,32 +423,34 @@ def gone(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stay = rows.select(F.col("kd").alias("doc_id"), F.col("kt").alias("th"), F.col("kp").alias("pos"), F.col("kw").alias("words")).distinct()
     stay = stay.select("*", F.lit(True).alias("kept"), F.col("doc_id").alias("kd"), F.col("th").alias("kt"), F.col("pos").alias("kp"), F.col("words").alias("kw"), none("int").alias("room"), none("array<int>").alias("places"))
     asked = rows.withColumn("kept", F.lit(False)).unionByName(stay)
-    asked = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "words", "kept", "kd", "kt", "kp", "kw", "room", "places")).alias("units"))
+    asked = asked.groupBy(*_document()).agg(F.collect_list(F.struct("pos", "words", "kept", "kd", "kt", "kp", "kw", "room", "places")).alias("units"))
     side = REACH - 1
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for batch in batches for x in slices(batch)):
-            texts, every = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("units").to_pylist()
+            texts, units = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("units")
             ids, hashes = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
+            cut = np.cumsum(np.r_[0, np.asarray(pc.list_value_length(units))]).tolist()
+            every = list(zip(*(x.to_pylist() for x in units.flatten().flatten()), strict=True))
             for a, b in steps(texts):
                 w = Words(texts[a:b])
                 short = w.hashes.astype(np.uint32)
                 out: dict[tuple, list[int]] = {}
                 for t in range(a, b):
                     begin, end = int(w.cut[t - a]), int(w.cut[t - a + 1])
-                    for u in every[t]:
-                        first = begin + u["pos"]
-                        last = first + u["words"]
+                    for pos, words, kept, kd, kt, kp, kw, room, places in every[cut[t] : cut[t + 1]]:
+                        first = begin + pos
+                        last = first + words
                         # Repeated lines have the same words beside them again and again: one row says where.
-                        room = None if u["room"] is None else min(u["room"], side)
-                        places = None if u["places"] is None else tuple(x - u["pos"] for x in u["places"])
-                        row = (ids[t], hashes[t], u["words"], u["kept"], u["kd"], u["kt"], u["kp"], u["kw"], room, places, short[max(begin, first - side) : first][::-1].tobytes(), short[last : min(end, last + side)].tobytes())
-                        out.setdefault(row, []).append(u["pos"])
-                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, (*x[:2], at, *x[2:]), strict=True)) for x, at in out.items()], schema=_KINDS)
-
-    texts = likely_in(_texts(docs), "th", asked, "th").alias("t")
-    both = texts.join(asked.alias("u"), (F.col("t.th") == F.col("u.th")) & F.col("t.doc_id").eqNullSafe(F.col("u.doc_id")))
-    beside = settled(both.select("t.doc_id", "t.th", "t.text", "u.units").mapInArrow(look, _BESIDE), "beside", begin)
+                        room = None if room is None else min(room, side)
+                        places = None if places is None else tuple([x - pos for x in places])
+                        row = (ids[t], hashes[t], words, kept, kd, kt, kp, kw, room, places, short[max(begin, first - side) : first][::-1].tobytes(), short[last : min(end, last + side)].tobytes())
+                        out.setdefault(row, []).append(pos)
+                columns = list(zip(*out, strict=True)) or [()] * (len(_KINDS) - 1)
+                columns.insert(2, list(out.values()))
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _KINDS, strict=True)], schema=_KINDS)
+
+    beside = settled(_told(docs, asked).select("doc_id", "th", "text", "units").mapInArrow(look, _BESIDE), "beside", begin)
     key = ["kd", "kt", "kp", "kw"]
     stays = beside.where("kept").select(*key, F.col("before").alias("k_before"), F.col("after").alias("k_after"))
     same = F.col("l.kd").eqNullSafe(F.col("k.kd")) & (F.col("l.kt") == F.col("k.kt")) & (F.col("l.kp") == F.col("k.kp")) & (F.col("l.kw") == F.col("k.kw"))
@@ -465,7 +492,6 @@ def gone(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return settled(wide.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b", "kd"))).alias("gone")), "gone", begin)
 
 
-_NAMES = [f.split()[0] for f in _BESIDE.split(", ")]
 _KINDS = pa.schema([(n, {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in _BESIDE.split(", "))])
 
 
@@ -493,8 +519,7 @@ def report(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "begin_byte", "end_byte", "n_words", "kept_doc_id"])
 
-    texts = likely_in(_texts(docs), "th", told, "th").alias("t").join(told.alias("g"), (F.col("t.th") == F.col("g.th")) & F.col("t.doc_id").eqNullSafe(F.col("g.doc_id")))
-    return texts.select("t.doc_id", "t.text", "g.gone").mapInArrow(name, "doc_id long, begin_byte long, end_byte long, n_words long, kept_doc_id long")
+    return _told(docs, told.select(*_document(), "gone")).select("doc_id", "text", "gone").mapInArrow(name, "doc_id long, begin_byte long, end_byte long, n_words long, kept_doc_id long")
 
 
 def without(text: str, stretches: list[dict]) -> str:
@@ -530,9 +555,7 @@ def strip(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     told = gone(docs, percent)
     row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("_row")
     rows = docs.select(row, docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_th"))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SLOTS)).cast("int")
-    slots = F.broadcast(told.select(slot("th").alias("_slot"), F.lit(True).alias("_in")).distinct())
-    rows = rows.withColumn("_slot", slot("_th")).join(slots, "_slot", "left")
+    rows = told_apart(rows, ["_th", "_id"], told.select(F.col("th").alias("_th"), F.col("doc_id").alias("_id")))
     # Documents outside of the slots stay without a shuffle.
     asked = rows.where("_in").join(told, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left")
     apart = rows.where("_in is null").select("_row.*").unionByName(asked.where("gone is null").select("_row.*"))

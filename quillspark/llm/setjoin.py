@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import FILTER_SLOTS, likely_in, written
-from quillspark.llm.linking import PACKED, PERCENT, buckets, link, packed, shared
+from quillspark.llm.common import likely_in, told_apart, written
+from quillspark.llm.linking import PACKED, PERCENT, buckets, by_class, dealt, link, packed, shared, undealt
 from quillspark.llm.shingles import mix, released, slices, steps, token_sets
 
 WIDTH = 5
@@ -103,13 +103,8 @@ def scan(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
         ids = pa.array(np.ascontiguousarray(rows["doc_id"]), pa.int64(), mask=rows["known"] == 0)
         plain = pa.table([*(pa.nulls(len(rows), k) for k in (pa.int32(), *[pa.binary()] * 3)), ids, *(pa.array(np.ascontiguousarray(rows[f])) for f in ("th", "id", "n"))], names=names)
         own, full, count, _ = shared(table.filter(pc.invert(told)))
-        part = (own.view(np.uint64) % np.uint64(n)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        own, full, count, part = own[order], full[order], count[order], part[order]
-        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.empty(0, np.int64)
-        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
-        dealt = [pa.array(part[edges[:-1]]), cut(own), cut(full), cut(count)]
-        return pa.concat_tables([plain, pa.table([*dealt, *(pa.nulls(len(dealt[0]), pa.int64()) for _ in range(4))], names=names)])
+        columns = dealt(own, full, count, n)
+        return pa.concat_tables([plain, pa.table([*columns, *(pa.nulls(len(columns[0]), pa.int64()) for _ in range(4))], names=names)])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     both = written(texts.mapInArrow(make, f"{PACKED}, docs binary").groupBy("bucket").applyInArrow(find, _SCANNED), "scanned")
@@ -121,10 +116,8 @@ def _prefixes(shared_rows: DataFrame, classes: DataFrame, parts: int, percent: i
 
     def make(left: pa.Table, right: pa.Table) -> pa.Table:
         sizes = dict(zip(right.column("id").to_pylist(), right.column("n").to_pylist(), strict=True))
-        join = lambda n, kind: np.concatenate([np.frombuffer(b, kind) for b in left.column(n).to_pylist()] or [np.empty(0, kind)])
-        own, keys, counts = join("ids", np.int64), join("keys", np.int64), join("counts", np.int32)
-        order = np.lexsort((keys, counts, own))
-        own, keys, weight = own[order], keys[order], np.log2(counts[order])
+        own, keys, counts = undealt(left)
+        weight = np.log2(counts)
         edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else []
         out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -141,15 +134,14 @@ def _prefixes(shared_rows: DataFrame, classes: DataFrame, parts: int, percent: i
         kinds = (*[pa.int64()] * 5, pa.list_(pa.int64()))
         return pa.table({n: pa.array(c, k) for n, c, k in zip(("id", "n", "gid", "pos", "far", "keys"), columns, kinds, strict=True)})
 
-    right = classes.withColumn("part", F.expr(f"cast(case when id >= 0 then id % {parts} else pmod(id % {parts} + {2**64 % parts}, {parts}) end as int)"))
-    return shared_rows.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(make, "id long, n long, gid long, pos long, far long, keys array<long>")
+    return shared_rows.groupBy("part").cogroup(by_class(classes, parts).groupBy("part")).applyInArrow(make, "id long, n long, gid long, pos long, far long, keys array<long>")
 
 
 def sets_from(docs: DataFrame, known: DataFrame, width: int):
     """Of a table of class ids, the sets, made again from one text of each class; other texts are passed by a bounded filter."""
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = known.join(ids, "id").groupBy("id").agg(F.min("th").alias("th"))
+        wanted = likely_in(known, ["id"], ids).join(ids, "id").groupBy("id").agg(F.min("th").alias("th"))
         wanted = written(wanted, "wanted")
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +151,7 @@ def sets_from(docs: DataFrame, known: DataFrame, width: int):
                 last = set(rows) if len(last) > 10_000 else last | set(rows)
                 yield pa.record_batch([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], names=["id", "tokens"])
 
-        found = likely_in(docs.select(F.xxhash64("text").alias("th"), "text"), "th", wanted, "th").select("text").mapInArrow(make, "id long, tokens binary")
+        found = likely_in(docs.select(F.xxhash64("text").alias("th"), "text"), ["th"], wanted).select("text").mapInArrow(make, "id long, tokens binary")
         return found.join(wanted.select("id"), "id").dropDuplicates(["id"])
 
     return sets_of
@@ -197,8 +189,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     told = written(told.groupBy("doc_id", "th").agg(F.first("keep").alias("keep"), F.count("*").alias("c")), "told")
     row = F.struct(*(docs[f"`{c}`"].alias(c) for c in docs.columns)).alias("_row")
     rows = docs.select(row, docs["doc_id"].cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_th"))
-    slots = F.broadcast(told.select(F.pmod(F.xxhash64("th"), F.lit(FILTER_SLOTS)).cast("int").alias("_slot"), F.lit(True).alias("_in")).distinct())
-    rows = rows.withColumn("_slot", F.pmod(F.xxhash64("_th"), F.lit(FILTER_SLOTS)).cast("int")).join(slots, "_slot", "left")
+    rows = told_apart(rows, ["_th", "_id"], told.select(F.col("th").alias("_th"), F.col("doc_id").alias("_id")))
     # Rows outside of the slots stay without a shuffle.
     apart = rows.where("_in is null").select("_row.*")
     asked = rows.where("_in").join(told, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("doc_id")), "left")

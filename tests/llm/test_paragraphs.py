@@ -237,3 +237,16 @@ def test_blocks_with_very_many_copies_in_a_step(spark):
     compare(paragraphs.report(docs).collect(), rows)
     scanned = paragraphs._scan(docs, paragraphs.PERCENT)
     assert scanned.where(f"kind = {paragraphs.PLACE} and seq <> 0").count() > 0
+
+
+def test_digests_are_those_of_the_words(monkeypatch):
+    """Kept from step to step, for a bounded number of words."""
+    assert isinstance(paragraphs._digested, list)
+    monkeypatch.setattr(paragraphs, "DIGESTED", 40)
+    monkeypatch.setattr(paragraphs, "_digested", [x[:1] for x in paragraphs._digested])
+    rnd = random.Random(3)
+    for _ in range(6):
+        texts = [f"{line(rnd, 12)} Again É aGAIN".encode(), None, b"again x"]
+        words = [w.translate(LOWER) for t in texts for w in WORD.findall(t or b"")]
+        assert paragraphs.Words(texts).digests().tolist() == [int.from_bytes(hashlib.md5(w).digest()[:4], "big") for w in words]
+    assert len(paragraphs._digested[0]) <= 40 + 16

@@ -140,3 +140,42 @@ def test_components_in_memory_and_by_rounds_agree(spark, monkeypatch):
     memory = sorted(map(tuple, components.components(df, "a", "b").collect()))
     monkeypatch.setattr(components, "FEW", 3)
     assert memory == sorted(map(tuple, components.components(df, "a", "b").collect())) and len(memory) > 100
+
+
+def test_rarest_tokens_are_ranked_without_a_row_for_each_token(spark):
+    rnd = random.Random(21)
+    common = [rnd.getrandbits(64) for _ in range(30)]
+    sets = {(-1) ** k * (k + 5): sorted({*rnd.sample(common, rnd.randrange(1, 30)), *(rnd.getrandbits(64) for _ in range(rnd.randrange(9)))}) for k in range(120)}
+    df = spark.createDataFrame([(i, np.array(s, np.uint64).tobytes()) for i, s in sets.items()], "id long, tokens binary")
+    got = linking.by_rarest(df, 80)
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Join" not in plan.replace("FlatMapCoGroups", "")
+    held = {}
+    for s in sets.values():
+        for t in s:
+            held[t] = held.get(t, 0) + 1
+    lists, rows = {}, got.collect()
+    for r in rows:
+        lists.setdefault(r.key, set()).add(r.gid)
+    for i, s in sets.items():
+        pos = sorted(r.pos for r in rows if r.gid == i)
+        alone, prefix = sum(held[t] == 1 for t in s), len(s) - -(-80 * len(s) // 100) + 1
+        assert pos == list(range(alone, max(alone, min(prefix, len(s)))))
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            same = len({*sets[a]} & {*sets[b]})
+            if 100 * same >= 80 * (len(sets[a]) + len(sets[b]) - same):
+                assert any({a, b} <= x for x in lists.values())
+    assert linking.by_rarest(df.limit(0), 80).count() == 0
+
+
+def test_filters_before_joins_pass_few_others(spark):
+    """With 200,000 keys, the filter of 2**18 slots passed half of the others."""
+    from quillspark.llm import common
+
+    ids = spark.range(200_000).select(F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("d"))
+    rows = ids.union(spark.range(1_000_000, 1_100_000).select("id", F.lit(None).cast("long")))
+    assert 200_000 <= common.likely_in(rows, ["k", "d"], ids).count() < 205_000
+    told = common.told_apart(rows, ["k", "d"], ids)
+    assert told.count() == 300_000 and told.where("_in and k < 1000000").count() == 200_000
