@@ -6,8 +6,9 @@ with the same postings and size are one group.  Links are found in these steps:
 1. Each list's most central group (least ``far``) of each band of sizes is paired with the band's others, by the groups' first classes,
    and each group's first class with its others: stars, linear in the lists' and groups' lengths.  Verified pairs give components.
 2. In lists in which components still meet and that are long, what is outside of the largest one is paired with its most central
-   member, then with drawn ones: stars again.  Where lists come from MinHash bands, the sets in them are instead put into new lists, by
-   the rarest of their tokens (a prefix filter), which a token common to many sets does not make long.
+   member and with drawn ones: stars again, in one step.  Where lists come from MinHash bands, the sets in them are first put into new lists, by
+   the rarest of their tokens (a prefix filter), which a token common to many sets does not make long.  Only the rows outside of a list's largest
+   component are joined with what is known of the list.
 3. In lists whose classes are still in more than one component, every pair of groups from different components is
    tried, unless both are in the list's largest one, under the size, position and bitmap filters; the pairs that pass are
    expanded to their classes and verified.
@@ -30,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mark, partitions, settled, written
+from quillspark.llm.common import likely_in, mark, partitions, settled, written
 from quillspark.llm.components import components
 from quillspark.llm.shingles import release, released
 from quillspark.scratch import drop, since
 
 PERCENT = 80
-#: Further stars that are tried before pairs are.
+#: Further stars that are tried, at once, before pairs are.
 MORE_STARS = 3
 #: Pairs for each row of a list up to which no further stars are worth their while.
 FEW_PAIRS = 8
@@ -249,9 +250,11 @@ def linked(postings: DataFrame, members: DataFrame | None, sets_of: Callable[[Da
     begin = mark()
     links = [settled(verified(pairs, sets_of, percent), "links", begin)]
 
-    def labelled(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
-        """The labels so far, every class's group and component, the rows of lists in which components meet (with the list's largest one), and
-        how many pairs and rows these are."""
+    held: list = []
+
+    def labelled(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int, int]:
+        """The labels so far, every class's group and component, the lists' rows with their components, the lists in which components meet (with their
+        largest one and numbers of rows), and how many pairs and rows these are.  The rows and lists of the call before go."""
         begin = mark()
         labels = settled(components(reduce(DataFrame.union, links), "a", "b"), "labels", begin)
         if members is None:
@@ -262,37 +265,47 @@ def linked(postings: DataFrame, members: DataFrame | None, sets_of: Callable[[Da
             rows = postings.join(placed.groupBy("gid", "comp").agg(F.min("id").alias("some")), "gid")
         begin = mark()
         rows = written(rows, "rows")
-        tally = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"))
-        tally = tally.where("comps > 1").select("key", F.col("top.comp").alias("major"), (F.col("all") - F.col("top.c")).alias("apart"))
-        mixed = settled(rows.join(tally, "key"), "mixed", begin)
-        work, size = mixed.agg(F.coalesce(F.sum("apart"), F.lit(0)), F.count("*")).first()
-        return labels, placed, mixed, work, size
-
-    labels, placed, mixed, work, size = labelled(postings)
+        drop(held)
+        mixed = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("top"))
+        mixed = written(mixed.where("comps > 1").select("key", F.col("top.comp").alias("major"), (F.col("all") - F.col("top.c")).alias("apart"), "all"), "mixed")
+        held[:] = since(begin)
+        work, size = mixed.agg(F.coalesce(F.sum(F.col("apart") * F.col("all")), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+        return labels, placed, rows, mixed, work, size
+
+    def outside() -> DataFrame:
+        """The rows of lists in which components meet that are not in the list's largest one."""
+        return written(rows.join(mixed.select("key", "major"), "key").where("comp <> major"), "outside")
+
+    labels, placed, rows, mixed, work, size = labelled(postings)
     if banded and work > FEW_PAIRS * size:
         begin = mark()
-        facts = written(mixed.select(*own, "far").dropDuplicates(["gid"]), "facts")
+        facts = written(rows.join(mixed, "key", "left_semi").select(*own, "far").dropDuplicates(["gid"]), "facts")
         sets = written(sets_of(facts.select(F.col("gid").alias("id"))), "sets")
         lists = by_rarest(sets, percent).join(facts.drop("pos"), "gid")
         done = since(begin)
-        labels, placed, mixed, work, size = labelled(lists.select(*postings.columns))
+        labels, placed, rows, mixed, work, size = labelled(lists.select(*postings.columns))
         drop(done)
-    for k in range(MORE_STARS if work > FEW_PAIRS * size else 0):  # where pairs are few for each row, they are tried at once
-        inner = mixed.where("comp = major").groupBy("key", band).agg(F.min(F.struct((F.xxhash64(F.lit(k), "gid") if k else F.col("far")).alias("draw"), *own, "some")).alias("h"))
+    if not size:
+        return labels
+    apart, both = outside(), likely_in(rows, ["key"], mixed)
+    if work > FEW_PAIRS * size:  # where pairs are few for each row, they are tried at once
+        draws = [F.xxhash64(F.lit(k), "gid") if k else F.col("far") for k in range(MORE_STARS)]
+        inner = both.groupBy("key", "comp", band).agg(*(F.min(F.struct(x.alias("draw"), *own, "some")).alias(f"h{k}") for k, x in enumerate(draws)))
+        inner = inner.join(mixed.select("key", F.col("major").alias("comp")), ["key", "comp"])
+        inner = inner.select("key", "band", F.explode(F.array_distinct(F.array(*(F.col(f"h{k}").dropFields("draw") for k in range(MORE_STARS))))).alias("h"))
         inner = inner.select("key", "band", F.col("h.some").alias("a"), *(F.col(f"h.{c}").alias(f"h_{c}") for c in own))
-        again = mixed.where("comp <> major").select("*", band).join(inner, ["key", "band"]).where(_fits("", "h_", bits, percent)).select("a", F.col("some").alias("b"))
+        again = apart.select("*", band).join(inner, ["key", "band"]).where(_fits("", "h_", bits, percent)).select("a", F.col("some").alias("b"))
         begin = mark()
         found = settled(verified(again, sets_of, percent), "links", begin)
-        if found.isEmpty():
-            break
-        links.append(found)
-        labels, placed, mixed, work, size = labelled(mixed.select(*postings.columns).distinct())
-        if work <= FEW_PAIRS * size:
-            break
-    if not size:
-        return labels
-    left = mixed.where("comp <> major").select("key", *(F.col(c).alias(f"l_{c}") for c in (*own, "comp")))
-    right = mixed.select("key", "major", *(F.col(c).alias(f"r_{c}") for c in (*own, "comp")))
+        if not found.isEmpty():
+            links.append(found)
+            again = both.select(*postings.columns)
+            labels, placed, rows, mixed, work, size = labelled(again if members is None else again.distinct())
+            if not size:
+                return labels
+            apart, both = outside(), rows
+    left = apart.select("key", "major", *(F.col(c).alias(f"l_{c}") for c in (*own, "comp")))
+    right = both.select("key", *(F.col(c).alias(f"r_{c}") for c in (*own, "comp")))
     other = (F.col("l_comp") != F.col("r_comp")) & ((F.col("r_comp") == F.col("major")) | (F.col("l_comp") < F.col("r_comp")))
     cross = left.join(right, "key").where(other & _fits("l_", "r_", bits, percent))
     if members is None:

@@ -179,3 +179,33 @@ def test_filters_before_joins_pass_few_others(spark):
     assert 200_000 <= common.likely_in(rows, ["k", "d"], ids).count() < 205_000
     told = common.told_apart(rows, ["k", "d"], ids)
     assert told.count() == 300_000 and told.where("_in and k < 1000000").count() == 200_000
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_long_lists_take_one_more_step_of_stars(spark, monkeypatch, grouped):
+    """Each further star was a step of its own, with all rows of the lists joined by key again."""
+    rnd = random.Random(5)
+    texts = {k: range(k, k + 40) for k in range(150)} | {k: range(1000 * k, 1000 * k + 40) for k in range(200, 230)}
+    lists = {k: {k, k + 1} for k in range(10)} | {key: {200, *range(11), *(k for k in texts if rnd.random() < 0.6)} for key in range(300, 310)}
+    sets = spark.createDataFrame([(i, np.array(s, np.uint64).tobytes()) for i, s in texts.items()], "id long, tokens binary")
+    postings = spark.createDataFrame([(key, i, 40, None, -i) for key, held in lists.items() for i in held], "key long, gid long, n long, pos long, far long")
+    of = {k: k for k in texts}
+    for a, b in sorted((a, b) for a in texts for b in texts if a < b <= a + 4 and any({a, b} <= x for x in lists.values())):
+        least, most = sorted((of[a], of[b]))
+        of = {k: least if v == most else v for k, v in of.items()}
+    steps, rows = [], []
+    real, written = linking.verified, linking.written
+
+    def kept(df, what):
+        out = written(df, what)
+        if what == "outside":
+            rows.append(out.count())
+            assert out.where("comp = major").isEmpty()
+        return out
+
+    monkeypatch.setattr(linking, "verified", lambda *x: steps.append(1) or real(*x))
+    monkeypatch.setattr(linking, "written", kept)
+    members = postings.select("gid", F.col("gid").alias("id")).distinct() if grouped else None
+    got = linking.link(postings, members, lambda ids: sets.join(ids, "id"), 80).collect()
+    assert sorted(map(tuple, got)) == [(k, v) for k, v in sorted(of.items()) if k < 200 and list(of.values()).count(v) > 1]
+    assert len(steps) == 3 and len(rows) == 2 and sum(rows) < 2 * postings.count()
