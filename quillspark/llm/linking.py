@@ -44,6 +44,8 @@ FEW_PAIRS = 8
 #: Bytes of the table that a bucket of tokens stands for, and the bounds of the number of buckets: beyond the upper one a step's
 #: tokens would be rows of their own.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 64, 1 << 18
+#: The least number of buckets where their number does not follow the partitions'.
+FEW_BUCKETS = 16
 #: Tokens of sets that are packed at a time, or those of one set.
 STEP_TOKENS = 1 << 18
 #: A run of a packed row is as long as two bytes can say.
@@ -64,6 +66,11 @@ def buckets(df: DataFrame) -> int:
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, partitions(df.sparkSession), -(-table_bytes(df) // BUCKET_BYTES)))
 
 
+def few_buckets(size: int, most: int) -> int:
+    """Buckets of at most ``most`` (bytes, or tokens), of ``size`` in all: the fewer they are, the more tokens share the id of their set."""
+    return min(MOST_BUCKETS, max(FEW_BUCKETS, -(-size // most)))
+
+
 def packed(ids: np.ndarray, counts: np.ndarray, tokens: np.ndarray, n: int) -> dict[str, pa.Array]:
     """Columns of (bucket, ids, counts, low, high): the tokens of the sets ``ids``, ``counts`` of each, dealt into ``n`` buckets.
 

@@ -1,14 +1,20 @@
 """N-gram Jaccard join of documents by a grouped prefix join.
 
 A document's set is its distinct 5-word shingles, lower-cased.  Documents with equal sets are one class, known by a 64-bit
-hash of the set.  Shingles are put in the order of their number of classes, rarest first; two sets that are similar enough must
-share a shingle among the first few of each (the prefix).  Shingles of a single class never meet, so a class whose prefix
-holds no other is done.  Classes with identical prefixes and sizes are one group; pairs of groups are filtered by size and by
-position, then expanded, and their members verified on whole sets (``linking``).
+hash of the set.  Whatever the order of shingles, two sets that are similar enough must share some among the first of each (the
+prefix).  That is used twice:
 
-The count of classes of each shingle needs one shuffle of six bytes a shingle, packed by batch, which the documents' own facts join;
-what returns are only the shingles that are shared.  The number of buckets follows the table's bytes, so that a bucket does not grow.
-Sets of verified candidates are made again from their texts, which stay where they are.
+1. In the order of hashes, of which a set's first quarter is its prefix, a class must share about a sixth of the prefix with
+   prefixes of others (``prefix``, ``least``); the classes that do not are done.
+2. The others' shingles are put in the order of their number of classes, rarest first; here one of the prefix must be shared.
+   Shingles of a single class never meet, so a class whose prefix holds no other is done.  Classes with identical prefixes and
+   sizes are one group; pairs of groups are filtered by size and by position, then expanded, and their members verified on
+   whole sets (``linking``).
+
+Either step needs one shuffle of six bytes a shingle, packed by batch: the first one of a quarter of all shingles, which the documents' own
+facts join, the second one of those of the classes that the first one leaves.  What returns are counts and the shingles that are shared.
+The number of buckets follows the table's bytes and the shingles left, so that a bucket does not grow.
+Sets that are needed again are made from their texts, which stay where they are.
 
 Cases: null and wordless texts have empty sets and link with nothing; fewer than five words are one token; copies and
 repeated rows are one class; a null document id takes part and is never the smallest; an empty table gives no row.
@@ -25,13 +31,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import likely_in, told_apart, written
-from quillspark.llm.linking import PACKED, PERCENT, buckets, by_class, dealt, link, packed, shared, undealt
+from quillspark.llm.linking import BUCKET_BYTES, PACKED, PERCENT, buckets, by_class, dealt, few_buckets, link, packed, shared, table_bytes, undealt
 from quillspark.llm.shingles import mix, released, slices, steps, token_sets
 
 WIDTH = 5
 #: Shares that a class's documents are dealt into where they meet their component.
 SALTS = 16
 _SALT = np.uint64(0x5851F42D4C957F2D)
+#: A set's prefix in the order of hashes has at least one shingle in so many of those by which similar sets may differ beyond these.
+MORE = 4
+#: Shingles that a bucket of the second step holds, about.
+BUCKET_TOKENS = 1 << 22
 
 
 def class_numbers(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -66,29 +76,54 @@ def _numbered(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return ids, sizes, tokens
 
 
+def _extra(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles prefixes in the order of hashes have in common, at least, where a set of such a size is the smaller one of two similar ones."""
+    return sizes * (100 - percent) // (100 * MORE) + 1
+
+
+def prefix(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of sets are their prefixes in the order of hashes.
+
+    Of the shingles that two similar sets have in common, percent of either or more, the first ``_extra`` are then in both prefixes.
+    """
+    return np.minimum(sizes, sizes - -(-percent * sizes // 100) + _extra(sizes, percent))
+
+
+def least(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of its prefix a set shares, at least, if it is similar to another one, which may be smaller."""
+    return _extra(-(-percent * sizes // 100), percent)
+
+
 _DOC = np.dtype([("known", "u1"), ("doc_id", "i8"), ("th", "i8"), ("id", "i8"), ("n", "i8")])
-_SCANNED = "part int, ids binary, keys binary, counts binary, doc_id long, th long, id long, n long"
+_SCANNED = "part int, ids binary, counts binary, doc_id long, th long, id long, n long"
+_FIELDS = [(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in PACKED.split(", ")]
+
 
+def _once(ids: np.ndarray) -> np.ndarray:
+    """Whether each class number is the first one of its kind in a step: copies in a step are packed once."""
+    out = np.zeros(len(ids), bool)
+    out[np.unique(ids, return_index=True)[1]] = True
+    return out
 
-def scan(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """In one pass over the texts: doc_id, th (hash of the text), id (class) and n (size of the set) of every document; and the
-    keys that two classes or more have, with their numbers of classes, packed and dealt by class: part, ids, keys, counts.
 
-    Tokens are dealt by their buckets; documents travel with them in packed rows, so that nothing is read or written twice.
+def scan(docs: DataFrame, parts: int, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """In one pass over the texts: doc_id, th (hash of the text), id (class) and n (size of the set) of every document; and how many
+    shingles of its prefix in the order of hashes each class shares, packed and dealt by class: part, ids, counts.
+
+    Shingles are dealt by their buckets; documents travel with them in packed rows, so that nothing is read or written twice.
     """
-    n = buckets(docs)
-    schema = pa.schema([(f.split()[0], pa.int32() if f.endswith("int") else pa.binary()) for f in f"{PACKED}, docs binary".split(", ")])
+    n = few_buckets(table_bytes(docs), MORE * BUCKET_BYTES)
+    schema = pa.schema([*_FIELDS, ("docs", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _steps(batches, width):
-            ids, sizes, tokens = _numbered(sets)
+            ids, sizes, _ = _numbered(sets)
             rows = np.zeros(len(sets), _DOC)
             rows["known"], rows["doc_id"] = np.asarray(part.column("doc_id").is_valid()), np.asarray(part.column("doc_id").fill_null(0))
             rows["th"], rows["id"], rows["n"] = np.asarray(part.column("th")), ids, sizes
-            first = np.sort(np.unique(ids, return_index=True)[1])  # copies in a step are packed once
-            once = np.zeros(len(ids), bool)
-            once[first] = True
-            columns = packed(ids[once], sizes[once], tokens[np.repeat(once, sizes)], n)
+            once, held = _once(ids), prefix(sizes, percent)
+            first = [s[:k] for s, k, o in zip(sets, held.tolist(), once.tolist(), strict=True) if o]
+            columns = packed(ids[once], held[once], np.concatenate([np.empty(0, np.uint64), *first]), n)
             columns["docs"] = pa.nulls(len(columns["bucket"]), pa.binary())
             yield pa.record_batch([columns[f.name] for f in schema], schema=schema)
             own = {"bucket": pa.array([int(mix(rows["th"][:1].view(np.uint64))[0] % np.uint64(n))], pa.int32()), "docs": pa.array([rows.tobytes()], pa.binary())}
@@ -101,14 +136,53 @@ def scan(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
         told = table.column("docs").is_valid()
         rows = np.concatenate([np.empty(0, _DOC), *(np.frombuffer(x.as_buffer(), _DOC) for x in table.column("docs").drop_null())])
         ids = pa.array(np.ascontiguousarray(rows["doc_id"]), pa.int64(), mask=rows["known"] == 0)
-        plain = pa.table([*(pa.nulls(len(rows), k) for k in (pa.int32(), *[pa.binary()] * 3)), ids, *(pa.array(np.ascontiguousarray(rows[f])) for f in ("th", "id", "n"))], names=names)
-        own, full, count, _ = shared(table.filter(pc.invert(told)))
-        columns = dealt(own, full, count, n)
-        return pa.concat_tables([plain, pa.table([*columns, *(pa.nulls(len(columns[0]), pa.int64()) for _ in range(4))], names=names)])
+        plain = pa.table([*(pa.nulls(len(rows), k) for k in (pa.int32(), *[pa.binary()] * 2)), ids, *(pa.array(np.ascontiguousarray(rows[f])) for f in ("th", "id", "n"))], names=names)
+        own, counts = np.unique(shared(table.filter(pc.invert(told)))[0], return_counts=True)
+        part, ids, _, counts = dealt(own, own, counts.astype(np.int32), parts)
+        return pa.concat_tables([plain, pa.table([part, ids, counts, *(pa.nulls(len(part), pa.int64()) for _ in range(4))], names=names)])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     both = written(texts.mapInArrow(make, f"{PACKED}, docs binary").groupBy("bucket").applyInArrow(find, _SCANNED), "scanned")
-    return both.where("part is null").select("doc_id", "th", "id", "n"), both.where("part is not null").select("part", "ids", "keys", "counts")
+    return both.where("part is null").select("doc_id", "th", "id", "n"), both.where("part is not null").select("part", "ids", "counts")
+
+
+def _alike(met: DataFrame, classes: DataFrame, parts: int, percent: int) -> DataFrame:
+    """The classes (id, n, th) that share enough of their prefixes in the order of hashes, of which ``met`` has the counts."""
+
+    def make(left: pa.Table, right: pa.Table) -> pa.Table:
+        join = lambda name, kind: np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in left.column(name))])
+        own, of = np.unique(join("ids", np.int64), return_inverse=True)
+        total = np.bincount(of, join("counts", np.int32), len(own))
+        ids = np.asarray(right.column("id"))
+        at = np.minimum(np.searchsorted(own, ids), max(len(own) - 1, 0))
+        got = np.where(own[at] == ids, total[at], 0) if len(own) else np.zeros(len(ids))
+        return right.select(["id", "n", "th"]).filter(pa.array(got >= least(np.asarray(right.column("n")), percent)))
+
+    return met.groupBy("part").cogroup(by_class(classes, parts).groupBy("part")).applyInArrow(make, "id long, n long, th long")
+
+
+def keys_of(docs: DataFrame, alike: DataFrame, parts: int, width: int) -> DataFrame:
+    """The keys that two classes or more have, with their numbers of classes, packed and dealt by class: part, ids, keys, counts.
+
+    Only texts of the classes ``alike`` are read, and what a bounded filter passes besides.
+    """
+    n = few_buckets(alike.agg(F.sum("n")).first()[0] or 0, BUCKET_TOKENS)
+    schema = pa.schema(_FIELDS)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _steps(batches, width):
+            ids, sizes, tokens = _numbered(sets)
+            once = _once(ids)
+            columns = packed(ids[once], sizes[once], tokens[np.repeat(once, sizes)], n)
+            yield pa.record_batch([columns[f.name] for f in schema], schema=schema)
+
+    @released
+    def find(table: pa.Table) -> pa.Table:
+        own, keys, counts, _ = shared(table)
+        return pa.table(dealt(own, keys, counts, parts), names=["part", "ids", "keys", "counts"])
+
+    texts = likely_in(docs.select(F.xxhash64("text").alias("th"), "text"), ["th"], alike).select("text")
+    return texts.mapInArrow(make, PACKED).groupBy("bucket").applyInArrow(find, "part int, ids binary, keys binary, counts binary")
 
 
 def _prefixes(shared_rows: DataFrame, classes: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -121,7 +195,8 @@ def _prefixes(shared_rows: DataFrame, classes: DataFrame, parts: int, percent: i
         edges = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else []
         out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            n = sizes[int(own[a])]
+            if (n := sizes.get(int(own[a]))) is None:
+                continue  # not among ``classes``
             prefix = n - -(-percent * n // 100) + 1
             alone = max(n - int(b - a), 0)  # shingles of this class only come first
             if alone < prefix:
@@ -159,9 +234,12 @@ def sets_from(docs: DataFrame, known: DataFrame, width: int):
 
 def document_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The facts of all documents, and id and label of the classes that are linked with another."""
-    known, keys = scan(docs, width)
-    classes = known.where("n > 0").groupBy("id").agg(F.first("n").alias("n"))
-    prefixes = written(_prefixes(keys, classes, buckets(docs), percent), "prefixes")
+    parts = buckets(docs)
+    known, met = scan(docs, parts, width, percent)
+    classes = known.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.min("th").alias("th"))
+    alike = written(_alike(met, classes, parts, percent), "alike")
+    keys = written(keys_of(docs, alike, parts, width), "keys")
+    prefixes = written(_prefixes(keys, alike.select("id", "n"), parts, percent), "prefixes")
     groups = prefixes.groupBy("gid").agg(F.min(F.struct("n", "pos", "far", "keys")).alias("g")).select("gid", "g.n", "g.pos", "g.far", F.posexplode("g.keys").alias("k", "key"))
     postings = groups.select("key", "gid", "n", (F.col("pos") + F.col("k")).alias("pos"), "far")
     return known, link(postings, prefixes.select("gid", "id"), sets_from(docs, known, width), percent)

@@ -209,3 +209,42 @@ def test_long_lists_take_one_more_step_of_stars(spark, monkeypatch, grouped):
     got = linking.link(postings, members, lambda ids: sets.join(ids, "id"), 80).collect()
     assert sorted(map(tuple, got)) == [(k, v) for k, v in sorted(of.items()) if k < 200 and list(of.values()).count(v) > 1]
     assert len(steps) == 3 and len(rows) == 2 and sum(rows) < 2 * postings.count()
+
+
+def test_prefixes_by_hash_share_what_similar_sets_have_to():
+    """Every pair of similar sets, of any sizes, shares at least as much of the prefixes as a class has to, to be kept."""
+    rnd = random.Random(8)
+    for percent in (80, 50, 95):
+        for _ in range(3000):
+            n = rnd.choice([1, 2, 3, 5, 9, 20, 21, 60, 301])
+            both = rnd.randrange(1, n + 1)
+            m = rnd.randrange(both, max(both, 100 * both // percent) + 1)
+            tokens = rnd.sample(range(10**6), n + m - both)
+            x, y = sorted(tokens[:n]), sorted([*tokens[:both], *tokens[n:]])
+            if 100 * both < percent * len({*x, *y}):
+                continue
+            sizes = np.array([len(x), len(y)])
+            p, q = setjoin.prefix(sizes, percent).tolist()
+            assert p <= len(x) and q <= len(y) and len({*x[:p]} & {*y[:q]}) >= setjoin.least(sizes, percent).max()
+
+
+def test_only_sets_that_may_be_similar_are_shuffled_whole(spark, monkeypatch):
+    """All shingles of all sets were shuffled at once; now a quarter is, and a passage that is a tenth of its texts makes them meet no further."""
+    rnd = random.Random(13)
+    word = lambda: f"w{rnd.getrandbits(40)}"
+    passage, base = [word() for _ in range(40)], [word() for _ in range(400)]
+    rows = [(k, " ".join([*passage, *(word() for _ in range(360))])) for k in range(60)]
+    rows += [(100, " ".join(base)), (101, " ".join([*base[:390], *(word() for _ in range(10))])), (102, " ".join(base))]
+    sizes = np.array([len(word_set(t)) for _, t in rows])
+    assert setjoin.prefix(sizes, 80).sum() < 0.27 * sizes.sum()
+    kept, written = [], setjoin.written
+
+    def seen(df, what):
+        out = written(df, what)
+        if what == "alike":
+            kept.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(setjoin, "written", seen)
+    compare(spark, rows)
+    assert len(kept) == 2 and all(r.n == 396 for r in kept)
