@@ -26,13 +26,15 @@ _before: list = []
 
 
 def stage(f: Stage) -> Stage:
-    """A stage that first removes what the stage before has left in the shared folder."""
+    """A stage that first removes what the stage before has left in the shared folder and in the driver's memory."""
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         scratch.drop(_before)
+        scratch.give_back(spark)
         begin = scratch.mark()
-        out = f(spark, docs, sf_dir)
+        with scratch.small_pieces(spark):
+            out = f(spark, docs, sf_dir)
         _before[:] = scratch.since(begin)
         return out
 
@@ -82,6 +84,7 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null or empty text is the end id alone; repeated rows are packed each; ties go by document id.
     """
     scratch.drop(_before)
+    scratch.give_back(spark)
     _before.clear()
     return packing.pack(docs, byte_bpe())
 

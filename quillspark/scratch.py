@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -62,6 +65,42 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+#: Bytes of a broadcast's pieces.  Each stage and scan broadcasts some KB and takes a whole piece of the driver's heap for it; at Spark's 4 MB that is
+#: a humongous object, of which most collections of the driver's garbage come and by which its heap grows.
+_PIECES, PIECE = "spark.broadcast.blockSize", "256k"
+
+
+@contextmanager
+def small_pieces(spark: SparkSession) -> Iterator[None]:
+    """What is broadcast meanwhile is cut into pieces of PIECE; who reads a broadcast knows their number, not their size."""
+    conf = spark._jvm.org.apache.spark.SparkEnv.get().conf()
+    before = conf.get(_PIECES, "")
+    conf.set(_PIECES, PIECE)
+    try:
+        yield
+    finally:
+        conf.set(_PIECES, before) if before else conf.remove(_PIECES)
+
+
+def give_back(spark: SparkSession) -> bool:
+    """The driver's garbage goes, and what its JVM has freed goes back to the system; whether the JVM can do the latter (Linux, Java 17.0.9 or later)."""
+    java = spark._jvm.java
+    java.lang.System.gc()
+    gateway = spark.sparkContext._gateway
+    # Through the interface, as the server's own class is not open to reflection.
+    kinds = gateway.new_array(java.lang.Class, 4)
+    for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = java.lang.Class.forName(name)
+    args = gateway.new_array(java.lang.Object, 4)
+    args[0], args[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke = java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        invoke.invoke(java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:
+        return False
+    return True
+
+
 #: Shuffle files go when the execution that made them ends, not when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -1,10 +1,12 @@
 """What stays in the shared folder and among the shuffle files."""
 
+import gc
 import os
 import time
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillspark import scratch
 from quillspark.llm import linking, paragraphs
 
@@ -45,3 +47,32 @@ def test_written_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not shuffles(spark) - before and len(rows.collect()) == 7
+
+
+def test_stages_begin_without_garbage_and_broadcast_in_small_pieces(spark):
+    env, runtime = spark._jvm.org.apache.spark.SparkEnv.get(), spark._jvm.java.lang.Runtime.getRuntime()
+    in_use = lambda: (runtime.totalMemory() - runtime.freeMemory()) >> 20
+    made, used = [], []
+
+    def sent():
+        made.append(spark.sparkContext.broadcast(os.urandom(1 << 20)))
+        return env.blockManager().getStatus(spark._jvm.org.apache.spark.storage.BlockId.apply(f"broadcast_{made[-1]._jbroadcast.id()}_piece1")).isDefined()
+
+    @corpus_pipeline.stage
+    def probe(spark, docs, sf_dir):
+        used.append(in_use())
+        return docs if sent() else None
+
+    assert not sent()
+    garbage = spark.sparkContext._gateway.new_array(spark._jvm.byte, 300 << 20)
+    used.append(in_use())
+    del garbage
+    gc.collect()
+    assert probe(spark, spark.range(1), "") is not None
+    assert used[1] < used[0] - 200 and not sent()
+
+
+def test_freed_memory_goes_back_where_the_jvm_can(spark):
+    version = spark._jvm.java.lang.Runtime.Version
+    able = os.uname().sysname == "Linux" and spark._jvm.java.lang.Runtime.version().compareTo(version.parse("17.0.9")) >= 0
+    assert scratch.give_back(spark) == able
